@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP9_SQL, op9_curriculum_mix
 from .sharding import op5_hash_tree_shards
 
-QUERIES = [op5_hash_tree_shards]
+QUERIES = [op9_curriculum_mix, op5_hash_tree_shards]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_curriculum_mix": OP9_SQL}
