@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pieces into which a shard's rows are numbered apart: 3 hexadecimal digits of a hash.
-SLOT_PIECES = 4096
+#: Bits of a hash that cut a shard's rows into the pieces that are numbered apart.
+PIECE_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -59,38 +59,37 @@ def _nested(values: object) -> Column:
     return F.array(*map(_nested, values)) if isinstance(values, tuple) else F.lit(values)
 
 
-def _child(key: Column, level: str, path: list[Column], weights: Column) -> Column:
-    """The position of the child with the least draw -ln(u) / weight; the first of equals.
+def _draws(key: Column, level: str, path: list[Column], weights: Column) -> Column:
+    """The draws -ln(u) / weight of a node's children; the first of the least is taken.
 
     u comes from 52 bits of a hash of the key and the child's name; a child without weight draws
     infinity.
     """
 
     def draw(weight: Column, i: Column) -> Column:
-        name = F.concat_ws("/", F.lit(level), *path, i, key)
-        u = (common.hex_bits(F.md5(name), 1, 13) + F.lit(1.0)) / F.lit(float(2**52))
+        bits = F.shiftrightunsigned(F.xxhash64(F.lit(level), *path, i, key), 12)
+        u = (bits + F.lit(1.0)) / F.lit(float(2**64 - PIECE_BITS))
         return F.when(weight > 0, -F.ln(u) / F.when(weight > 0, weight)).otherwise(F.lit(float("inf")))
 
-    draws = F.transform(weights, draw)
-    return (F.array_position(draws, F.array_min(draws)) - 1).cast("int")
+    return F.transform(weights, draw)
 
 
 def with_shard(df: DataFrame, key: Column, tree: HashTree, shard: str) -> DataFrame:
     """The rows with the shard that the key descends to, level by level: as many draws as the
     nodes on the way have children, however many leaves there are."""
     leaf = lambda i: tuple(tuple(tuple(x[i] for x in rack) for rack in region) for region in tree.regions)
-    per_shard = leaf(1)
+    shards, per_shard = leaf(0), leaf(1)
     per_rack = tuple(tuple(float(sum(rack)) for rack in region) for region in per_shard)
     per_region = tuple(sum(region) for region in per_rack)
     if not sum(per_region) > 0:
         raise ValueError("no leaf has a weight above 0")
-    region, rack, at = F.col("_region"), F.col("_rack"), F.col("_at")
-    out = df.withColumn("_key", F.coalesce(key.cast("string"), F.lit("null")))
-    out = out.withColumn("_region", _child(F.col("_key"), "region", [], _nested(per_region)))
-    out = out.withColumn("_rack", _child(F.col("_key"), "rack", [region], F.get(_nested(per_rack), region)))
-    out = out.withColumn("_at", _child(F.col("_key"), "shard", [region, rack], F.get(F.get(_nested(per_shard), region), rack)))
-    found = F.get(F.get(F.get(_nested(leaf(0)), region), rack), at)
-    return out.withColumn(shard, found.cast("int")).drop("_key", "_region", "_rack", "_at")
+    region, rack = F.col("_region"), F.col("_rack")
+    least = (F.array_position("_draws", F.array_min("_draws")) - 1).cast("int")
+    out = df.withColumn("_draws", _draws(key, "region", [], _nested(per_region))).withColumn("_region", least)
+    out = out.withColumn("_draws", _draws(key, "rack", [region], F.get(_nested(per_rack), region))).withColumn("_rack", least)
+    out = out.withColumn("_draws", _draws(key, "shard", [region, rack], F.get(F.get(_nested(per_shard), region), rack)))
+    found = F.get(F.get(F.get(_nested(shards), region), rack), least)
+    return out.withColumn(shard, found.cast("int")).drop("_draws", "_region", "_rack")
 
 
 def assign_shards(df: DataFrame, key: str, tree: HashTree, shard: str = "shard") -> DataFrame:
@@ -105,13 +104,13 @@ def assign_shards(df: DataFrame, key: str, tree: HashTree, shard: str = "shard")
 def number_slots(df: DataFrame, key: str, shard: str = "shard", slot: str = "slot", order: list[str] | None = None) -> DataFrame:
     """The rows with a number within their shard: gapless from 0.
 
-    Each shard's rows are dealt to SLOT_PIECES pieces by a hash of the key; a piece's rows follow
+    Each shard's rows are dealt to 2 ** PIECE_BITS pieces by a hash of the key; a piece's rows follow
     the smaller pieces' by the count of theirs, so no task has to sort a shard. The counts are
     made from the key and shard columns alone. Rows with one key lie in one piece in the order of
     the given columns; equal rows take any order among themselves.
     """
     spread = [*df.columns]
-    pieces = df.withColumn("_piece", common.hex_bits(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 3))
+    pieces = df.withColumn("_piece", F.shiftrightunsigned(F.xxhash64(F.lit("slot"), F.col(key)), 64 - PIECE_BITS))
     counts = pieces.groupBy(shard, "_piece").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(shard, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
