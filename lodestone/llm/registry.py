@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import OP9_SQL, op9_curriculum_mix
 from .sharding import op5_hash_tree_shards
+from .simhash import op7_simhash
 
-QUERIES = [op9_curriculum_mix, op5_hash_tree_shards]
+QUERIES = [op7_simhash, op9_curriculum_mix, op5_hash_tree_shards]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
