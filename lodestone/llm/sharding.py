@@ -68,7 +68,7 @@ def _draws(key: Column, level: str, path: list[Column], weights: Column) -> Colu
 
     def draw(weight: Column, i: Column) -> Column:
         bits = F.shiftrightunsigned(F.xxhash64(F.lit(level), *path, i, key), 12)
-        u = (bits + F.lit(1.0)) / F.lit(float(2**64 - PIECE_BITS))
+        u = (bits + F.lit(1.0)) / F.lit(float(2**52))
         return F.when(weight > 0, -F.ln(u) / F.when(weight > 0, weight)).otherwise(F.lit(float("inf")))
 
     return F.transform(weights, draw)
