@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .mixing import OP9_SQL, op9_curriculum_mix
-from .sharding import op5_hash_tree_shards
-from .simhash import op7_simhash
+from . import decontaminate, mixing, sharding, simhash
 
-QUERIES = [op7_simhash, op9_curriculum_mix, op5_hash_tree_shards]
+QUERIES = [
+    decontaminate.op2_decontamination,
+    sharding.op5_hash_tree_shards,
+    simhash.op7_simhash,
+    mixing.op9_curriculum_mix,
+]
+ORACLES = {
+    "op2_decontamination": decontaminate.OP2_SQL,
+    "op9_curriculum_mix": mixing.OP9_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_curriculum_mix": OP9_SQL}
+    return dict(ORACLES)
