@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding, simhash
+from . import decontaminate, mixing, sharding, simhash, tokens
 
 QUERIES = [
     decontaminate.op2_decontamination,
     sharding.op5_hash_tree_shards,
+    tokens.op6_token_files,
     simhash.op7_simhash,
     mixing.op9_curriculum_mix,
 ]
