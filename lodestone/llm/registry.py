@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding, simhash, tokens
+from . import decontaminate, licenses, mixing, secrets, sharding, simhash, tokens
 
 QUERIES = [
     decontaminate.op2_decontamination,
+    secrets.op3_secret_scan,
     sharding.op5_hash_tree_shards,
     tokens.op6_token_files,
     simhash.op7_simhash,
+    licenses.op8_license_scan,
     mixing.op9_curriculum_mix,
 ]
 ORACLES = {
