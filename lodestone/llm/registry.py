@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, sharding, simhash, tokens
+from . import decontaminate, licenses, mixing, secrets, sharding, simhash, tokens, weighted_sampling
 
 QUERIES = [
+    weighted_sampling.op1_weighted_fingerprints,
     decontaminate.op2_decontamination,
     secrets.op3_secret_scan,
     sharding.op5_hash_tree_shards,
