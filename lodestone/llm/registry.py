@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, sharding, simhash, tokens, weighted_sampling
+from . import decontaminate, licenses, mixing, secrets, sharding, simhash, tokens, toxicity, weighted_sampling
 
 QUERIES = [
     weighted_sampling.op1_weighted_fingerprints,
@@ -17,6 +17,7 @@ QUERIES = [
     simhash.op7_simhash,
     licenses.op8_license_scan,
     mixing.op9_curriculum_mix,
+    toxicity.op10_toxicity,
 ]
 ORACLES = {
     "op2_decontamination": decontaminate.OP2_SQL,
