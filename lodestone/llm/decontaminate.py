@@ -170,6 +170,11 @@ def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> Column:
     return (F.col(n_hit) > 0) & (SHARE * F.col(n_hit) >= F.col(n_words))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns."""
+    return contamination(docs.withColumns({f"_own_{c}": F.col(c) for c in docs.columns}), benchmark).filter(~contaminated()).select(*(F.col(f"_own_{c}").alias(c) for c in docs.columns))
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """What each document shares with the benchmark."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

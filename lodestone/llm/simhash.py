@@ -12,8 +12,6 @@ share would verify the square of their number; those are linked through common p
 (see _crowded_links), with a fixed number of rows for each fingerprint and no link lost.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 
@@ -75,9 +73,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+
+
 def fingerprint_column(text: Column) -> Column:
     """fingerprint() of a column, by Arrow batches."""
-    return F.pandas_udf(lambda texts: pd.Series([fingerprint(t) for t in texts], dtype="int64"), "long", F.PandasUDFType.SCALAR)(text)
+    return F.pandas_udf(_fingerprints, "long")(text)
 
 
 def _half(fp: Column, half: int) -> Column:
@@ -164,9 +166,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """The documents without near copies: of each component the row with the least key stays; of
     several rows with that key, one. Rows without a key stay only if their component has none."""
     found = near_duplicates(docs, text, key)
-    chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(chosen, docs[key].eqNullSafe(chosen["_key"]), "left_semi")
-    return kept.dropDuplicates([key])
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(name.alias("_name")).distinct()
+    # both by the same name: the texts go through one shuffle
+    return docs.withColumn("_name", name).join(chosen, "_name", "left_semi").dropDuplicates(["_name"]).drop("_name")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
