@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, secrets, sharding, simhash, tokens, toxicity, weighted_sampling
+from . import decontaminate, licenses, mixing, pii, secrets, sharding, simhash, tokens, toxicity, weighted_sampling
 
 QUERIES = [
     weighted_sampling.op1_weighted_fingerprints,
     decontaminate.op2_decontamination,
     secrets.op3_secret_scan,
+    pii.op4_pii_surrogates,
     sharding.op5_hash_tree_shards,
     tokens.op6_token_files,
     simhash.op7_simhash,
