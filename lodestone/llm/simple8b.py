@@ -36,19 +36,22 @@ def encode(ids: np.ndarray, escapes: list[int]) -> tuple[np.ndarray, np.ndarray]
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    place = np.arange(n, dtype=np.int32)
-    end = np.minimum((place // BLOCK + 1) * BLOCK, n).astype(np.int32)
+    end = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
     best = np.zeros(n, dtype=np.uint8)
     for s in range(len(COUNTS) - 1, 0, -1):
         small = ids < np.uint64(1 << int(BITS[s]))
-        stop = np.minimum.accumulate(np.where(small, np.int32(n), place)[::-1])[::-1]
-        # what lies beyond the block's end counts as zeros, if the word takes at least one id
-        fits = (stop - place >= COUNTS[s]) | (stop >= end)
-        best[fits & small] = s
-        if not small.any():
+        where = np.flatnonzero(small)
+        if not len(where):
             break
+        if len(where) == n:  # beyond the block's end, zeros fill the word
+            best[:] = s
+            continue
+        # the end of the run of small ids that each is in
+        lasts = np.append(np.flatnonzero(np.diff(where) != 1), len(where) - 1)
+        stop = np.repeat(where[lasts] + 1, np.diff(lasts, prepend=-1))
+        best[where[(stop - where >= COUNTS[s]) | (stop >= end[where])]] = s
     at = np.arange(0, n, BLOCK)
-    ends = end[at].astype(np.int64)
+    ends = end[at]
     block = np.arange(len(at))
     starts, owners = [], []
     while len(at):
@@ -117,10 +120,11 @@ class Writer:
         self.block_words, self.docs, self.known, self.sizes, self.n_ids = [], [], [], [], 0
         file.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id or 0)
-        self.known.append(doc_id is not None)
-        self.sizes.append(len(ids))
+    def add(self, docs: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents with their ids one after another and the number of each one's."""
+        self.docs += [d or 0 for d in docs]
+        self.known += [d is not None for d in docs]
+        self.sizes += sizes.tolist()
         self.pending.append(ids)
         self.held += len(ids)
         if self.held >= self.STEP:

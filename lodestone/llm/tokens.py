@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +27,23 @@ from . import common, simple8b
 
 #: The id that ends each document.
 END = 1
-#: Chunks whose ids a task remembers.
-CACHE = 300_000
-#: Chunks encoded in one call.
-BATCH = 10_000
+#: Words whose ids a Python worker remembers before it starts anew.
+CACHE = 600_000
+#: Bytes of text encoded in one go: a text more at most.
+STEP = 8 << 20
+
+#: A chunk of one word and ASCII marks without an apostrophe, which begins contractions.
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class ChunkEncoder:
     """Ids of texts by a tokenizer that gives white space no ids and nothing across it.
 
-    Texts are cut at spaces and line feeds, and each chunk that recurs is encoded once. That equals
-    encoding the whole text for a tokenizer whose pre-tokenizer drops white space, as `whole` can
-    check on a text.
+    Texts are cut at spaces and line feeds. A plain chunk, a word and marks after it, is two
+    pre-tokens; each word and each run of marks is encoded once and remembered. What is unknown is
+    encoded in one string with spaces between, and its ids are cut where a token ends a word. All
+    other chunks are encoded each on its own. The result equals that of encoding whole texts. Cutting,
+    finding equal chunks and putting ids together are array operations.
     """
 
     def __init__(self, path: str):
@@ -44,24 +51,83 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [c for c in set().union(*chunks) if c not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = list(set().union(*chunks) - {""})
-        for i in range(0, len(new), BATCH):
-            part = new[i : i + BATCH]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at = {"": 0}
+        self.parts, self.stops = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        self.n = 0
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        self.at.update(zip(pieces, range(len(self.at), len(self.at) + len(pieces))))
+        self.parts.append(ids)
+        self.stops.append(self.n + stops)
+        self.n += len(ids)
+
+    def _alone(self, pieces: list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self._remember(pieces, np.array([i for own in ids for i in own], np.uint32), np.cumsum([len(own) for own in ids]))
+
+    def _together(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(words):
+            self._remember(words, ids, stops)
+        else:
+            self._alone(words)
+
+    def _numbers(self, pieces: list[str], learn) -> np.ndarray:
+        """The number of each piece, all different; unknown ones are learnt."""
+        get = self.at.get
+        numbers = np.array([get(p, -1) for p in pieces], np.int64)
+        if len(missing := np.flatnonzero(numbers < 0)):
+            new = [pieces[i] for i in missing.tolist()]
+            first = len(self.at)
+            learn(new)
+            numbers[missing] = np.arange(first, first + len(new))
+        return numbers
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each). No text is null."""
+        if len(self.at) > CACHE:
+            self._forget()
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        chunks = pc.dictionary_encode(lists.flatten())
+        kinds = chunks.dictionary
+        cut = pc.extract_regex(kinds, _PLAIN)
+        plain = np.asarray(cut.is_valid())
+        kinds_plain = cut.filter(pa.array(plain))
+        number = np.zeros((len(kinds), 2), np.int64)
+        words = pc.dictionary_encode(pc.utf8_lower(kinds_plain.field("word")))
+        marks = pc.dictionary_encode(kinds_plain.field("marks"))
+        for column, pieces in enumerate((words, marks)):
+            numbers = self._numbers(pieces.dictionary.to_pylist(), self._together)
+            number[plain, column] = numbers[np.asarray(pieces.indices)]
+        number[~plain, 0] = self._numbers(kinds.filter(pa.array(~plain)).to_pylist(), self._alone)
+        stops = np.concatenate(self.stops)
+        if len(self.parts) > 1:
+            self.parts, self.stops = [np.concatenate(self.parts)], [stops]
+        begins = np.append(0, stops[:-1])
+        pieces = number[np.asarray(chunks.indices)].ravel()
+        sizes = (stops - begins)[pieces]
+        total = np.cumsum(sizes)
+        ids = self.parts[0][np.repeat(begins[pieces] - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
+        bounds = np.append(0, total)[2 * (np.asarray(lists.offsets) - lists.offsets[0].as_py())]
+        return ids, np.diff(bounds)
+
+
+#: Encoders of this Python worker, which outlive its tasks, by path.
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder_for(path: str) -> ChunkEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -80,28 +146,28 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "te
     rows = docs.select(F.col(key).cast("long").alias("key"), common.text_or_empty(text).alias("text"))
     ordered = rows.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         system, folder = _open(out)
         system.create_dir(folder, recursive=True)
-        encoder, writer, last = ChunkEncoder(tokenizer), None, np.array([end], "<u4").tobytes()
+        encoder, writer = encoder_for(tokenizer), None
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.s8b"
         for batch in batches:
             if writer is None:
                 file = system.open_output_stream(f"{folder}/{name}")
                 writer = simple8b.Writer(file)
-            keys = batch["key"].astype(object).where(batch["key"].notna(), None).tolist()
-            texts = batch["text"].tolist()
-            for i in range(0, len(texts), 64):
-                for k, ids in zip(keys[i : i + 64], encoder.encode(texts[i : i + 64])):
-                    writer.add(None if k is None else int(k), np.frombuffer(ids + last, "<u4"))
+            keys, texts = batch.column(0), batch.column(1)
+            steps = np.cumsum(pc.binary_length(texts).to_numpy()) // STEP
+            for at, n in zip(*(x.tolist() for x in np.unique(steps, return_index=True, return_counts=True)[1:])):
+                ids, sizes = encoder.encode(texts.slice(at, n))
+                writer.add(keys.slice(at, n).to_pylist(), np.insert(ids, np.cumsum(sizes), np.uint32(end)), sizes + 1)
         if writer is not None:
             writer.close()
             file.close()
-            yield pd.DataFrame([(TaskContext.get().partitionId(), name, len(writer.docs), writer.n_ids)], columns=["part", "name", "docs", "ids"])
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "docs": [len(writer.docs)], "ids": [writer.n_ids]})
 
-    found = sorted(ordered.mapInPandas(write, "part long, name string, docs long, ids long").collect())
+    found = sorted(ordered.mapInArrow(write, "part long, name string, docs long, ids long").collect())
     manifest, start = [], 0
     for r in found:
         manifest.append({"name": r["name"], "docs": r["docs"], "ids": r["ids"], "start": start})
