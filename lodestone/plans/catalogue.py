@@ -5,13 +5,481 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.functions.columns import FILE_LANGUAGES, SYMBOL_LANGUAGES, extension, file_of, language_of, lines_of, page_name, top_segment, without_quotes
+from lodestone.operators import communities as com
+from lodestone.operators import flows as flo
+from lodestone.operators import parity, repos, resolve, risk, search, text, traverse
+from lodestone.operators import query as qry
+from lodestone.plans import derived
+from lodestone.plans.derived import docs, docs_oracle, edges, graph_oracle, nodes
+from lodestone.sources.snapshot import compare_listing
+from lodestone.streaming.watch import debounced
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _register(name: str, query: Query, oracle: str | None = None) -> None:
+    _QUERIES[name] = query
+    if oracle is not None:
+        _ORACLES[name] = oracle
+
+
+def queries() -> dict[str, Query]:
     """Every catalogue query by name; each takes (spark, sf_dir)."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(_ORACLES)
+
+
+# Communities ---------------------------------------------------------------------------------
+
+_COMMUNITIES = """, counted AS (
+  SELECT split_part(file_path, '/', 1) AS name, count(DISTINCT file_path) AS file_count, count(*) AS node_count FROM nodes GROUP BY 1
+), ends AS (
+  SELECT split_part(substr(source, 7), '/', 1) AS name, split_part(substr(target, 7), '/', 1) AS other FROM edges WHERE kind = 'imports_from'
+), communities AS (
+  SELECT name, file_count, node_count, coalesce(c.coupling, 0) AS coupling FROM counted
+  LEFT JOIN (SELECT name, count(*) AS coupling FROM ends WHERE name <> other GROUP BY name) c USING (name)
+), listed AS (SELECT * FROM communities ORDER BY node_count DESC, file_count DESC, name LIMIT 50)
+"""
+_register("communities", lambda s, d: com.communities(nodes(s, d), edges(s, d)), graph_oracle(_COMMUNITIES + "SELECT * FROM communities"))
+_register("list_communities", lambda s, d: com.list_communities(nodes(s, d), edges(s, d), 10), graph_oracle(_COMMUNITIES + "SELECT * FROM communities ORDER BY node_count DESC, file_count DESC, name LIMIT 10"))
+_WARNINGS = """, warned AS (
+  SELECT name, 'High coupling in ' || name || ' (' || coupling || ' cross-community edges)' AS warning FROM listed WHERE coupling > 200
+  UNION ALL SELECT name, 'Large singleton community ' || name || ' (' || node_count || ' nodes)' FROM listed WHERE file_count = 1 AND node_count > 80
+) SELECT * FROM warned UNION ALL SELECT NULL, 'No major architecture warnings detected' WHERE NOT EXISTS (SELECT 1 FROM warned)"""
+_register("architecture_warnings", lambda s, d: com.architecture_warnings(nodes(s, d), edges(s, d)), graph_oracle(_COMMUNITIES + _WARNINGS))
+_register(
+    "community_detail",
+    lambda s, d: com.community_detail(nodes(s, d), edges(s, d), "Brand1").withColumn("members", F.array_join("members", "|")),
+    graph_oracle(
+        _COMMUNITIES
+        + """, chosen AS (SELECT * FROM communities WHERE name LIKE '%brand1%' ORDER BY node_count DESC, name LIMIT 1),
+  first AS (SELECT qualified_name FROM nodes, chosen WHERE file_path = chosen.name OR starts_with(file_path, chosen.name || '/') ORDER BY qualified_name LIMIT 500)
+SELECT chosen.*, (SELECT string_agg(qualified_name, '|' ORDER BY qualified_name) FROM first) AS members FROM chosen"""
+    ),
+)
+_TOP_FILES = """, per_file AS (SELECT file_path, count(*) AS symbols FROM nodes GROUP BY 1), top AS (
+  SELECT name, file_path, symbols, row_number() OVER (PARTITION BY name ORDER BY symbols DESC, file_path) AS rank
+  FROM communities, per_file WHERE starts_with(lower(file_path), lower(name)) QUALIFY rank <= 20
+)"""
+_register("wiki_top_files", lambda s, d: com.wiki_top_files(nodes(s, d), edges(s, d)), graph_oracle(_COMMUNITIES + _TOP_FILES + "SELECT * FROM top"))
+_register(
+    "wiki_pages",
+    lambda s, d: com.wiki_pages(nodes(s, d), edges(s, d)),
+    graph_oracle(
+        _COMMUNITIES
+        + _TOP_FILES
+        + """SELECT trim(regexp_replace(name, '[^A-Za-z0-9_-]', '-', 'g'), '-') AS page,
+  '# ' || name || chr(10) || chr(10) || '- Files: ' || file_count || chr(10) || '- Nodes: ' || node_count || chr(10) || '- Coupling: ' || coupling || chr(10) || chr(10) || '## Top Files' || chr(10)
+  || string_agg('- ' || file_path || ' (' || symbols || ' symbols)', chr(10) ORDER BY rank) || chr(10) AS body
+FROM communities JOIN top USING (name) GROUP BY name, file_count, node_count, coupling"""
+    ),
+)
+
+# Structural queries --------------------------------------------------------------------------
+
+
+def _pattern_oracle(where: str) -> str:
+    return graph_oracle(f"SELECT source, target, kind, file_path FROM edges WHERE {where} ORDER BY source, target, kind, file_path LIMIT 50")
+
+
+_SMALL = "(lower({0}) LIKE '%small_r%')"
+for _name, _kinds, _ends in (
+    ("imports_of", "imports_from", ["source"]),
+    ("importers_of", "imports_from", ["target"]),
+    ("callees_of", "calls", ["source"]),
+    ("callers_of", "calls", ["target"]),
+    ("container_of", "contains", ["source"]),
+    ("depends_on", "imports_from,calls", ["source"]),
+    ("inheritance_of", "inherits", ["source", "target"]),
+    ("implemented_by", "implements", ["target"]),
+    ("related", "", ["source", "target"]),
+):
+    _target = "Small_R" if _kinds == "calls" or not _kinds else "brand2/Small"
+    _like = _target.lower()
+    _where = " OR ".join(f"lower({e}) LIKE '%{_like}%'" for e in _ends)
+    if _kinds:
+        _where = f"kind IN ({', '.join(repr(k) for k in _kinds.split(','))}) AND ({_where})"
+    _register(_name, lambda s, d, n=_name, t=_target: qry.query_graph(nodes(s, d), edges(s, d), n, t), _pattern_oracle(_where))
+_register(
+    "tests_for",
+    lambda s, d: qry.query_graph(nodes(s, d), edges(s, d), " tests_for ", "Small"),
+    graph_oracle(
+        "SELECT qualified_name AS source, '%::Small' AS target, 'tests_for' AS kind, file_path FROM nodes WHERE kind = 'function' AND (file_path LIKE '%test%' OR file_path LIKE '%.spec.%') AND lower(name) LIKE '%small%' ORDER BY 1, 2, 3, 4 LIMIT 50"
+    ),
+)
+_register(
+    "large_symbols",
+    lambda s, d: qry.large_symbols(nodes(s, d), 60, "function", "Small", 100),
+    graph_oracle(
+        "SELECT kind, qualified_name, file_path, line_start, line_end, CASE WHEN line_end >= line_start THEN line_end - line_start + 1 ELSE 0 END AS line_count FROM nodes WHERE kind = 'function' AND lower(file_path) LIKE '%small%' AND line_count >= 60 ORDER BY line_count DESC, qualified_name LIMIT 100"
+    ),
+)
+_register("graph_status", lambda s, d: qry.graph_status(nodes(s, d), edges(s, d)), graph_oracle("SELECT true AS exists, (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count"))
+
+# Traversals ----------------------------------------------------------------------------------
+
+
+def _first_changed(s: SparkSession, d: str, n: int = 3) -> DataFrame:
+    return derived.changes(s, d).select("file_path").orderBy("file_path").limit(n)
+
+
+_CHANGED = ", changed AS (SELECT file_path FROM changes ORDER BY file_path LIMIT 3)"
+_IMPACT = """, adj AS (
+  SELECT source, target FROM edges WHERE kind IN ('imports_from', 'calls') UNION SELECT target, source FROM edges WHERE kind IN ('imports_from', 'calls')
+), reached(node, depth) AS (
+  SELECT 'file::' || file_path, 0 FROM {changed} UNION SELECT target, depth + 1 FROM reached JOIN adj ON node = source WHERE depth < {depth}
+), impacted AS (SELECT DISTINCT CASE WHEN starts_with(node, 'file::') THEN substr(node, 7) ELSE split_part(node, '::', 1) END AS file_path FROM reached)"""
+_register("impact_radius", lambda s, d: traverse.impact_radius(edges(s, d), _first_changed(s, d), 2), graph_oracle(_CHANGED + _IMPACT.format(changed="changed", depth=2) + "SELECT file_path FROM impacted"))
+
+
+def _imports(s: SparkSession, d: str) -> DataFrame:
+    return edges(s, d).filter("kind = 'imports_from'").select(file_of("source").alias("source"), file_of("target").alias("target"))
+
+
+_register(
+    "reverse_import_impact",
+    lambda s, d: traverse.reverse_import_impact(_imports(s, d), _first_changed(s, d), 3),
+    graph_oracle(
+        _CHANGED
+        + """, back AS (SELECT DISTINCT substr(target, 7) AS source, substr(source, 7) AS target FROM edges WHERE kind = 'imports_from'), reached(file_path, depth) AS (
+  SELECT file_path, 0 FROM changed UNION SELECT target, depth + 1 FROM reached JOIN back ON file_path = source WHERE depth < 3
+) SELECT file_path, min(depth) AS depth FROM reached GROUP BY file_path"""
+    ),
+)
+
+
+def _review_files(s: SparkSession, d: str) -> DataFrame:
+    return nodes(s, d).filter("kind = 'file'").select(F.col("file_path").alias("path"), F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("line "), i.cast("string"), F.lit(" of "), "file_path"))).alias("content"))
+
+
+_register(
+    "review_snippets",
+    lambda s, d: qry.review_context(edges(s, d), _review_files(s, d), _first_changed(s, d), 2, True, 5),
+    graph_oracle(
+        _CHANGED + _IMPACT.format(changed="changed", depth=2) + """SELECT file_path, '### ' || file_path || chr(10) || array_to_string([('line ' || i || ' of ' || file_path) for i in range(1, 11)], chr(10)) AS snippet
+FROM impacted WHERE file_path IN (SELECT file_path FROM nodes) ORDER BY file_path LIMIT 30"""
+    ),
+)
+_register(
+    "cross_repo_impact",
+    lambda s, d: repos.cross_repo_impact(_by_repo(edges(s, d), "file_path"), _by_repo(derived.changes(s, d).select("file_path"), "file_path"), 2),
+    graph_oracle(
+        """, e AS (SELECT DISTINCT split_part(file_path, '/', 1) AS repo, source, target FROM edges WHERE kind IN ('imports_from', 'calls')),
+  adj AS (SELECT repo, source, target FROM e UNION SELECT repo, target, source FROM e), reached(repo, node, depth) AS (
+  SELECT split_part(file_path, '/', 1), 'file::' || file_path, 0 FROM changes UNION SELECT r.repo, target, depth + 1 FROM reached r JOIN adj a ON r.repo = a.repo AND node = source WHERE depth < 2
+) SELECT DISTINCT repo AS repo_alias, CASE WHEN starts_with(node, 'file::') THEN substr(node, 7) ELSE split_part(node, '::', 1) END AS file_path FROM reached"""
+    ),
+)
+
+
+def _by_repo(df: DataFrame, path: str) -> DataFrame:
+    """Each top folder stands for a repository."""
+    return df.withColumn("repo_alias", top_segment(path))
+
+
+# Flows ---------------------------------------------------------------------------------------
+
+_ENTRIES = """, marked AS (
+  SELECT qualified_name AS entry, name, qualified_name IN (SELECT target FROM edges WHERE kind = 'calls') AS hinted FROM nodes WHERE kind = 'function'
+), entries AS (
+  SELECT * FROM marked WHERE NOT hinted OR lower(name) LIKE '%main%' OR lower(name) LIKE '%handler%' OR lower(name) LIKE '%route%' OR lower(name) LIKE '%page%'
+)"""
+_FLOWS = (
+    _ENTRIES
+    + """, chosen AS (SELECT *, row_number() OVER (ORDER BY hinted, entry) AS id FROM entries QUALIFY id <= 300),
+calls AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'calls'), traced(entry, node, depth) AS (
+  SELECT entry, entry, 0 FROM chosen UNION SELECT entry, target, depth + 1 FROM traced JOIN calls ON node = source WHERE depth < {depth}
+), visited AS (SELECT DISTINCT entry, node, split_part(node, '::', 1) AS file_path FROM traced), flows AS (
+  SELECT id, 'flow:' || name AS name, entry, count(DISTINCT file_path) AS file_count, count(*) AS node_count, count(*) + 1.5::DOUBLE * count(DISTINCT file_path) AS criticality
+  FROM chosen JOIN visited USING (entry) GROUP BY id, name, entry
+), members AS (SELECT DISTINCT id AS flow_id, file_path FROM chosen JOIN visited USING (entry))"""
+)
+_register("flow_entries", lambda s, d: flo.flow_entries(nodes(s, d), edges(s, d)), graph_oracle(_ENTRIES + "SELECT * FROM entries"))
+_register("flows", lambda s, d: flo.flows(nodes(s, d), edges(s, d))[0], graph_oracle(_FLOWS.format(depth=4) + "SELECT * FROM flows"))
+_register("flow_memberships", lambda s, d: flo.flows(nodes(s, d), edges(s, d))[1], graph_oracle(_FLOWS.format(depth=4) + "SELECT * FROM members"))
+_register("list_flows", lambda s, d: flo.list_flows(flo.flows(nodes(s, d), edges(s, d))[0], 20), graph_oracle(_FLOWS.format(depth=4) + "SELECT * FROM flows ORDER BY criticality DESC, node_count DESC, id LIMIT 20"))
+_register(
+    "flow_detail",
+    lambda s, d: flo.flow_detail(flo.flows(nodes(s, d), edges(s, d))[0], edges(s, d), "ring").withColumns({c: F.array_join(c, "|") for c in ("nodes", "files")}),
+    graph_oracle(
+        _FLOWS.format(depth=4)
+        + """, one AS (SELECT * FROM flows WHERE name LIKE '%ring%' ORDER BY criticality DESC, id LIMIT 1), deep(node, depth) AS (
+  SELECT entry, 0 FROM one UNION SELECT target, depth + 1 FROM deep JOIN calls ON node = source WHERE depth < 5
+) SELECT one.*, (SELECT string_agg(DISTINCT node, '|' ORDER BY node) FROM deep) AS nodes, (SELECT string_agg(DISTINCT split_part(node, '::', 1), '|' ORDER BY split_part(node, '::', 1)) FROM deep) AS files FROM one"""
+    ),
+)
+
+
+def _ordered_changes(s: SparkSession, d: str) -> DataFrame:
+    return derived.changes(s, d).select("file_path", F.crc32("file_path").alias("ord")).drop("ord").withColumn("ord", F.hex(F.encode(F.reverse("file_path"), "UTF-8")))
+
+
+_register(
+    "affected_flows",
+    lambda s, d: flo.affected_flows(*flo.flows(nodes(s, d), edges(s, d)), _ordered_changes(s, d), 10),
+    graph_oracle(
+        _FLOWS.format(depth=4)
+        + """, first AS (
+  SELECT f.*, row_number() OVER (PARTITION BY id ORDER BY reverse(m.file_path)) AS r, reverse(m.file_path) AS o FROM flows f JOIN members m ON f.id = m.flow_id WHERE m.file_path IN (SELECT file_path FROM changes)
+) SELECT id, name, entry, file_count, node_count, criticality FROM first WHERE r = 1 ORDER BY o, criticality DESC, node_count DESC, id LIMIT 10"""
+    ),
+)
+
+# Risk ----------------------------------------------------------------------------------------
+
+_RISK = (
+    _IMPACT.format(changed="changes", depth=2)
+    + """, tests AS (SELECT * FROM nodes WHERE file_path LIKE '%test%' OR file_path LIKE '%.spec.%'),
+names AS (SELECT file_path, lower(name) AS part FROM nodes WHERE kind = 'function' AND file_path IN (SELECT file_path FROM changes) QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY qualified_name) <= 100),
+stems AS (SELECT file_path, lower(replace(replace(split_part(regexp_extract(file_path, '[^/]*$'), '.', 1), '-', ''), '_', '')) AS stem FROM changes),
+linked AS (SELECT n.file_path, count(*) AS c FROM names n JOIN tests t ON contains(lower(t.name), part) OR contains(lower(t.qualified_name), part) GROUP BY 1),
+hit AS (SELECT s.file_path, count(*) AS c FROM stems s JOIN tests t ON t.kind = 'function' AND (contains(lower(t.name), stem) OR contains(lower(t.qualified_name), stem)) GROUP BY 1),
+counted AS (
+  SELECT c.file_path, (SELECT count(*) FROM impacted) - CASE WHEN c.file_path IN (SELECT file_path FROM impacted) THEN 1 ELSE 0 END AS impacted_files,
+    coalesce(k.c, 0) AS callers, coalesce(hit.c, 0) AS test_hits, c.added + c.deleted AS changed_lines, 0::BIGINT AS security_hits, coalesce(f.c, 0) AS functions, coalesce(linked.c, 0) AS linked
+  FROM changes c LEFT JOIN (SELECT split_part(target, '::', 1) AS file_path, count(*) AS c FROM edges WHERE kind = 'calls' GROUP BY 1) k USING (file_path)
+  LEFT JOIN (SELECT file_path, count(*) AS c FROM nodes WHERE kind = 'function' GROUP BY 1) f USING (file_path) LEFT JOIN hit USING (file_path) LEFT JOIN linked USING (file_path)
+), scored AS (
+  SELECT *, 1.5::DOUBLE * callers + 0.8::DOUBLE * impacted_files + 0.3::DOUBLE * changed_lines + 0.7::DOUBLE * functions + CASE WHEN test_hits = 0 AND linked = 0 THEN 4 ELSE 0 END AS score FROM counted
+), risks AS (
+  SELECT file_path, impacted_files, callers, test_hits, changed_lines, security_hits, round(score, 6) AS risk_score, CASE WHEN score >= 16 THEN 'high' WHEN score >= 8 THEN 'medium' ELSE 'low' END AS risk FROM scored
+)"""
+)
+
+
+def _risks(s: SparkSession, d: str) -> DataFrame:
+    return risk.change_risk(nodes(s, d), edges(s, d), derived.changes(s, d))
+
+
+_register("change_risk", _risks, graph_oracle(_RISK + "SELECT * FROM risks"))
+_register(
+    "minimal_context",
+    lambda s, d: risk.minimal_context(_risks(s, d)).withColumns({c: F.array_join(c, "|") for c in ("top_files", "suggested_tools")}),
+    graph_oracle(
+        _RISK
+        + f"""SELECT CASE WHEN bool_or(risk = 'high') THEN 'high' WHEN bool_or(risk = 'medium') THEN 'medium' ELSE 'low' END AS risk, count(*) AS changed_files, sum(impacted_files)::BIGINT AS impacted_files,
+  (SELECT string_agg(file_path || ' (' || risk || ')', '|' ORDER BY impacted_files DESC, file_path) FROM (SELECT * FROM risks ORDER BY impacted_files DESC, file_path LIMIT 5)) AS top_files,
+  '{"|".join(risk.SUGGESTED_TOOLS)}' AS suggested_tools FROM risks"""
+    ),
+)
+_WORDS = ("token", "idiot", "license", "the")
+_register(
+    "security_hits",
+    lambda s, d: risk.line_hits(docs(s, d).select(F.col("path").alias("file_path"), F.explode(lines_of("content")).alias("line")), _WORDS),
+    docs_oracle(
+        f"""SELECT path AS file_path, sum({" + ".join(f"contains(lower(line), '{w}')::INT" for w in _WORDS)})::BIGINT AS security_hits
+FROM (SELECT path, unnest(string_split(content, chr(10))) AS line FROM docs) GROUP BY 1 HAVING sum({" + ".join(f"contains(lower(line), '{w}')::INT" for w in _WORDS)}) > 0"""
+    ),
+)
+
+# Search --------------------------------------------------------------------------------------
+
+_VECTOR = """, counts AS (
+  SELECT qualified_name, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, count(*)::DOUBLE AS n FROM (
+    SELECT qualified_name, unnest(regexp_split_to_array(kind || ' ' || name || ' ' || qualified_name || ' ' || file_path, '[^\\p{L}\\p{N}_-]+')) AS w FROM nodes WHERE kind <> 'file') WHERE w <> '' GROUP BY 1, 2
+)"""
+_register(
+    "embed_nodes",
+    lambda s, d: search.embed_nodes(nodes(s, d)).select("qualified_name", "model", F.posexplode("vector").alias("dim", "value")).filter("value <> 0").withColumn("value", F.round("value", 9)),
+    graph_oracle(_VECTOR + "SELECT qualified_name, 'hash-v1' AS model, b AS dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY qualified_name)), 9) AS value FROM counts"),
+)
+
+
+def _table_vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The embeddings table as nodes and vectors."""
+    table = s.read.parquet(f"{d}/embeddings.parquet")
+    name = F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("qualified_name")
+    return table.select(name, F.concat(F.lit("k"), F.col("label").cast("string")).alias("kind"), F.lit("vectors").alias("file_path")), table.select(name, F.col("embedding").alias("vector"))
+
+
+_register(
+    "vector_search",
+    lambda s, d: search.vector_search(*_table_vectors(s, d), [1.0 if i % 3 else -1.0 for i in range(64)], None, 25),
+    """WITH q AS (SELECT [CASE WHEN i % 3 <> 0 THEN 1.0 ELSE -1.0 END::DOUBLE for i in range(64)] AS v)
+SELECT lpad(vec_id::VARCHAR, 9, '0') AS qualified_name, 'k' || label AS kind, 'vectors' AS file_path,
+  CASE WHEN len(embedding) = 64 THEN round(list_dot_product(embedding::DOUBLE[], v) / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v, v)), 1e-9), 9) ELSE 0 END AS score
+FROM embeddings, q ORDER BY score DESC, qualified_name LIMIT 25""",
+)
+_LEXICAL = """, lexical AS (
+  SELECT qualified_name, kind, file_path, CASE WHEN lower(name) = 'hot_gear_4' THEN 1 WHEN contains(lower(name), 'hot_gear_4') THEN 0.85 ELSE 0.5 END::DOUBLE AS score
+  FROM (SELECT * FROM nodes WHERE lower(name) LIKE '%hot_gear_4%' OR lower(qualified_name) LIKE '%hot_gear_4%' ORDER BY kind, qualified_name LIMIT {limit})
+)"""
+_register("lexical_search", lambda s, d: search.lexical_search(nodes(s, d), "Hot_Gear_4", None, 30), graph_oracle(_LEXICAL.format(limit=30) + "SELECT * FROM lexical"))
+_register(
+    "hybrid_search",
+    lambda s, d: search.semantic_search(nodes(s, d), search.embed_nodes(nodes(s, d)), "Hot_Gear_4", None, 20),
+    graph_oracle(
+        _VECTOR
+        + _LEXICAL.format(limit=60)
+        + """, scored AS (
+  SELECT qualified_name, round(coalesce(max(n) FILTER (b = ('0x' || substr(md5('Hot_Gear_4'), 1, 2))::INT % 64), 0) / greatest(sqrt(sum(n * n)), 1e-9), 9) AS score FROM counts GROUP BY 1
+), vector AS (SELECT qualified_name, kind, file_path, s.score FROM scored s JOIN nodes USING (qualified_name) ORDER BY s.score DESC, qualified_name LIMIT 60),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, qualified_name) AS r FROM vector UNION ALL SELECT *, row_number() OVER (ORDER BY score DESC, kind, qualified_name) FROM lexical
+) SELECT qualified_name, kind, file_path, round(sum(1 / (60.0::DOUBLE + r)), 9) AS score FROM ranked GROUP BY 1, 2, 3 ORDER BY score DESC, qualified_name LIMIT 20"""
+    ),
+)
+_register(
+    "cross_repo_search",
+    lambda s, d: search.cross_repo_search(_by_repo(nodes(s, d), "file_path"), "gear", 40),
+    graph_oracle(
+        """, hit AS (
+  SELECT split_part(file_path, '/', 1) AS repo_alias, qualified_name, kind, file_path, CASE WHEN lower(name) = 'gear' THEN 1 WHEN contains(lower(name), 'gear') THEN 0.85 ELSE 0.5 END AS s
+  FROM nodes WHERE lower(name) LIKE '%gear%' OR lower(qualified_name) LIKE '%gear%' QUALIFY row_number() OVER (PARTITION BY repo_alias ORDER BY kind, qualified_name) <= 120
+) SELECT repo_alias, qualified_name, kind, file_path, round(1 / (60.0::DOUBLE + row_number() OVER (PARTITION BY repo_alias ORDER BY s DESC, kind, qualified_name)), 9) AS score FROM hit ORDER BY score DESC, repo_alias, qualified_name LIMIT 40"""
+    ),
+)
+
+# Texts ---------------------------------------------------------------------------------------
+
+
+def _snapshot(s: SparkSession, d: str) -> DataFrame:
+    return docs(s, d).withColumn("mode", F.when(F.col("path").endswith(".py"), "full").otherwise("summary")).withColumn("summary", text.summarize("content", "path", 300))
+
+
+_LINES = "SELECT path, content, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS nr FROM docs"
+_register(
+    "summarize_generic",
+    lambda s, d: docs(s, d).filter("path LIKE '%.txt'").select("path", F.md5(text.summarize("content", "path", 10_000_000)).alias("summary_md5")),
+    docs_oracle(
+        f""", lines AS ({_LINES}) SELECT path, md5(coalesce(string_agg(norm || chr(10), '' ORDER BY nr) FILTER (norm <> '' AND nr <= 200), '')) AS summary_md5
+FROM (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS norm FROM lines) WHERE path LIKE '%.txt' GROUP BY path"""
+    ),
+)
+_register(
+    "summarize_markdown",
+    lambda s, d: docs(s, d).filter("path LIKE '%.md'").select("path", F.md5(text.summarize("content", "path", 10_000_000)).alias("summary_md5")),
+    docs_oracle(
+        f""", lines AS ({_LINES}), fenced AS (
+  SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS norm, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INT) OVER (PARTITION BY path ORDER BY nr) % 2 AS inside FROM lines WHERE path LIKE '%.md'
+) SELECT path, md5(coalesce(string_agg(norm || chr(10), '' ORDER BY nr) FILTER (NOT fence AND inside = 0 AND regexp_matches(norm, '^(#|- |\\* |1\\.)|Rule|Violation|MUST|must')), '')) AS summary_md5 FROM fenced GROUP BY path"""
+    ),
+)
+_register(
+    "prompt_budget",
+    lambda s, d: text.prompt_blocks(docs(s, d).withColumn("mode", F.lit("full")).withColumn("summary", F.lit("")), "h" * 100, 200_000).select("path", F.md5("block").alias("block_md5"), "start"),
+    docs_oracle(
+        """, blocks AS (SELECT path, '### ' || path || chr(10) || content || chr(10) || chr(10) AS block FROM docs),
+placed AS (SELECT *, strlen(block) AS n, 100 + coalesce(sum(strlen(block)) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM blocks),
+shown AS (SELECT *, start + n <= 200000 AS whole, lag(start + n <= 200000, 1, true) OVER (ORDER BY path) AS shown FROM placed)
+SELECT path, md5(CASE WHEN whole THEN block ELSE (
+  SELECT max_by(p, len(p)) FROM (SELECT substr(block, 1, k) AS p FROM range(0, len(block) + 1) AS r(k)) WHERE strlen(p) <= 200000 - start) || '...truncated...' || chr(10) END) AS block_md5, start FROM shown WHERE shown"""
+    ),
+)
+_register(
+    "refactor_preview",
+    lambda s, d: text.refactor_preview(docs(s, d), "thon", 100),
+    docs_oracle(f""", lines AS ({_LINES}) SELECT path AS file_path, nr::BIGINT AS line, substr(trim(line), 1, 180) AS text FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])') ORDER BY 1, 2 LIMIT 100"""),
+)
+_register(
+    "refactor_totals",
+    lambda s, d: text.refactor_totals(docs(s, d), "thon", 100),
+    docs_oracle(f""", lines AS ({_LINES}) SELECT least(count(*), 100) AS total_occurrences, count(DISTINCT path) AS files_touched FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])')"""),
+)
+_register(
+    "refactor_apply",
+    lambda s, d: text.apply_refactor(docs(s, d), "thon", "re$1named\\", 20).select("path", F.md5("new_content").alias("content_md5")),
+    # twice, as neighbours share the character between them
+    docs_oracle(
+        """, renamed AS (SELECT path, content, regexp_replace(regexp_replace(content, '(^|[^\\p{L}\\p{N}_])thon($|[^\\p{L}\\p{N}_])', '\\1re$1named\\\\\\2', 'g'), '(^|[^\\p{L}\\p{N}_])thon($|[^\\p{L}\\p{N}_])', '\\1re$1named\\\\\\2', 'g') AS new FROM docs)
+SELECT path, md5(new) AS content_md5 FROM renamed WHERE new <> content ORDER BY path LIMIT 20"""
+    ),
+)
+_register(
+    "query_symbol",
+    lambda s, d: text.query_symbol(docs(s, d), "thon")[1],
+    docs_oracle(
+        f""", lines AS ({_LINES}) SELECT path AS file_path, nr::BIGINT AS line, trim(line) AS text, true AS external, false AS probable_test FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])')"""
+    ),
+)
+_register(
+    "path_functions",
+    lambda s, d: docs(s, d).select("path", extension("path").alias("ext"), language_of("path").alias("symbol_language"), language_of("path", FILE_LANGUAGES, "unknown").alias("file_language"), page_name("path").alias("page"), without_quotes(F.concat(F.lit("'"), "path", F.lit('"'))).alias("bare")),
+    docs_oracle("SELECT path, regexp_extract(path, '[.][a-z]+$') AS ext, CASE WHEN path LIKE '%.py' THEN 'python' END AS symbol_language, CASE WHEN path LIKE '%.py' THEN 'python' ELSE 'unknown' END AS file_language, regexp_replace(path, '[^A-Za-z0-9_-]', '-', 'g') AS page, path AS bare FROM docs"),
+)
+
+# Resolution, snapshots, streams --------------------------------------------------------------
+
+
+def _specifiers(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Imports between files as relative specifiers without their endings."""
+    pairs = _imports(s, d)
+    up = F.repeat(F.lit("../"), F.size(F.split("source", "/")) - 1)
+    spec = F.concat(F.lit("./"), up, F.regexp_replace("target", r"\.ts$", ""))
+    return pairs.select(F.col("source").alias("file_path"), spec.alias("specifier")), nodes(s, d).filter("kind = 'file'").select(F.col("file_path").alias("path"))
+
+
+_register(
+    "import_resolution",
+    lambda s, d: resolve.resolve_imports(*_specifiers(s, d)),
+    graph_oracle("SELECT file_path, './' || repeat('../', len(string_split(file_path, '/')) - 1) || regexp_replace(substr(target, 7), '[.]ts$', '') AS specifier, substr(target, 7) AS target FROM edges WHERE kind = 'imports_from'"),
+)
+
+
+def _references(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Calls by bare names, many of which several files define."""
+    bare = F.regexp_replace(F.substring_index("target", "::", -1), r"_\d+$", "")
+    calls = edges(s, d).filter("kind = 'calls'").select("kind", "source", bare.alias("target_name"), "file_path")
+    symbols = nodes(s, d).filter("kind = 'function'").select(F.regexp_replace("name", r"_\d+$", "").alias("name"), "qualified_name", "file_path", F.lit(0).alias("ord"))
+    return calls, symbols
+
+
+_register(
+    "symbol_resolution",
+    lambda s, d: resolve.resolve_names(*_references(s, d)),
+    graph_oracle(
+        """, first AS (SELECT regexp_replace(name, '_[0-9]+$', '') AS name, arg_min(qualified_name, (file_path, qualified_name)) AS target FROM nodes WHERE kind = 'function' GROUP BY 1)
+SELECT e.kind, e.source, first.target, e.file_path FROM edges e JOIN first ON first.name = regexp_replace(regexp_extract(e.target, '[^:]*$'), '_[0-9]+$', '') WHERE e.kind = 'calls'"""
+    ),
+)
+
+
+def _listings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A listing before and after: some documents gone, some new, some touched, some changed."""
+    base = docs(s, d).select("path", F.md5("content").alias("hash"), F.col("size").alias("size"), "doc_id")
+    old = base.filter("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.md5("hash")).otherwise(F.col("hash")).alias("hash"), F.lit(1).cast("long").alias("mtime_ms"), "size", F.lit("full").alias("mode"))
+    new = base.filter("doc_id % 11 <> 0").select("path", "hash", F.when(F.col("doc_id") % 5 <= 1, 2).otherwise(1).cast("long").alias("mtime_ms"), "size", F.lit("full").alias("mode"))
+    return new, old
+
+
+_register(
+    "incremental_diff",
+    lambda s, d: compare_listing(*_listings(s, d)),
+    docs_oracle(
+        """SELECT path, CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'changed' WHEN doc_id % 5 = 1 THEN 'touched' ELSE 'same' END AS state
+FROM docs WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0)"""
+    ),
+)
+_register(
+    "debounce_sessions",
+    lambda s, d: debounced(s.read.parquet(f"{d}/events.parquet"), "ts", "700 milliseconds", "event_type"),
+    """WITH marked AS (
+  SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 700 MILLISECONDS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)
+), numbered AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
+SELECT event_type, min(ts) AS first_at, max(ts) + INTERVAL 700 MILLISECONDS AS fires_at, count(*) AS changes FROM numbered GROUP BY event_type, k""",
+)
+_COMMANDS = ("refresh", "graph-build", "graph-status", "query-graph", "impact-radius", "detect-changes", "minimal-context", "list-flows", "get-flow", "affected-flows", "list-communities", "get-community", "semantic-search", "generate-wiki", "get-wiki-page", "registry-list", "cross-repo-search", "watch")
+_TOOLS = ("get_minimal_context", "build_or_update_graph", "list_graph_stats", "query_graph", "get_impact_radius", "detect_changes", "list_flows", "get_flow", "get_affected_flows", "list_communities", "get_community", "semantic_search_nodes", "generate_wiki_tool", "get_wiki_page_tool", "registry_list", "cross_repo_search")
+
+
+def _parity(s: SparkSession, d: str) -> DataFrame:
+    return parity.best_matches(s.createDataFrame([(c,) for c in _COMMANDS], "command string"), s.createDataFrame([(t, i) for i, t in enumerate(_TOOLS)], "tool string, ord int"))
+
+
+_register(
+    "parity_match",
+    _parity,
+    f"""WITH c AS (SELECT unnest({list(_COMMANDS)}) AS command), t AS (SELECT unnest({list(_TOOLS)}) AS tool, unnest(range({len(_TOOLS)})) AS ord),
+w AS (SELECT command, list_distinct(string_split(command, '-')) AS cw FROM c), v AS (SELECT tool, ord, list_distinct([x for x in string_split(tool, '_') if x NOT IN ('or','the','and','to','of','a','an')]) AS tw FROM t),
+fit AS (SELECT command, tool, ord, len(list_intersect(cw, tw)) AS n FROM w, v WHERE len(list_intersect(cw, tw)) > 0 AND len(list_intersect(cw, tw)) >= 0.5 * least(len(cw), len(tw)))
+SELECT c.command, b.tool FROM c LEFT JOIN (SELECT command, tool FROM fit QUALIFY row_number() OVER (PARTITION BY command ORDER BY n DESC, ord) = 1) b USING (command)""",
+)
