@@ -61,8 +61,9 @@ def like(of: str | Column, pattern: str) -> Column:
 
 def like_column(of: Column, pattern: Column) -> Column:
     """like() for a pattern from a column."""
-    escaped = F.regexp_replace(ascii_lower(pattern), r"([\\\\.^$|?*+()\[\]{}])", r"\\$1")
-    return ascii_lower(of).rlike(F.concat(F.lit("(?s)^"), F.replace(F.replace(escaped, F.lit("%"), F.lit(".*")), F.lit("_"), F.lit(".")), F.lit("\\z")))
+    escaped = F.regexp_replace(ascii_lower(pattern), r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    regex = F.replace(F.replace(escaped, F.lit("%"), F.lit(".*")), F.lit("_"), F.lit("."))
+    return F.regexp_like(ascii_lower(of), F.concat(F.lit("(?s)^"), regex, F.lit("\\z")))
 
 
 def file_of(node: str | Column) -> Column:

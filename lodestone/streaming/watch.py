@@ -16,7 +16,7 @@ DEBOUNCE = "700 milliseconds"
 
 def debounced(events: DataFrame, at: str = "ts", gap: str = DEBOUNCE, *keys: str, watermark: str | None = None) -> DataFrame:
     """(keys, first_at, fires_at, changes): bursts of events less than a gap apart; a burst fires a
-    gap after its last event. On a stream, give a watermark for late events."""
+    gap after its last event. On a stream, give a watermark for late events, and a key at least."""
     if watermark is not None:
         events = events.withWatermark(at, watermark)
     bursts = events.groupBy(*keys, F.session_window(at, gap).alias("_w")).agg(F.count("*").alias("changes"))
@@ -26,7 +26,7 @@ def debounced(events: DataFrame, at: str = "ts", gap: str = DEBOUNCE, *keys: str
 def watch(spark: SparkSession, folder: str, refresh: Callable[[DataFrame, int], None], checkpoint: str, extensions: tuple[str, ...] = TEXT_EXTENSIONS, once: bool = False) -> StreamingQuery:
     """Calls refresh(files, batch) with new files (path, modificationTime, length, content) of the
     given extensions, a batch each debounce interval; `once` handles what is there and stops."""
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     own = found.filter(extension("path").isin(*extensions))
     writer = own.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
