@@ -53,11 +53,12 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMBERS = re.compile(
     rf"(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,3}(?!\w|\.\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
     re.ASCII,
 )
-_NAME = re.compile(r"\b([^\W\d_]+) ([^\W\d_]{2,})\b")
+_NAME = re.compile(rf"(?<!\w)(?=[{''.join(sorted({n[0] for n in _OF_GIVEN}))}])(?:{'|'.join(sorted(_OF_GIVEN, reverse=True))}) ([^\W\d_]{{2,}})\b")
+_DIGIT = re.compile("[0-9]")
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
@@ -65,14 +66,9 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)]
-    found += [(m.start(), m.end(), m.lastgroup) for m in _NUMBERS.finditer(text)]
-    at = 0
-    while (m := _NAME.search(text, at)) is not None:
-        if m[1] in _OF_GIVEN and m[2][0].isupper():
-            found.append((m.start(), m.end(), "name"))
-            at = m.end()
-        else:
-            at = m.start(2)
+    if _DIGIT.search(text):
+        found += [(m.start(), m.end(), m.lastgroup) for m in _NUMBERS.finditer(text)]
+    found += [(m.start(), m.end(), "name") for m in _NAME.finditer(text) if m[1][0].isupper()]
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or start >= out[-1][1]:
