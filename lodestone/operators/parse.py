@@ -377,7 +377,7 @@ class _Scanner:
             j = i + 1 + (self.at(i + 1) == "(")
             if self.at(j)[:1] in "'\"":
                 self.facts.import_(self.at(j)[1:-1])
-        elif self.is_name(text) and self.stack[-1][1] and (self.at(i + 1) == "(" or self.at(i - 1) == "."):
+        elif self.stack[-1][1] and (self.is_name(text) and self.at(i + 1) == "(" or self.at(i - 1) == "." and text[0].isalpha()):
             self.facts.reference("calls", self.stack[-1][1], text)
         return i + 1
 
