@@ -160,7 +160,7 @@ def _matched(spark: SparkSession, out: DataFrame, part: list, text: str, window:
             yield pd.DataFrame(rows, columns=["n_words", "stretches", "items"])
 
     kind = "n_words long, stretches array<struct<start:long,end:long>>, items array<string>"
-    udf = F.pandas_udf(match, kind, F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(match, kind)
     others = [c for c in out.columns if c not in ("n_words", "stretches", "items")]
     return out.select(*others, udf(F.col(text), F.col("stretches"), F.col("items")).alias("_m")).select(*others, "_m.n_words", "_m.stretches", "_m.items")
 

@@ -256,7 +256,7 @@ def replace_entities(docs: DataFrame, secret: bytes, key: str = "doc_id", text:
             yield pd.DataFrame(rows, columns=["text", *made])
 
     kind = ", ".join(["text string", *(f"{m} long" for m in made)])
-    out = rounded.withColumn("_r", F.pandas_udf(replace, kind, F.PandasUDFType.SCALAR_ITER)(F.col(text), F.col("_rounds")))
+    out = rounded.withColumn("_r", F.pandas_udf(replace, kind)(F.col(text), F.col("_rounds")))
     return out.withColumns({text: F.col("_r.text")} | {m: F.col(f"_r.{m}") for m in made}).drop("_r", "_rounds")
 
 

@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str =
             logits = np.array([model.logit(finder(t)) for t in batch])
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))), dtype="float64")
 
-    return docs.withColumn(into, F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return docs.withColumn(into, F.pandas_udf(scores, "double")(F.col(text)))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ from . import common
 #: Samples of a signature.
 SAMPLES = 16
 #: Documents that are put in order together, and ranges of ids at most. With more documents, ranges grow.
-RANGE_ROWS, MOST_RANGES = 256, 4096
+RANGE_ROWS, MOST_RANGES = 256, 65_536
 
 
 def with_terms(df: DataFrame, text: str) -> DataFrame:
