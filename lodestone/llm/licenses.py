@@ -177,3 +177,33 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     closest = F.get(F.filter("found", lambda x: x["dice"] == top), F.lit(0))["license"]
     names = F.array_join(F.transform("found", lambda x: x["license"]), ",")
     return found.select("doc_id", F.size("found").cast("long").alias("n_licenses"), names.alias("licenses"), closest.alias("closest"), F.round(top, 9).alias("dice"))
+
+
+def _template_rows() -> str:
+    listed = [(n, i, b) for n, texts in sorted(TEMPLATES.items()) for i, t in enumerate(texts) for b in bigrams_of(t)]
+    return ", ".join(f"('{n}', {i}, '{b}')" for n, i, b in listed)
+
+
+#: op8_license_scan in DuckDB SQL.
+OP8_SQL = f"""
+WITH templates(license, nr, bigram) AS (VALUES {_template_rows()}), sizes AS (
+  SELECT license, nr, count(*) AS n FROM templates GROUP BY license, nr
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, string_split_regex(coalesce(text, ''), '\\r?\\n') AS lines FROM documents
+), p AS (
+  SELECT r, unnest(list_distinct(list_concat(lines, flatten([string_split(regexp_replace(x, '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) for x in lines]), string_split_regex(t, '\\n\\s*\\n'), [t]))) AS passage FROM d
+), w AS (
+  SELECT r, row_number() OVER () AS k, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM p
+), b AS (
+  SELECT r, k, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS bigrams FROM w WHERE len(words) > 1
+), shared AS (
+  SELECT r, k, license, nr, any_value(m) AS m, count(*) AS s FROM (SELECT r, k, len(bigrams) AS m, unnest(bigrams) AS bigram FROM b) JOIN templates USING (bigram) GROUP BY r, k, license, nr
+), scored AS (
+  SELECT r, k, license, 2.0::DOUBLE * s / (m + n) AS dice FROM shared JOIN sizes USING (license, nr)
+), best AS (
+  SELECT r, license, max(dice) AS dice FROM (SELECT *, max(dice) OVER (PARTITION BY r, k) AS top FROM scored) WHERE dice >= {THRESHOLD} AND dice = top GROUP BY r, license
+), told AS (
+  SELECT r, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses, arg_min(license, (-dice, license)) AS closest, max(dice) AS dice FROM best GROUP BY r
+)
+SELECT doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, closest, round(dice, 9) AS dice FROM d LEFT JOIN told USING (r)
+"""

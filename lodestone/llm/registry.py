@@ -22,6 +22,8 @@ QUERIES = [
 ]
 ORACLES = {
     "op2_decontamination": decontaminate.OP2_SQL,
+    "op3_secret_scan": secrets.OP3_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
     "op9_curriculum_mix": mixing.OP9_SQL,
 }
 

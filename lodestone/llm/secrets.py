@@ -108,3 +108,34 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(of_kind, BASE), F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), digest(F.col("found")).alias("spans"), count(lambda s: s["kind"] == "owned").alias("n_owned"), count(lambda s: s["copied"]).alias("n_copied"), count(lambda s: s["live"] & ~s["copied"]).alias("n_live")
     )
+
+
+#: op3_secret_scan in DuckDB SQL.
+OP3_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o, coalesce(lang, '') AS l FROM documents
+), m AS (
+  SELECT r, o, l, t, kind, rank, least, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS wholes, CASE WHEN rank = 0 THEN regexp_extract_all(t, '{KINDS["assign"][0].replace("'", "''")}', 2) ELSE regexp_extract_all(t, pattern) END AS vals
+  FROM d, (VALUES ('assign', 0, 6, '{KINDS["assign"][0].replace("'", "''")}'), ('access', 1, 20, 'AKIA[A-Z0-9]+'), ('hex', 2, 24, '[0-9a-f]{{24,}}'), ('owned', 3, 20, '[A-Za-z0-9+/_-]+')) AS k(kind, rank, least, pattern)
+  WHERE regexp_matches(t, pattern)
+), e AS (
+  SELECT r, o, l, kind, rank, least, vals[i] AS v, len(wholes[i]) AS width, list_sum([len(x) for x in gaps[1:i]]) + coalesce(list_sum([len(x) for x in wholes[1:i - 1]]), 0) AS start
+  FROM m, unnest(range(1, len(wholes) + 1)) AS u(i)
+  WHERE len(vals[i]) >= least AND (rank < 3 OR regexp_matches(vals[i], '[0-9]') AND regexp_matches(vals[i], '[A-Za-z]'))
+), owned AS (
+  SELECT v, count(DISTINCT o) AS owners, count(DISTINCT (o, l)) AS repositories FROM e GROUP BY v
+), s AS (
+  SELECT r, kind, rank, start::BIGINT AS start, (start + width)::BIGINT AS stop, owners >= {COPIED_OWNERS} OR repositories >= {COPIED_REPOSITORIES} AS copied,
+    regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LIVE_CHARACTERS} AS live
+  FROM e JOIN owned USING (v)
+), kept AS (
+  SELECT * FROM s WHERE rank < 3 OR live AND NOT copied AND NOT EXISTS (SELECT 1 FROM s b WHERE b.r = s.r AND b.rank < 3 AND b.start < s.stop AND s.start < b.stop)
+), told AS (
+  SELECT r, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, count(*) FILTER (rank = 3) AS n_owned, count(*) FILTER (copied) AS n_copied, count(*) FILTER (live AND NOT copied) AS n_live,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base
+  FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0)::BIGINT AS n_owned, coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(n_live, 0)::BIGINT AS n_live
+FROM d LEFT JOIN told USING (r)
+"""
