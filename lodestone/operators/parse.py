@@ -443,7 +443,7 @@ def fallback_symbols(files: DataFrame) -> DataFrame:
 
 def fallback_imports(files: DataFrame) -> DataFrame:
     """(file_path, specifier) by patterns alone, once for each file."""
-    found = F.transform(_named(F.col("content"), IMPORT_PATTERN, 3), F.trim)
+    found = F.transform(_named(F.col("content"), IMPORT_PATTERN, 3), lambda n: F.trim(n))
     return files.filter("content IS NOT NULL").select(F.col("path").alias("file_path"), F.explode(F.array_distinct(found)).alias("specifier"))
 
 

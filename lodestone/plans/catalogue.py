@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import FILE_LANGUAGES, SYMBOL_LANGUAGES, extension, file_of, language_of, lines_of, page_name, top_segment, without_quotes
+from lodestone.operators import build, parity, parse, repos, resolve, risk, search, text, traverse
 from lodestone.operators import communities as com
 from lodestone.operators import flows as flo
-from lodestone.operators import parity, repos, resolve, risk, search, text, traverse
 from lodestone.operators import query as qry
 from lodestone.plans import derived
 from lodestone.plans.derived import docs, docs_oracle, edges, graph_oracle, nodes
@@ -443,6 +443,32 @@ SELECT e.kind, e.source, first.target, e.file_path FROM edges e JOIN first ON fi
 )
 
 
+def _sources(s: SparkSession, d: str) -> DataFrame:
+    """The derived graph written out as source files (path, hash, content)."""
+    bare = F.substring_index("target", "::", -1)
+    e = edges(s, d)
+    imported, _ = _specifiers(s, d)
+    imports = imported.groupBy("file_path").agg(F.collect_list(F.concat(F.lit("import '"), "specifier", F.lit("';"))).alias("_imports"))
+    called = e.filter("kind = 'calls'").groupBy(F.col("source").alias("qualified_name")).agg(F.collect_list(F.concat(F.lit("  "), bare, F.lit("(1);"))).alias("_calls"))
+    body = F.concat(F.lit("export function "), "name", F.lit("(x) {\n"), F.coalesce(F.array_join("_calls", "\n"), F.lit("")), F.lit("\n}"))
+    functions = nodes(s, d).filter("kind = 'function'").join(called, "qualified_name", "left").groupBy("file_path").agg(F.collect_list(body).alias("_functions"))
+    bases = e.filter("kind = 'inherits'").select(F.col("source").alias("qualified_name"), F.concat(F.lit(" extends "), bare).alias("_base"))
+    classes = nodes(s, d).filter("kind = 'class'").join(bases, "qualified_name", "left").select("file_path", F.concat(F.lit("export class "), "name", F.coalesce("_base", F.lit("")), F.lit(" {\n}")).alias("_class"))
+    none = F.array().cast("array<string>")
+    content = F.array_join(F.concat(F.coalesce("_imports", none), F.array("_class"), F.coalesce("_functions", none)), "\n")
+    return classes.join(imports, "file_path", "left").join(functions, "file_path", "left").select(F.col("file_path").alias("path"), F.md5(content).alias("hash"), content.alias("content"))
+
+
+_register("build_edges", lambda s, d: build.build(_sources(s, d))[1], graph_oracle("SELECT kind, source, target, file_path FROM edges"))
+_register("build_nodes", lambda s, d: build.build(_sources(s, d))[0].select("kind", "name", "qualified_name", "file_path", "language"), graph_oracle("SELECT kind, name, qualified_name, file_path, language FROM nodes"))
+_register(
+    "fallback_parse",
+    lambda s, d: parse.fallback_symbols(_sources(s, d)).select("file_path", "kind", "name", "qualified_name", "container", "language"),
+    graph_oracle("SELECT file_path, kind, name, qualified_name, 'file::' || file_path AS container, 'typescript' AS language FROM nodes WHERE kind <> 'file'"),
+)
+_register("fallback_imports", lambda s, d: parse.fallback_imports(_sources(s, d)), graph_oracle("SELECT file_path, './' || repeat('../', len(string_split(file_path, '/')) - 1) || regexp_replace(substr(target, 7), '[.]ts$', '') AS specifier FROM edges WHERE kind = 'imports_from'"))
+
+
 def _listings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A listing before and after: some documents gone, some new, some touched, some changed."""
     base = docs(s, d).select("path", F.md5("content").alias("hash"), F.col("size").alias("size"), "doc_id")
