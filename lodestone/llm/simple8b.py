@@ -112,7 +112,7 @@ def decode(words: np.ndarray, block_words: np.ndarray, n: int, escapes: np.ndarr
 class Writer:
     """Writes documents to a file as they come; holds STEP ids and the index."""
 
-    STEP = BLOCK * 1024
+    STEP = BLOCK * 256
 
     def __init__(self, file: BinaryIO):
         self.file, self.pending, self.held = file, [], 0
@@ -147,7 +147,7 @@ class Writer:
         self.file.write(TAIL.pack(self.n_ids, len(offsets) - 1, len(self.escapes), len(self.docs), MAGIC))
 
 
-def read(file: BinaryIO, blocks: int = 1024) -> Iterator[tuple[int | None, bool, np.ndarray]]:
+def read(file: BinaryIO, blocks: int = 256) -> Iterator[tuple[int | None, bool, np.ndarray]]:
     """(doc_id, whether the document ends here, ids) in order, from `blocks` blocks at a time: a
     long document comes in pieces. The file must be seekable."""
     file.seek(0, 2)

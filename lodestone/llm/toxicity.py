@@ -43,7 +43,7 @@ COUNTS = (1, 2, 4, 8)
 #: The most that labels err, of clean and of toxic texts, and the most log odds of all other voters.
 LABEL_ERRORS, MOST_EVIDENCE = (0.01, 0.05), 2.5
 #: Terms and words that a task holds before it passes counts on, or forgets.
-HELD = 300_000
+HELD = 150_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
