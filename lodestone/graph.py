@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import build, communities, flows, query, risk, search, text, traverse
 from lodestone.operators.parse import snapshot_imports
 from lodestone.operators.resolve import SNAPSHOT_ENDINGS, resolve_imports
+from lodestone.sources import embedding
 from lodestone.sources.snapshot import load_snapshot, save_snapshot
 
 
@@ -87,7 +88,7 @@ class CodeGraph:
         return risk.change_risk(self.nodes, self.edges, changes, None if diff_lines is None else risk.security_hits(diff_lines))
 
     def embeddings(self, model: str = search.DEFAULT_MODEL) -> DataFrame:
-        return search.embed_nodes(self.nodes, model)
+        return search.embed_nodes(self.nodes, model, embedding.client(model))
 
     def search(self, text: str, kind: str | None = None, limit: int = 20, model: str = search.DEFAULT_MODEL) -> DataFrame:
         return search.semantic_search(self.nodes, self.embeddings(model), text, kind, limit, model)

@@ -94,10 +94,10 @@ def prompt_blocks(files: DataFrame, header: str, max_bytes: int) -> DataFrame:
     return placed.withColumn("_shown", before).withColumn("block", cut).filter("_shown").select("path", "block", "start")
 
 
-def format_prompt(files: DataFrame, repo: str, updated_at: str, max_bytes: int = 64_000) -> DataFrame:
-    """One row with the prompt: a header and the blocks."""
+def format_prompt(files: DataFrame, repo: str, updated_at: str, max_bytes: int = 64_000, title: str = "snapshot") -> DataFrame:
+    """One row with the prompt: a header, whose first line is the title in brackets, and the blocks."""
     count = files.count()
-    header = f"[context-cache]\nrepo: {repo}\nupdatedAt: {updated_at}\nfiles: {count}\n\n"
+    header = f"[{title}]\nrepo: {repo}\nupdatedAt: {updated_at}\nfiles: {count}\n\n"
     blocks = prompt_blocks(files, header, max_bytes)
     listed = blocks.agg(F.array_sort(F.collect_list(F.struct("start", "path", "block"))).alias("b"))
     return listed.select(F.concat(F.lit(header), F.array_join(F.transform("b", lambda b: b["block"]), "")).alias("prompt"))

@@ -61,7 +61,7 @@ def test_summaries(spark):
 def test_prompt(spark):
     files = spark.createDataFrame([("b", "full", "ü" * 50, None), ("a", "summary", "x", "sum"), ("c", "full", "late", None)], "path string, mode string, content string, summary string")
     got = text.format_prompt(files, "r", "now", 100).first().prompt
-    head = "[context-cache]\nrepo: r\nupdatedAt: now\nfiles: 3\n\n"
+    head = "[snapshot]\nrepo: r\nupdatedAt: now\nfiles: 3\n\n"
     assert got.startswith(head + "### a\nsum\n\n### b\nüüü") and got.endswith(text.TRUNCATED) and len(got.encode()) <= 100 + len(text.TRUNCATED)
     assert text.format_prompt(files, "r", "now", 10_000).first().prompt == head + f"### a\nsum\n\n### b\n{'ü' * 50}\n\n### c\nlate\n\n"
 
