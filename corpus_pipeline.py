@@ -55,12 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents."""
-    docs = common.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    """All stages in order over documents. A stage's rows are removed once the next has used them;
+    the token files stay."""
+    docs, held = common.table(spark, sf_dir, "documents"), None
+    for i, (_, stage) in enumerate(STAGES):
         if i:
             at = common.fresh_dir(spark, f"stage-{i}")
             docs.write.parquet(at)
             docs = spark.read.parquet(at)
+            if held is not None:
+                common.remove_dir(spark, held)
+            held = at
         docs = stage(spark, docs, sf_dir)
+    # the last stage has written its files, which are all that its result is read from
+    common.remove_dir(spark, held)
     return docs
