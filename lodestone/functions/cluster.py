@@ -1,9 +1,11 @@
-"""The folder that all executors share, and cuts of long lineages in it."""
+"""The folder that all executors share, cuts of long lineages in it, and code for executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,22 @@ def durable(df: DataFrame) -> DataFrame:
     """The frame, kept in the shared folder; what follows needs nothing before it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the executors of the application, once. What runs Python there
+    calls it first, so that no installation or path is needed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.parent.is_dir():  # else the package came from an archive, which is there already
+        archive = Path(tempfile.mkdtemp(prefix="lodestone-code-"), "lodestone_code.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.cluster import ship
 from lodestone.functions.columns import SYMBOL_LANGUAGES, language_of
 
 FACTS = "file_path string, rec string, ord int, kind string, name string, qualified_name string, container string, source string, target_name string, line_start long, line_end long, language string"
@@ -420,6 +421,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 if rows := parse_source(path.replace("\\", "/"), content):
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
+    ship(files.sparkSession)
     return files.filter("content IS NOT NULL").select("path", "content").mapInArrow(parse, FACTS)
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.cluster import ship
 from lodestone.functions.columns import like
 
 from .query import clamp
@@ -54,6 +55,8 @@ def embed_nodes(nodes: DataFrame, model: str = DEFAULT_MODEL, remote: Callable[[
     if remote is None:
         return local.drop("_text")
 
+    ship(nodes.sparkSession)
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
