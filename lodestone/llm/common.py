@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.cluster import durable, fresh_dir, shared_dir, ship
+
+__all__ = ["GAP", "TOKEN", "durable", "fresh_dir", "hex_bits", "remove_dir", "shared_dir", "ship", "table", "text_or_empty", "token_count"]
+
 #: A run of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: ASCII white space between tokens.
@@ -19,35 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    A cluster names it in spark.checkpoint.dir. Where that is unset, as in a local test, a
-    temporary folder of this machine is set, which only suits a local master.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="lodestone-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The frame cut from its lineage by a checkpoint in the shared folder, so that what follows
-    survives lost executors without computing it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder made by fresh_dir()."""
     jvm = spark.sparkContext._jvm

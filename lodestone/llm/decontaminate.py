@@ -145,6 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 def _matched(spark: SparkSession, out: DataFrame, part: list, text: str, window: int) -> DataFrame:
     """out with what the part adds to stretches and items, and with n_words."""
+    common.ship(spark)
     sent = spark.sparkContext.broadcast(part)
 
     def match(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -175,6 +175,7 @@ def luhn(value: str) -> bool:
 
 def entities_of(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """(kind, value) of all entities, with the key column as text if one is named, once each."""
+    common.ship(docs.sparkSession)
     name = F.lit("") if key is None else F.coalesce(F.col(key).cast("string"), F.lit("null"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

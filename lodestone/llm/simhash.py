@@ -152,6 +152,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cr
     nothing in component_id unless a whole component has no key, whose component_id is then null.
     Repeated rows stay. Other columns are dropped, so their names can't clash.
     """
+    common.ship(docs.sparkSession)
     prints = common.durable(docs.select(F.col(key), fingerprint_column(F.col(text)).alias("fp")))
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     found = components(links(least.select("fp"), crowd))

@@ -143,6 +143,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "te
     come first; rows with one key stand in the order of their texts. Empty input gives no file.
     """
     spark = docs.sparkSession
+    common.ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), common.text_or_empty(text).alias("text"))
     ordered = rows.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
 
@@ -186,6 +187,7 @@ def read_token_files(spark: SparkSession, out: str, key: str = "doc_id") -> Data
     start counts the ids of all documents before it; the checksum is of the ids, the end id
     included, as little-endian unsigned 32-bit numbers. A task reads a file, some blocks at a time.
     """
+    common.ship(spark)
     system, folder = _open(out)
     with system.open_input_stream(f"{folder}/manifest.json") as f:
         files = [(x["name"], x["start"]) for x in json.loads(f.read())["files"]]

@@ -218,6 +218,7 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Fits on labelled documents. Without labels of both classes the model knows no terms and
     scores all texts by the share of toxic labels, near 0 if there are none."""
+    common.ship(docs.sparkSession)
     train = training_sample(docs, labels, key, text, label)
     numbers = dict(train.groupBy("toxic").count().collect())
     n_toxic, n_clean = numbers.get(1, 0), numbers.get(0, 0)
@@ -243,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Every row with a score from 0 to 1; null texts score like empty ones. A column that has the
     score's name is replaced."""
+    common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
