@@ -128,17 +128,16 @@ _register("graph_status", lambda s, d: qry.graph_status(nodes(s, d), edges(s, d)
 # Traversals ----------------------------------------------------------------------------------
 
 
-def _first_changed(s: SparkSession, d: str, n: int = 3) -> DataFrame:
-    return derived.changes(s, d).select("file_path").orderBy("file_path").limit(n)
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    return derived.changes(s, d).select("file_path")
 
 
-_CHANGED = ", changed AS (SELECT file_path FROM changes ORDER BY file_path LIMIT 3)"
 _IMPACT = """, adj AS (
   SELECT source, target FROM edges WHERE kind IN ('imports_from', 'calls') UNION SELECT target, source FROM edges WHERE kind IN ('imports_from', 'calls')
 ), reached(node, depth) AS (
   SELECT 'file::' || file_path, 0 FROM {changed} UNION SELECT target, depth + 1 FROM reached JOIN adj ON node = source WHERE depth < {depth}
 ), impacted AS (SELECT DISTINCT CASE WHEN starts_with(node, 'file::') THEN substr(node, 7) ELSE split_part(node, '::', 1) END AS file_path FROM reached)"""
-_register("impact_radius", lambda s, d: traverse.impact_radius(edges(s, d), _first_changed(s, d), 2), graph_oracle(_CHANGED + _IMPACT.format(changed="changed", depth=2) + "SELECT file_path FROM impacted"))
+_register("impact_radius", lambda s, d: traverse.impact_radius(edges(s, d), _changed(s, d), 2), graph_oracle(_IMPACT.format(changed="changes", depth=2) + "SELECT file_path FROM impacted"))
 
 
 def _imports(s: SparkSession, d: str) -> DataFrame:
@@ -147,11 +146,10 @@ def _imports(s: SparkSession, d: str) -> DataFrame:
 
 _register(
     "reverse_import_impact",
-    lambda s, d: traverse.reverse_import_impact(_imports(s, d), _first_changed(s, d), 3),
+    lambda s, d: traverse.reverse_import_impact(_imports(s, d), _changed(s, d), 3),
     graph_oracle(
-        _CHANGED
-        + """, back AS (SELECT DISTINCT substr(target, 7) AS source, substr(source, 7) AS target FROM edges WHERE kind = 'imports_from'), reached(file_path, depth) AS (
-  SELECT file_path, 0 FROM changed UNION SELECT target, depth + 1 FROM reached JOIN back ON file_path = source WHERE depth < 3
+        """, back AS (SELECT DISTINCT substr(target, 7) AS source, substr(source, 7) AS target FROM edges WHERE kind = 'imports_from'), reached(file_path, depth) AS (
+  SELECT file_path, 0 FROM changes UNION SELECT target, depth + 1 FROM reached JOIN back ON file_path = source WHERE depth < 3
 ) SELECT file_path, min(depth) AS depth FROM reached GROUP BY file_path"""
     ),
 )
@@ -163,9 +161,9 @@ def _review_files(s: SparkSession, d: str) -> DataFrame:
 
 _register(
     "review_snippets",
-    lambda s, d: qry.review_context(edges(s, d), _review_files(s, d), _first_changed(s, d), 2, True, 5),
+    lambda s, d: qry.review_context(edges(s, d), _review_files(s, d), _changed(s, d), 2, True, 5),
     graph_oracle(
-        _CHANGED + _IMPACT.format(changed="changed", depth=2) + """SELECT file_path, '### ' || file_path || chr(10) || array_to_string([('line ' || i || ' of ' || file_path) for i in range(1, 11)], chr(10)) AS snippet
+        _IMPACT.format(changed="changes", depth=2) + """SELECT file_path, '### ' || file_path || chr(10) || array_to_string([('line ' || i || ' of ' || file_path) for i in range(1, 11)], chr(10)) AS snippet
 FROM impacted WHERE file_path IN (SELECT file_path FROM nodes) ORDER BY file_path LIMIT 30"""
     ),
 )
