@@ -47,14 +47,28 @@ def is_ignored(path: str | Column, rules: list[tuple[str, bool]]) -> Column:
     return out
 
 
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime in ms, length, content) of files without content, which the reader of
+    binary files leaves out."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    found, each = [], folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    while each.hasNext():
+        status = each.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), status.getModificationTime(), 0, bytearray()))
+    return spark.createDataFrame(found, "path string, mtime_ms long, size long, raw binary")
+
+
 def list_files(spark: SparkSession, root: str, config: SnapshotConfig, gitignore: str = "") -> DataFrame:
     """(path, mtime_ms, size, raw): the repository's text files that are included and not excluded
     or ignored, by path; the first max_files if that is above 0."""
     root = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    read = read.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), F.col("content").alias("raw")).unionByName(_empty_files(spark, root))
     relative = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
     path = F.substring(relative, F.length(F.lit(root.split(":", 1)[-1])) + 2, 2**31 - 1)
-    found = read.select(posix(path).alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), F.col("content").alias("raw"))
+    found = read.select(posix(path).alias("path"), "mtime_ms", "size", "raw")
     found = found.filter(extension("path").isin(*config.text_extensions) & matches_any_glob("path", config.include) & ~matches_any_glob("path", config.exclude) & ~is_ignored("path", ignore_rules(gitignore)))
     return found.orderBy("path").limit(config.max_files) if config.max_files > 0 else found
 

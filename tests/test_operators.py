@@ -164,13 +164,13 @@ def test_documents(spark):
 
 def test_snapshot(spark, tmp_path):
     root = tmp_path / "repo"
-    for name, body in {"a.ts": "import './b'\n", "b.ts": "function b() {}\n", "dist/c.ts": "x", "d.bin": "x", "sub/e.md": "# E\n", "skip/f.md": "x"}.items():
+    for name, body in {"a.ts": "import './b'\n", "b.ts": "function b() {}\n", "dist/c.ts": "x", "d.bin": "x", "sub/e.md": "# E\n", "skip/f.md": "x", "skip/none.md": "", "sub/none.py": ""}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(body)
     config = SnapshotConfig()
     listed = list_files(spark, str(root), config, "skip/\n*.bin\n")
     first = refresh(listed, None, config)
-    assert {(r.path, r.changed) for r in first.collect()} == {("a.ts", True), ("b.ts", True), ("sub/e.md", True)}
+    assert {(r.path, r.changed) for r in first.collect()} == {("a.ts", True), ("b.ts", True), ("sub/e.md", True), ("sub/none.py", True)}
     at = str(tmp_path / "store")
     assert load_snapshot(spark, at) is None
     save_snapshot(first.drop("changed"), at)
@@ -178,7 +178,7 @@ def test_snapshot(spark, tmp_path):
     os.utime(root / "a.ts", (1, 1))
     second = refresh(list_files(spark, str(root), config, "skip/"), load_snapshot(spark, at), config)
     got = {r.path: r for r in second.collect()}
-    assert {p: r.changed for p, r in got.items()} == {"a.ts": False, "b.ts": True, "sub/e.md": False}
+    assert {p: r.changed for p, r in got.items()} == {"a.ts": False, "b.ts": True, "sub/e.md": False, "sub/none.py": False}
     assert got["b.ts"].content == "function b2() {}\n" and got["a.ts"].summary == "import './b'\n" and got["a.ts"].mtime_ms == 1000
     assert list_files(spark, str(root), SnapshotConfig(max_files=1)).count() == 1
     graph = CodeGraph.build(load_snapshot(spark, at))
