@@ -118,15 +118,24 @@ def semantic_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: s
     return lexical_search(nodes, query, kind, clamp(limit, 1, 200))
 
 
-def cross_repo_search(nodes: DataFrame, query: str, limit: int = 20, aliases: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
-    """Lexical search in each repository (nodes have repo_alias), scored by rank within it."""
-    pool = max(3 * limit, 60)
+def cross_repo_search(nodes: DataFrame, query: str, limit: int = 20, aliases: tuple[str, ...] = (), kind: str | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+    """Search in each repository (nodes and embeddings have repo_alias), scored by rank within it:
+    lexical, or fused with vectors if there are embeddings. All repositories in one plan."""
+    limit_each = clamp(max(3 * limit, 60), 1, 200)
+    pool = max(3 * limit_each, 60) if embeddings is not None else max(3 * limit, 60)
     found = nodes.filter(F.col("repo_alias").isin(*aliases)) if aliases else nodes
     if kind is not None:
         found = found.filter(F.col("kind") == kind)
+    in_repo = Window.partitionBy("repo_alias")
     pattern = f"%{query.strip()}%"
-    found = found.filter(like("name", pattern) | like("qualified_name", pattern)).withColumn("_s", lexical_score("name", query))
-    first = found.withColumn("_at", F.row_number().over(Window.partitionBy("repo_alias").orderBy("kind", "qualified_name"))).filter(F.col("_at") <= pool)
-    rank = F.row_number().over(Window.partitionBy("repo_alias").orderBy(F.desc("_s"), "kind", "qualified_name"))
-    scored = first.withColumn("score", F.round(1 / (RRF_K + rank), 9))
-    return scored.select("repo_alias", "qualified_name", "kind", "file_path", "score").orderBy(F.desc("score"), "repo_alias", "qualified_name").limit(limit)
+    hits = found.filter(like("name", pattern) | like("qualified_name", pattern)).withColumn("score", lexical_score("name", query))
+    first = hits.withColumn("_at", F.row_number().over(in_repo.orderBy("kind", "qualified_name"))).filter(F.col("_at") <= pool)
+    columns = ["repo_alias", "qualified_name", "kind", "file_path"]
+    ranked = first.select(*columns, F.row_number().over(in_repo.orderBy(F.desc("score"), "kind", "qualified_name")).alias("_rank"))
+    if embeddings is not None:
+        near = found.join(embeddings.select("repo_alias", "qualified_name", "vector"), ["repo_alias", "qualified_name"])
+        near = near.withColumn("score", F.round(cosine(F.col("vector"), F.array(*map(F.lit, query_vector(nodes.sparkSession, query)))), 9))
+        vector = near.select(*columns, F.row_number().over(in_repo.orderBy(F.desc("score"), "qualified_name")).alias("_rank")).filter(F.col("_rank") <= pool)
+        fused = ranked.unionByName(vector).groupBy(*columns).agg(F.round(F.sum(1 / (RRF_K + F.col("_rank"))), 9).alias("score"))
+        ranked = fused.select(*columns, F.row_number().over(in_repo.orderBy(F.desc("score"), "qualified_name")).alias("_rank")).filter(F.col("_rank") <= limit_each)
+    return ranked.select(*columns, F.round(1 / (RRF_K + F.col("_rank")), 9).alias("score")).orderBy(F.desc("score"), "repo_alias", "qualified_name").limit(limit)

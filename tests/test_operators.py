@@ -152,6 +152,20 @@ def test_search(spark):
     assert given.first().vector == [1.0, 0.0]
 
 
+def test_search_in_many_repositories(spark):
+    rows = [(r, k, n, f"{p}::{n}", p) for r in "xy" for k, n, p in [("function", f"load_{i}", f"{r}{i % 3}/a.ts") for i in range(8)] + [("class", "Loader", f"{r}/b.ts"), ("function", "save", f"{r}/load.ts")]]
+    nodes = spark.createDataFrame(rows, "repo_alias string, kind string, name string, qualified_name string, file_path string")
+    vectors = nodes.join(search.embed_nodes(nodes), "qualified_name").select("repo_alias", "qualified_name", "vector")
+    got = [tuple(r) for r in search.cross_repo_search(nodes, "load_3", 6, embeddings=vectors).collect()]
+    want = []
+    for repo in "xy":
+        own = lambda df: df.filter(F.col("repo_alias") == repo).drop("repo_alias")  # noqa: B023, E731
+        listed = search.hybrid_search(own(nodes), own(vectors), "load_3", None, 60).collect()
+        want += [(repo, r.qualified_name, r.kind, r.file_path, round(1 / (61 + i), 9)) for i, r in enumerate(listed)]
+    assert got == sorted(want, key=lambda r: (-r[4], r[0], r[1]))[:6]
+    assert {r.repo_alias for r in search.cross_repo_search(nodes, "load", 50, ("y",)).collect()} == {"y"}
+
+
 def test_documents(spark):
     readme = spark.createDataFrame([("r", "# T\n## Usage\nrun\n### sub\n\n## Next\nx ## usage\n")], "path string, content string")
     assert documents.docs_section(readme, "commands").first().section == "## Usage\nrun\n### sub"
