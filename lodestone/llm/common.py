@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.cluster import durable, fresh_dir, shared_dir, ship
 
-__all__ = ["GAP", "TOKEN", "durable", "fresh_dir", "hex_bits", "remove_dir", "shared_dir", "ship", "table", "text_or_empty", "token_count"]
+__all__ = ["GAP", "TOKEN", "durable", "fresh_dir", "hex_bits", "release_memory", "remove_dir", "shared_dir", "ship", "table", "text_or_empty", "token_count"]
 
 #: A run of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -20,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system at the end of a task: workers outlive
+    tasks, and several of them share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # only some C libraries have it
+        trim(0)
+
+
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder made by fresh_dir()."""
     jvm = spark.sparkContext._jvm

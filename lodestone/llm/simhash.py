@@ -73,8 +73,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    common.release_memory()
 
 
 def fingerprint_column(text: Column) -> Column:

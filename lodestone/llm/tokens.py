@@ -28,9 +28,9 @@ from . import common, simple8b
 #: The id that ends each document.
 END = 1
 #: Words whose ids a Python worker remembers before it starts anew.
-CACHE = 600_000
+CACHE = 500_000
 #: Bytes of text encoded in one go: a text more at most.
-STEP = 4 << 20
+STEP = 2 << 20
 
 #: A chunk of one word and ASCII marks without an apostrophe, which begins contractions.
 _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
@@ -175,8 +175,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "te
         if writer is not None:
             writer.close()
             file.close()
-            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "docs": [len(writer.docs)], "ids": [writer.n_ids]})
+            del writer
+        common.release_memory()
 
     found = sorted(ordered.mapInArrow(write, "part long, name string, docs long, ids long").collect())
     manifest, start = [], 0

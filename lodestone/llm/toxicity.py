@@ -43,7 +43,7 @@ COUNTS = (1, 2, 4, 8)
 #: The most that labels err, of clean and of toxic texts, and the most log odds of all other voters.
 LABEL_ERRORS, MOST_EVIDENCE = (0.01, 0.05), 2.5
 #: Terms and words that a task holds before it passes counts on, or forgets.
-HELD = 150_000
+HELD = 100_000
 THRESHOLD = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,6 +95,7 @@ def count_terms(train: DataFrame) -> DataFrame:
                 if len(counts[0]) + len(counts[1]) > HELD:
                     yield out()
         yield out()
+        common.release_memory()
 
     counted = train.select("text", "toxic").mapInPandas(count, "term string, toxic long, clean long")
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -253,6 +254,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", into: str =
         for batch in batches:
             logits = np.array([model.logit(finder(t)) for t in batch])
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))), dtype="float64")
+        finder.known.clear()
+        common.release_memory()
 
     return docs.withColumn(into, F.pandas_udf(scores, "double")(F.col(text)))
 
