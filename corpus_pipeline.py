@@ -38,7 +38,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All texts as ids in files, read back: where each text's ids are and their checksum."""
     import public_tokenizers
 
-    return tokens.tokenize(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.tokenize(spark, docs, public_tokenizers.path("word_bpe_49k.json"), remember=False)
 
 
 STAGES = [

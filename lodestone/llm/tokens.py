@@ -144,12 +144,14 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END) -> list[dict]:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END, remember: bool = True) -> list[dict]:
     """Writes all texts' ids, each with the end id, to `out` in ascending order of the key.
 
     Returns the manifest, also written as manifest.json: for each file in order its name, docs, ids
     and start (ids of all files before it). Null texts are empty and just give the end id. Null keys
     come first; rows with one key stand in the order of their texts. Empty input gives no file.
+    remember: Python workers keep the words they know for later tasks, which takes less time and more
+    memory.
     """
     spark = docs.sparkSession
     common.ship(docs.sparkSession)
@@ -177,6 +179,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "te
             file.close()
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "name": [name], "docs": [len(writer.docs)], "ids": [writer.n_ids]})
             del writer
+        if not remember:
+            _ENCODERS.clear()
+            del encoder
         common.release_memory()
 
     found = sorted(ordered.mapInArrow(write, "part long, name string, docs long, ids long").collect())
@@ -224,10 +229,10 @@ def read_token_files(spark: SparkSession, out: str, key: str = "doc_id") -> Data
     return listed.mapInPandas(decode, kind)
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", remember: bool = True) -> DataFrame:
     """Writes token files under the shared folder and reads them back."""
     out = common.fresh_dir(spark, "tokens")
-    write_token_files(docs, out, tokenizer, text, key)
+    write_token_files(docs, out, tokenizer, text, key, remember=remember)
     return read_token_files(spark, out, key)
 
 
