@@ -7,6 +7,12 @@ must be n T / (2 - T) at least, so the passage must hold one of any n - s + 1 bi
 template. Anchor words are chosen so that those with an anchor are that many: a text without any
 anchor word can't match and isn't cut at all. Both bounds are exact.
 
+A notice that is wrapped or stands among other text is no passage of its own. So windows of words
+over the whole text are compared as well, line breaks and comment marks between words ignored. The
+best window begins and ends with bigrams of the template, as any other at its ends only adds to m.
+Only templates with enough of their bigrams in the text, and places with as many within reach, are
+looked at. Of windows that overlap, the closest counts.
+
 Everything is DataFrame functions on the row's own text: no shuffle, no state.
 """
 
@@ -119,15 +125,71 @@ def _passages(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences, F.split(text, "\\n\\s*\\n"), F.array(text)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), the value being worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _windows(text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """(license, dice, passage) of the windows that reach the threshold and don't overlap a closer one.
+
+    A window has as many bigrams as a template, repeats counted, times (2 - T) / T at most. Its
+    passage is its words in lower case with spaces between.
+    """
+    entries = []
+    for name, t in templates:
+        own = bigrams_of(t)
+        need, reach = math.ceil(len(own) * threshold / (2 - threshold) - 1e-9), math.floor((len(words_of(t)) - 1) * (2 - threshold) / threshold + 1e-9)
+        entries.append(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("bigrams"), F.lit(need).alias("need"), F.lit(reach).alias("reach")))
+    bank = F.array(*entries)
+
+    def of_template(t: Column, words: Column) -> Column:
+        """All windows of a template that reach the threshold, as bigrams at places from first to last."""
+
+        def scored(first: Column, last: Column) -> Column:
+            own = F.array_distinct(F.slice(words, first + 1, last - first + 1))
+            dice = _let(own, lambda b: 2.0 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + F.size(t["bigrams"])))
+            return F.struct((-dice).alias("order"), first.alias("first"), last.alias("last"), t["license"].alias("license"))
+
+        def among(hits: Column) -> Column:
+            n, need, reach = F.size(hits), t["need"], t["reach"]
+            starts = F.filter(F.sequence(F.lit(0), n - need), lambda k: F.get(hits, k + need - 1) - F.get(hits, k) < reach)
+            ends = lambda k: F.filter(F.slice(hits, k + need, F.least(n, k + reach) - k - need + 1), lambda e: e - F.get(hits, k) < reach)
+            return F.flatten(F.transform(starts, lambda k: F.filter(F.transform(ends(k), lambda e: scored(F.get(hits, k), e)), lambda x: -x["order"] >= threshold)))
+
+        return _let(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t["bigrams"], F.get(words, i))), among)
+
+    def closest(found: Column) -> Column:
+        over = lambda x, k: (k["first"] <= x["last"]) & (x["first"] <= k["last"]) & ((k["order"] < x["order"]) | (k["license"] == x["license"]))
+        kept = F.array().cast("array<struct<order:double,first:int,last:int,license:string>>")
+        return F.aggregate(F.array_sort(found), kept, lambda kept, x: F.when(F.exists(kept, lambda k: over(x, k)), kept).otherwise(F.concat(kept, F.array(x))))
+
+    def in_words(words: Column) -> Column:
+        pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+        def in_pairs(pairs: Column) -> Column:
+            near = _let(F.array_distinct(pairs), lambda b: F.filter(bank, lambda t: F.size(F.array_intersect(t["bigrams"], b)) >= t["need"]))
+            found = closest(F.flatten(F.transform(near, lambda t: of_template(t, pairs))))
+            passage = lambda x: F.array_join(F.slice(words, x["first"] + 1, x["last"] - x["first"] + 2), " ")
+            return F.transform(found, lambda x: F.struct(x["license"].alias("license"), (-x["order"]).alias("dice"), passage(x).alias("passage")))
+
+        return F.when(F.size(words) > 1, _let(pairs, in_pairs))
+
+    none = F.array().cast("array<struct<license:string,dice:double,passage:string>>")
+    return F.coalesce(_let(_words(text), in_words), none)
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Every row with a column licenses: an array of (license, dice, passage), one for each licence
-    found, with its best Dice and the first passage that reaches it, by licence name.
+    found, with its best Dice and the first passage that reaches it, by licence name; passages that
+    are cut come before windows.
 
     Null, empty and unmatched texts have an empty array. Templates need two words at least. A column
     licenses is replaced; all others stay as they are, so nothing clashes. Repeated rows stay.
     """
     templates = TEMPLATES if templates is None else templates
-    listed = [(name, bigrams_of(t)) for name, texts in sorted(templates.items()) for t in texts]
+    named = [(name, t) for name, texts in sorted(templates.items()) for t in texts]
+    listed = [(name, bigrams_of(t)) for name, t in named]
     if any(not b for _, b in listed):
         raise ValueError("a template has two words at least")
     text_column = common.text_or_empty(text)
@@ -158,7 +220,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, list
 
     # a passage counts for the closest licence only, or for all that are equally close
     closest = lambda scored: F.filter(scored, lambda s: s["dice"] == F.array_max(F.transform(scored, lambda x: x["dice"])))
-    found = F.flatten(F.transform(F.transform(paired, against), closest))
+    found = F.concat(F.flatten(F.transform(F.transform(paired, against), closest)), _windows(text_column, named, threshold))
     names = F.array_sort(F.array_distinct(F.transform("_found", lambda f: f["license"])))
 
     def best(name: Column) -> Column:

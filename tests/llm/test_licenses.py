@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -67,3 +68,38 @@ def test_odd_rows(odd):
     assert all(r.licenses == [] for r in licenses.scan_licenses(odd, templates={}).collect())
     with pytest.raises(ValueError):
         licenses.scan_licenses(odd, templates={"x": ["one"]})
+
+
+def header(notice, width=60):
+    """A comment header without blank lines around the notice."""
+    lines = ["Widget - a small tool for graphs", "Copyright (C) 2001 Jo Doe and others", "", *textwrap.wrap(notice, width), "", "The authors thank all who sent patches, reports and ideas over the years."]
+    return "/*\n" + "".join(f" * {line}\n" for line in lines) + " */\n\nint main(void) { return 0; }\n"
+
+
+def test_wrapped_notices(spark):
+    """Notices inside comment headers, prose and longer lines, and one right after another."""
+    notices = [(name, t) for name, texts in TEMPLATES.items() for t in texts if len(t) > 100]
+    prose = "We describe the tool here and then its use in some detail, as it was asked for."
+    rows = [({name}, header(t)) for name, t in notices]
+    rows += [({name}, "\n".join(textwrap.wrap(f"{prose} {t} {prose} {prose}", 50))) for name, t in notices]
+    rows += [({"GPL-2.0", "MIT"}, header(TEMPLATES["GPL-2.0"][1] + " " + MIT)), ({"MIT"}, f"{prose[:-1]}, it is released under the MIT\nLicense and more")]
+    rows += [(set(), header(prose)), (set(), header(" ".join(reversed(MIT.split())))), (set(), header(MIT[: len(MIT) // 2]))]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        assert {x.license for x in r.licenses} == rows[r.doc_id][0], r.text
+        assert all(x.dice == 1.0 for x in r.licenses)
+
+
+def test_windows_against_brute_force(spark):
+    """The best window over all starts and sizes is found, in altered and repeated notices as well."""
+    words = licenses.words_of(TEMPLATES["BSD"][1])
+    altered = [words, words[2:], words[:9] + ["so"] + words[9:], words[:5] + words[8:], words[:4] * 2 + words[4:], words + ["and"] + words[:8]]
+    docs = spark.createDataFrame([(i, "\n".join(["some", "text", *a, "more", "words"])) for i, a in enumerate(altered)], "doc_id long, text string")
+    own = set(bigrams_of(TEMPLATES["BSD"][1]))
+    for r in licenses.scan_licenses(docs, templates={"BSD": TEMPLATES["BSD"][1:]}).collect():
+        text, best = licenses.words_of(r.text), 0
+        for i in range(len(text)):
+            for j in range(i + 2, min(len(text), i + len(own) * 3 // 2 + 1) + 1):
+                m = set(bigrams_of(" ".join(text[i:j])))
+                best = max(best, 2 * len(m & own) / (len(m) + len(own)))
+        assert [x.dice for x in r.licenses] == ([best] if best >= 0.8 else []), r.text
