@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -78,3 +79,18 @@ def test_ranges(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     check(spark.createDataFrame([(1, "only one")], "doc_id long, text string"))
     check(spark.createDataFrame([(None, "no id"), (None, "none either")], "doc_id long, text string"))
+
+
+def test_error_of_likeness(spark):
+    """As many samples as keep likenesses near exact generalised Jaccard."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(120)) for _ in range(150)]
+    # each followed by a near copy of itself
+    texts = [x for t in texts for x in (" ".join(t.split()[: rng.randrange(20, 121)] + [f"v{rng.randrange(9)}"]), t)]
+    rows = {r.doc_id: r for r in w.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    off = []
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        off += [abs(rows[i].near_edited - jaccard(bag(t), bag(edited))), abs(rows[i].near_next - jaccard(bag(t), bag(after)))]
+    assert sum(off) / len(off) < 0.06 and sum(x > 0.1 for x in off) < 0.2 * len(off) and max(off) < 0.3
