@@ -146,6 +146,22 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return few.union(_crowded_links(tables.join(crowded, on, "left_semi"), lookups.join(crowded, on, "left_semi"))).distinct()
 
 
+def _prints(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    """The columns and fp, the fingerprint, of every row, kept in the shared folder."""
+    common.ship(docs.sparkSession)
+    return common.durable(docs.select(*columns, fingerprint_column(F.col(text)).alias("fp")))
+
+
+def _groups(prints: DataFrame, key: str, crowd: int = CROWD) -> DataFrame:
+    """(fp, component, component_id) for each fingerprint; component is the least linked fingerprint."""
+    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    found = components(links(least.select("fp"), crowd))
+    grouped = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    firsts = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    # what stands alone has its own least key, without another look at the other groups
+    return grouped.join(firsts, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """(key, fingerprint, component_id) for every row, fingerprint as a long.
 
@@ -154,23 +170,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cr
     nothing in component_id unless a whole component has no key, whose component_id is then null.
     Repeated rows stay. Other columns are dropped, so their names can't clash.
     """
-    common.ship(docs.sparkSession)
-    prints = common.durable(docs.select(F.col(key), fingerprint_column(F.col(text)).alias("fp")))
-    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = components(links(least.select("fp"), crowd))
-    grouped = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    firsts = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    # what stands alone has its own least key, without another look at the other groups
-    named = grouped.join(firsts, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col(key), F.col("fp").alias("fingerprint"), "component_id")
+    prints = _prints(docs, text, F.col(key))
+    return prints.join(_groups(prints, key, crowd), "fp").select(F.col(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents without near copies: of each component the row with the least key stays; of
-    several rows with that key, one. Rows without a key stay only if their component has none."""
-    found = near_duplicates(docs, text, key)
-    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
-    chosen = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(name.alias("_name")).distinct()
+    """The documents without near copies: of each component the row with the least key stays, and of
+    each component without any key the row with the least hash of its text.
+
+    Of several rows with one key, the one with the least hash stays, whatever their components. Rows
+    that are alike in all columns but maps are interchangeable; reruns agree.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # rows go by what they hold, so those without a key have names of their own
+    name = F.concat(F.md5(common.text_or_empty(text)), F.hex(F.xxhash64(*hashed)), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    prints = _prints(docs, text, F.col(key).alias("key"), name.alias("_name"))
+    found = prints.join(_groups(prints, "key"), "fp").filter(F.col("key").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("key", F.when(F.col("key").isNull(), F.col("component"))).agg(F.min("_name").alias("_name")).select("_name")
     # both by the same name: the texts go through one shuffle
     return docs.withColumn("_name", name).join(chosen, "_name", "left_semi").dropDuplicates(["_name"]).drop("_name")
 

@@ -5,6 +5,8 @@ import xxhash
 from lodestone.llm import simhash
 from lodestone.llm.components import components
 
+from .conftest import prose
+
 
 def brute(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
@@ -85,3 +87,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_without_a_key_keep_their_own(spark):
+    """One row of each component without a key stays, none of one that has a key; reruns agree."""
+    unlike = [prose(i, 40) for i in range(12)]
+    rows = [(None, t, s) for t in unlike for s in ("a", "b", "b")] + [(5, unlike[0], "a"), (3, unlike[1], "b"), (9, unlike[1], "a"), (7, prose(50, 40), "a"), (7, prose(51, 40), "a")]
+    kept = [sorted(map(tuple, simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(n)).collect()), key=str) for order, n in ((rows, 3), (rows[::-1], 4))]
+    assert kept[0] == kept[1]
+    assert sorted(t for k, t, _ in kept[0] if k is None) == sorted(unlike[2:])
+    assert sorted(k for k, *_ in kept[0] if k is not None) == [3, 5, 7]
