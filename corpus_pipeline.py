@@ -7,7 +7,8 @@ as Parquet in the shared folder and read again, so a lost executor costs no earl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import common, decontaminate, mixing, simhash, tokens, toxicity
 
@@ -34,11 +35,21 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.training_order(mixing.plan_mix(sized, "doc_id", size="_size"), size="_size").select(*docs.columns)
 
 
+def row_order(docs: DataFrame) -> tuple[Column, ...]:
+    """What puts rows in the order in which they were written: scans deal files to tasks by size, so
+    of files it is a part's number and the place in it."""
+    if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles():
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+        return part.cast("long"), F.col("_metadata.row_index")
+    return (F.monotonically_increasing_id(),)
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All texts as ids in files, read back: where each text's ids are and their checksum."""
+    """All texts as ids in files in the order of training, read back: where each text's ids are and
+    their checksum."""
     import public_tokenizers
 
-    return tokens.tokenize(spark, docs, public_tokenizers.path("word_bpe_49k.json"), remember=False)
+    return tokens.tokenize(spark, docs, public_tokenizers.path("word_bpe_49k.json"), remember=False, order=row_order(docs))
 
 
 STAGES = [

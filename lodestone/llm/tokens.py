@@ -1,6 +1,6 @@
 """Token-ID files: texts are encoded by a public tokenizer and packed with Simple-8b.
 
-Documents are dealt to ranges of their id and sorted; each task writes its range as one file in the
+Documents are dealt to ranges of their id, or of another order, and sorted; each task writes its range as one file in the
 shared folder, straight from the stream of its rows. A file has a name of its own for each attempt,
 and the manifest lists those of the tasks that ended, so retries and lost executors leave no wrong
 or doubled output. What the driver holds is a row for each file.
@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, simple8b
@@ -144,19 +144,21 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END, remember: bool = True) -> list[dict]:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, text: str = "text", key: str = "doc_id", end: int = END, remember: bool = True, order: tuple[Column, ...] = ()) -> list[dict]:
     """Writes all texts' ids, each with the end id, to `out` in ascending order of the key.
 
     Returns the manifest, also written as manifest.json: for each file in order its name, docs, ids
     and start (ids of all files before it). Null texts are empty and just give the end id. Null keys
     come first; rows with one key stand in the order of their texts. Empty input gives no file.
+    order: what rows are put in the order of before the key.
     remember: Python workers keep the words they know for later tasks, which takes less time and more
     memory.
     """
     spark = docs.sparkSession
     common.ship(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("key"), common.text_or_empty(text).alias("text"))
-    ordered = rows.repartitionByRange(F.col("key")).sortWithinPartitions("key", "text")
+    places = [f"_place{i}" for i in range(len(order))]
+    rows = docs.select(F.col(key).cast("long").alias("key"), common.text_or_empty(text).alias("text"), *(c.alias(p) for c, p in zip(order, places)))
+    ordered = rows.repartitionByRange(*map(F.col, places or ["key"])).sortWithinPartitions(*places, "key", "text").select("key", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,10 +231,10 @@ def read_token_files(spark: SparkSession, out: str, key: str = "doc_id") -> Data
     return listed.mapInPandas(decode, kind)
 
 
-def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", remember: bool = True) -> DataFrame:
+def tokenize(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", remember: bool = True, order: tuple[Column, ...] = ()) -> DataFrame:
     """Writes token files under the shared folder and reads them back."""
     out = common.fresh_dir(spark, "tokens")
-    write_token_files(docs, out, tokenizer, text, key, remember=remember)
+    write_token_files(docs, out, tokenizer, text, key, remember=remember, order=order)
     return read_token_files(spark, out, key)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import simhash, toxicity
+from lodestone.llm import mixing, simhash, toxicity
 
 from . import test_decontaminate, test_mixing, test_simhash
 from .conftest import odd_rows, prose
@@ -19,6 +19,7 @@ from .test_toxicity import corpus
 
 public = pytest.importorskip("public_tokenizers")
 ROOT = Path(__file__).resolve().parents[2]
+PLAN_DEFAULTS = mixing.plan_mix.__defaults__
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,19 @@ def test_every_operator_is_registered():
 
     names = list(__spark_entry__.queries())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+
+
+def test_files_are_in_training_order(spark, tables, tmp_path, monkeypatch):
+    """The token files follow the mix, through Parquet and without; another schedule, another order."""
+    orders = []
+    for nr, cycle in enumerate((mixing.SCHEDULE_CYCLE, mixing.SCHEDULE_CYCLE[::-1])):
+        monkeypatch.setattr(mixing.plan_mix, "__defaults__", tuple(cycle if d is mixing.SCHEDULE_CYCLE else d for d in PLAN_DEFAULTS))
+        docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id is not null").dropDuplicates(["doc_id"])
+        mixed = corpus_pipeline.source_mix(spark, docs, tables)
+        want = [r.doc_id for r in mixed.collect()]
+        mixed.write.parquet(f"{tmp_path}/{nr}")
+        for frame in (spark.read.parquet(f"{tmp_path}/{nr}"), mixed):
+            found = corpus_pipeline.token_files(spark, frame, tables).collect()
+            assert [r.doc_id for r in sorted(found, key=lambda r: r.start)] == want
+        orders.append(want)
+    assert orders[0] != orders[1] and set(orders[0]) == set(orders[1])
