@@ -1,3 +1,5 @@
+import os
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -65,3 +67,93 @@ def test_collisions_are_mended(spark):
     made = {r.doc_id: re.findall(r"\d{16}", r.text) for r in rows}
     flat = [made[i][0] for i in range(len(cards))]
     assert len(set(flat)) == len(cards) and not set(flat) & set(cards) and made[None] == flat[:2]
+
+
+def test_any_text_has_a_result():
+    """Formats without another string, letters of no class, and long values."""
+    for text in ("mail _@-.- now", "%@-.--", "a@-.-", "Maria Ñññ", "Maria Հակոբյան", "Anna Ωω", "1@2.co", "", "+", "@", "::", "Mr", "Mr ", "Dr. É", "Anna O'", "AA00 0000 0000 0000"):
+        for start, end, kind in pii.find_entities(text):
+            for round in range(pii.PLACEHOLDER + 2):
+                assert S(kind, text[start:end], round) != text[start:end]
+    for n in (100, 8_000, 100_000):
+        for value, kind in ((f"{'abcde' * (n // 5)}@example.com", "email"), (f"Anna {('B' + 'ab' * (n // 2))}", "name")):
+            assert [x[2] for x in pii.find_entities(value)] == [kind]
+            new = S(kind, value)
+            assert len(new) == len(value) and len(os.path.commonprefix([new.removeprefix("Anna "), value.removeprefix("Anna ")])) < 8
+            assert sum(a == b for a, b in zip(new, value)) < 0.3 * len(value)
+    shown = {S.draw("email", f"{'a' * 300}{i}@x.com") for i in range(200)}
+    assert len(shown) == 200
+
+
+def test_ways_to_write_share_a_surrogate():
+    low = lambda kind, *ways: {re.sub(r"[^a-z0-9@.]", "", S(kind, w).lower()).removeprefix("1" * (kind == "phone")) for w in ways}
+    assert len(low("email", "Ann.Lee@x.com", "ann.lee@x.com", "ann.lee@X.com", "ANN.LEE@X.COM")) == 1
+    assert len({re.sub(r"\D", "", S("phone", p))[-10:] for p in ("+1 555 123 4567", "(555) 123-4567", "555-123-4567", "+1-555-123-4567")}) == 1
+    assert len(low("card", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111")) == 1
+    assert S("email", "Ann.Lee@x.com")[0].isupper() and S("email", "ANN@X.COM").isupper() and S("name", "MARIA SCHMIDT").isupper()
+    assert S("email", "a@mail.org").split("@")[1] == S("email", "b.c@mail.org").split("@")[1]
+    text = "John Smith and JOHN SMITH. Mr Smith, Smith's, Smith-like, John! A smith; Smithson; Johnny"
+    replaced, at, kinds = "", 0, []
+    for start, end, kind, sort in pii.pieces_of(text):
+        replaced, at = replaced + text[at:start] + S(sort, text[start:end]), end
+        kinds.append(kind)
+    replaced += text[at:]
+    given, surname = S("name", "John Smith").split(" ")
+    assert replaced == f"{given} {surname} and {given.upper()} {surname.upper()}. Mr {surname}, {surname}'s, {surname}-like, {given}! A smith; Smithson; Johnny"
+    assert kinds == ["name", "", "name", "", "name", "mention", "mention", "mention"]
+
+
+def test_recall_of_planted_names():
+    """Ways to write names that are found, and the limit: given names that aren't listed, without a title."""
+    rng, hits = random.Random(1), 0
+    surnames = "Smith Pérez O'Brien Smith-Jones Müller Zhang Khan D'Angelo Łukasz Øberg".split()
+    given = [n for names in list(pii.GIVEN_NAMES.values())[:2] for n in names]
+    planted = []
+    for _ in range(400):
+        g, s = rng.choice(given), rng.choice(surnames)
+        planted.append(rng.choice([f"{g} {s}", f"{g.upper()} {s.upper()}", f"{g} K. {s}", f"{g} von der {s}", f"Mr {s}", f"Frau {s}", f"Dr. {g} {s}", f"Prof. Zebulon {s}"]))
+    for p in planted:
+        found = [f"the word {p}, and"[a:b] for a, b, k in pii.find_entities(f"the word {p}, and") if k == "name"]
+        hits += len(found) == 1 and p.endswith(found[0])
+    assert hits == len(planted)
+    assert not pii.find_entities("Zebulon Smith met nobody") and not pii.find_entities("std::map 12:30:45 a::b ::1")
+    numbers = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a"]
+    assert [pii.find_entities(f"x {n}.")[0][2] for n in numbers] == ["iban", "iban", "ip6", "ip6"]
+    assert all(pii.iban_remainder(S("iban", n).replace(" ", "")) == 1 for n in numbers[:2]) and "iban" not in [x[2] for x in pii.find_entities("DE88 3704 0044 0532 0130 00")]
+
+
+def brute(texts):
+    """The replaced texts, by dictionaries."""
+    real = {(sort, pii.canonical(sort, t[a:b])) for t in texts if t for a, b, _, sort in pii.pieces_of(t) if sort not in pii.UNCHECKED}
+    rounds, settled, now = {}, set(), sorted(real)
+    for round in range(pii.PLACEHOLDER + 1):
+        fresh, failed = {}, []
+        for sort, value in now:
+            new = (sort, S.draw(sort, value, round))
+            if new in real or new in settled or new in fresh:
+                failed.append((sort, value))
+            else:
+                fresh[new] = (sort, value)
+                rounds[sort, value] = round
+        settled |= set(fresh)
+        now = failed
+    out = []
+    for t in texts:
+        new, at = "", 0
+        for a, b, _, sort in pii.pieces_of(t or ""):
+            plain = pii.canonical(sort, t[a:b])
+            new, at = new + t[at:a] + pii.written(sort, t[a:b], S.draw(sort, plain, rounds.get((sort, plain), 0))), b
+        out.append(None if t is None else new + t[at:])
+    return out, rounds
+
+
+def test_whole_query_against_brute_force(spark):
+    """Small formats, all of whose strings are taken, among the rest; both ways to look rounds up."""
+    texts = [TEXT, None, "", "no one", "Maria Ñññ", "_@-.-", *(f"{a}@{b}.co and {a.upper()}@{b}.CO" for a in "aeiou" for b in "xz"), *(f"Mr {a}{b}{'aeiou'[i % 5]} met Maria {a}e. " * 3 for i, a in enumerate("BCDFG") for b in "aeiou")]
+    texts += [f"card 4{i:015d}" for i in range(20)] + [f"card {S('card', f'4{i:015d}')}" for i in range(10)] + texts[:3]
+    want, rounds = brute(texts)
+    assert max(rounds.values()) >= pii.WIDER and len({r for r in rounds.values()}) > 2
+    docs = spark.createDataFrame([(i if i % 4 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for sent in (pii.SENT_ROUNDS, 0):
+        got = pii.replace_entities(docs, b"secret", sent_rounds=sent).collect()
+        assert sorted(str(r.text) for r in got) == sorted(map(str, want))
