@@ -149,7 +149,7 @@ def brute(texts):
 
 def test_whole_query_against_brute_force(spark):
     """Small formats, all of whose strings are taken, among the rest; both ways to look rounds up."""
-    texts = [TEXT, None, "", "no one", "Maria Ñññ", "_@-.-", *(f"{a}@{b}.co and {a.upper()}@{b}.CO" for a in "aeiou" for b in "xz"), *(f"Mr {a}{b}{'aeiou'[i % 5]} met Maria {a}e. " * 3 for i, a in enumerate("BCDFG") for b in "aeiou")]
+    texts = [TEXT, None, "", "no one", "Maria Ñññ", "_@-.-", *(f"{a}@{b}.co and {a.upper()}@{b}.CO" for a in "aeiou" for b in "xz"), *(f"Mr {a}{b} met Maria {a}e. " * 3 for a in "AEIOU" for b in "aeiou")]
     texts += [f"card 4{i:015d}" for i in range(20)] + [f"card {S('card', f'4{i:015d}')}" for i in range(10)] + texts[:3]
     want, rounds = brute(texts)
     assert max(rounds.values()) >= pii.WIDER and len({r for r in rounds.values()}) > 2
