@@ -39,23 +39,16 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     return each.withColumn("_term", term).withColumn("_weight", count.cast("double")).drop("_words", "_first", "_n", "_at")
 
 
-def _uniforms(of: Column) -> tuple[Column, Column]:
-    """Two numbers in (0, 1] from the halves of a hash."""
-    scale = F.lit(1 / 2**32)
-    return (F.shiftrightunsigned(of, 32) + 1) * scale, (of.bitwiseAND(F.lit(0xFFFFFFFF)) + 1) * scale
-
-
-def sample(term: Column, weight: Column, number: int) -> Column:
-    """ln a of a term for one sample. Null terms give null. Weights are above 0."""
-    draw = lambda k: F.xxhash64(term, F.lit(3 * number + k))
-    u1, u2 = _uniforms(draw(0))
-    u3, u4 = _uniforms(draw(1))
-    r = -F.ln(u1 * u2)
-    b = F.shiftrightunsigned(draw(2), 11) * F.lit(1 / 2**53)
-    # both products could round to 1, once in 2 ** 64 draws
-    tiny = F.lit(2.0**-60)
-    r, c = F.greatest(r, tiny), F.greatest(-F.ln(u3 * u4), tiny)
-    t = F.floor(F.ln(weight) / r + b)
+def _uniform(of: Column, at: int) -> Column:
+    """A number between 0 and 1 from 21 bits of a hash."""
+    return (F.shiftrightunsigned(of, at).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
+
+
+def sample(term: Column, log_weight: Column, number: int) -> Column:
+    """ln a of a term for one sample, from two hashes. Null terms give null."""
+    first, second = (F.xxhash64(term.bitwiseXOR(F.xxhash64(F.lit(2 * number + k)))) for k in (0, 1))
+    r, c, b = -F.ln(_uniform(first, 0) * _uniform(first, 21)), -F.ln(_uniform(second, 0) * _uniform(second, 21)), _uniform(first, 42)
+    t = F.floor(log_weight / r + b)
     return F.when(term.isNotNull(), F.ln(c) - r * (t - b + 1))
 
 
@@ -63,10 +56,10 @@ def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, term:
     """The keys with _signature, an array of the samples of each group of weighted terms.
 
     A term that recurs in a group counts with its greatest weight's draw or a lesser one; give each
-    once. A group with null terms only has an array of nulls.
+    once. A group with null terms only has an array of nulls. Terms are longs, weights are above 0.
     """
-    least = [F.min(sample(F.col(term), F.col(weight), s)).alias(f"_s{s}") for s in range(samples)]
-    found = terms.groupBy(*keys).agg(*least)
+    least = [F.min(sample(F.col(term), F.col("_log_weight"), s)).alias(f"_s{s}") for s in range(samples)]
+    found = terms.withColumn("_log_weight", F.ln(weight)).groupBy(*keys).agg(*least)
     return found.select(*keys, F.array(*(f"_s{s}" for s in range(samples))).alias("_signature"))
 
 
