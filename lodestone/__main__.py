@@ -44,23 +44,28 @@ class Session:
         """Reads the working tree again, keeping what didn't change."""
         ignore = self.root / ".gitignore"
         listing = list_files(self.spark, str(self.root), self.config(), ignore.read_text() if ignore.exists() else "")
-        new = refresh(listing, load_snapshot(self.spark, f"{self.at()}/files"), self.config()).drop("changed")
-        save_snapshot(new, f"{self.at()}/files")
-        return load_snapshot(self.spark, f"{self.at()}/files")
+        new = refresh(listing, self.snapshot(), self.config()).drop("changed")
+        save_snapshot(new, f"{self.at()}/snapshot")
+        return self.snapshot()
+
+    def snapshot(self) -> DataFrame | None:
+        return load_snapshot(self.spark, f"{self.at()}/snapshot")
 
     def files(self) -> DataFrame:
-        found = load_snapshot(self.spark, f"{self.at()}/files")
+        found = self.snapshot()
         return self.refresh() if found is None else found
 
+    def stored_graph(self, root: Path | None = None) -> CodeGraph | None:
+        return CodeGraph.load(self.spark, f"{self.at(root)}/graph")
+
     def build(self) -> CodeGraph:
-        graph = CodeGraph.build(self.files())
-        for name in ("facts", "nodes", "edges"):
-            table = getattr(graph, name).write.mode("overwrite")
-            (table if name == "facts" else table.partitionBy("kind")).parquet(f"{self.at()}/{name}")
-        return CodeGraph.load(self.spark, self.at())
+        """Takes a new snapshot and parses what changed since the stored graph, if there is one."""
+        old, files = self.stored_graph(), self.refresh()
+        (CodeGraph.build(files) if old is None else old.updated(files)).save(f"{self.at()}/graph")
+        return self.stored_graph()
 
     def graph(self) -> CodeGraph:
-        return CodeGraph.load(self.spark, self.at()) if Path(self.at(), "edges").exists() else self.build()
+        return self.stored_graph() or self.build()
 
     def changes(self) -> tuple[DataFrame, DataFrame]:
         """Files named by --changed, or those that git tells of."""
@@ -77,7 +82,7 @@ class Session:
         wanted = set(filter(None, (self.options.aliases or "").split(",")))
         nodes = edges = None
         for r in self.registry().collect():
-            graph = CodeGraph.load(self.spark, self.at(Path(r["path"]))) if not wanted or r["alias"] in wanted else None
+            graph = self.stored_graph(Path(r["path"])) if not wanted or r["alias"] in wanted else None
             if graph is not None:
                 n, e = (t.withColumn("repo_alias", F.lit(r["alias"])) for t in (graph.nodes, graph.edges))
                 nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
@@ -126,7 +131,7 @@ COMMANDS = {
     "init": ("write a configuration for a preset", _init),
     "detect": ("tell the preset of the root", lambda s: detect_preset([p.name for p in s.root.iterdir() if p.name in {m for v in MARKERS.values() for m in v}])),
     "refresh": ("take a snapshot", lambda s: stores.snapshot_status(s.refresh(), s.spark)),
-    "status": ("tell of the snapshot", lambda s: stores.snapshot_status(load_snapshot(s.spark, f"{s.at()}/files"), s.spark)),
+    "status": ("tell of the snapshot", lambda s: stores.snapshot_status(s.snapshot(), s.spark)),
     "store-path": ("where snapshot and graph are", lambda s: s.at()),
     "prompt": ("the snapshot as one text", lambda s: text.format_prompt(s.files(), str(s.root), datetime.now(UTC).isoformat(), s.options.max_bytes).first()["prompt"]),
     "prompts": ("fixed prompts", lambda s: documents.prompt(s.options.name) if s.options.name else "\n".join(documents.PROMPTS)),

@@ -11,7 +11,7 @@ from lodestone.operators import build, communities, flows, query, risk, search,
 from lodestone.operators.parse import snapshot_imports
 from lodestone.operators.resolve import SNAPSHOT_ENDINGS, resolve_imports
 from lodestone.sources import embedding
-from lodestone.sources.snapshot import load_snapshot, save_snapshot
+from lodestone.sources.snapshot import current_generation, load_snapshot, save_generation
 
 
 @dataclass
@@ -34,18 +34,25 @@ class CodeGraph:
         return CodeGraph(nodes, edges, files, facts)
 
     def save(self, at: str) -> None:
-        """Writes all tables; edges by kind, so that a query for one kind reads no other."""
-        save_snapshot(self.files, f"{at}/files")
-        self.facts.write.mode("overwrite").parquet(f"{at}/facts")
-        self.nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{at}/nodes")
-        self.edges.write.mode("overwrite").partitionBy("kind").parquet(f"{at}/edges")
+        """Writes all tables as a new generation of the store, which readers see once all are there;
+        edges by kind, so that a query for one kind reads no other. What the graph is made of may come
+        from the same store."""
+
+        def write(to: str) -> None:
+            self.files.write.parquet(f"{to}/files")
+            self.facts.write.parquet(f"{to}/facts")
+            self.nodes.write.partitionBy("kind").parquet(f"{to}/nodes")
+            self.edges.write.partitionBy("kind").parquet(f"{to}/edges")
+
+        save_generation(self.files.sparkSession, at, write)
 
     @classmethod
     def load(cls, spark: SparkSession, at: str) -> CodeGraph | None:
-        files = load_snapshot(spark, f"{at}/files")
+        files = load_snapshot(spark, at)
         if files is None:
             return None
-        return cls(*(spark.read.parquet(f"{at}/{t}") for t in ("nodes", "edges")), files, spark.read.parquet(f"{at}/facts"))
+        read = lambda t: spark.read.parquet(f"{at}/generation-{current_generation(spark, at)}/{t}")
+        return cls(read("nodes"), read("edges"), files, read("facts"))
 
     def status(self) -> DataFrame:
         return query.graph_status(self.nodes, self.edges)

@@ -28,12 +28,12 @@ def vectorize(text: Column, dims: int = DIMS) -> Column:
     """Word counts by bucket, scaled to length 1; zeros for a text without words. Words are runs of
     letters, digits, _ and -."""
     words = F.filter(F.split(text, r"[^\p{L}\p{N}_-]+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: bucket(w, dims))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    # the counts are bound once, however often they are used
-    scaled = F.transform(F.array(counts), lambda v: F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-12))))
-    return F.get(scaled, F.lit(0))
+    # what is used in a loop is bound before it, to be worked out once
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    count = lambda buckets: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    scale = lambda v: let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n))
+    return let(let(F.transform(words, lambda w: bucket(w, dims)), count), scale)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,23 +116,55 @@ def compare_listing(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.select(F.coalesce("path", "_path").alias("path"), state.alias("state"))
 
 
+def _path(spark: SparkSession, at: str):
+    """(file system, path) of a place, and the path's class."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = kind(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, kind
+
+
+def current_generation(spark: SparkSession, at: str) -> int | None:
+    """The number of the newest complete generation in a store, from its mark."""
+    fs, path, _ = _path(spark, at)
+    if not fs.exists(path):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = [int(n.removeprefix("complete-")) for n in names if n.startswith("complete-")]
+    return max(done, default=None)
+
+
+def save_generation(spark: SparkSession, at: str, write: Callable[[str], None], keep: int = 2) -> None:
+    """Lets write() fill a new folder of the store and marks it as complete, which is one step: readers
+    see the generation before until then, and a write that fails leaves it as it was. What is written
+    may be read from the generation before. Older ones than the last `keep` are removed.
+
+    One writer at a time.
+    """
+    number = (current_generation(spark, at) or 0) + 1
+    fs, _, kind = _path(spark, at)
+    fs.delete(kind(f"{at}/generation-{number}"), True)
+    write(f"{at}/generation-{number}")
+    fs.create(kind(f"{at}/complete-{number}"), True).close()
+    for status in fs.listStatus(kind(at)):
+        name = status.getPath().getName()
+        prefix, _, of = name.rpartition("-")
+        if prefix in ("complete", "generation") and of.isdigit() and int(of) <= number - keep:
+            fs.delete(status.getPath(), True)
+
+
 def save_snapshot(snapshot: DataFrame, at: str) -> None:
-    """Writes to a folder beside and swaps it in, so that a reader sees the old or the new one."""
-    spark = snapshot.sparkSession
-    snapshot.write.mode("overwrite").parquet(f"{at}.next")
-    jvm = spark.sparkContext._jvm
-    new, final = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{at}.next", at))
-    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(final, True)
-    if not fs.rename(new, final):
-        raise OSError(f"could not put the snapshot in place at {at}")
+    """Stores a snapshot; a reader sees the old or the new one."""
+    save_generation(snapshot.sparkSession, at, lambda to: snapshot.write.parquet(f"{to}/files"))
 
 
 def load_snapshot(spark: SparkSession, at: str) -> DataFrame | None:
     """A stored snapshot; None if there is none or it can't be read."""
-    from pyspark.errors import AnalysisException
-
+    number = current_generation(spark, at)
+    if number is None:
+        return None
     try:
-        return conform(spark.read.parquet(at), FILES)
-    except AnalysisException:
+        found = spark.read.parquet(f"{at}/generation-{number}/files")
+        found.limit(1).collect()  # what only looks like Parquet fails here
+        return conform(found, FILES)
+    except (AnalysisException, SparkRuntimeException, Py4JJavaError):
         return None

@@ -173,7 +173,7 @@ def test_documents(spark):
     assert documents.docs_section(readme, "none").first().section == "Section not found: none"
     assert documents.docs_section_by_text(readme, "usage").first().section == "## Usage\nrun\n### sub"
     assert documents.docs_section_by_text(readme, "none").first().section == "Section not found: none"
-    assert documents.prompt("architecture_map").startswith("Generate")
+    assert documents.prompt("architecture_map").startswith("Describe how")
 
 
 def test_snapshot(spark, tmp_path):

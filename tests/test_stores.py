@@ -4,9 +4,11 @@ import threading
 
 import pytest
 
+from lodestone.graph import CodeGraph
 from lodestone.operators import repos, search
 from lodestone.schemas import REPOS
-from lodestone.sources import embedding, stores
+from lodestone.sources import embedding, snapshot, stores
+from lodestone.sources.config import SnapshotConfig
 
 
 def test_registry(spark, tmp_path):
@@ -71,3 +73,35 @@ def test_embedding_services(spark, monkeypatch):
     nodes = spark.createDataFrame([("function", "f", "a::f", "a")], "kind string, name string, qualified_name string, file_path string")
     local = search.embed_nodes(nodes).first().vector
     assert search.embed_nodes(nodes, "ollama:m", embedding.client("ollama:m")).first().vector == local
+
+
+def test_incremental_saves(spark, tmp_path):
+    """load, update, save to the same place, load: equal to a full build; a save that fails changes nothing."""
+    root, at, config = tmp_path / "repo", str(tmp_path / "store"), SnapshotConfig()
+    root.mkdir()
+    (root / "a.py").write_text("from b import g\n\ndef f():\n    g()\n")
+    (root / "b.py").write_text("def g():\n    pass\n")
+    (root / "c.py").write_text("def gone():\n    pass\n")
+    take = lambda old: snapshot.refresh(snapshot.list_files(spark, str(root), config), old, config).drop("changed")
+    own = lambda g: (sorted(map(str, g.nodes.select("kind", "qualified_name", "line_start", "line_end").collect())), sorted(map(str, g.edges.select("kind", "source", "target").collect())))
+    CodeGraph.build(take(None)).save(at)
+    before = own(CodeGraph.load(spark, at))
+    for step in range(3):
+        (root / "b.py").write_text("def g():\n    h()\n\ndef h():\n    pass\n" + f"\ndef more{step}():\n    g()\n")
+        (root / "c.py").unlink(missing_ok=True)
+        old = CodeGraph.load(spark, at)
+        old.updated(take(old.files)).save(at)
+        full = CodeGraph.build(take(None))
+        assert own(CodeGraph.load(spark, at)) == own(full) != before
+    held = own(CodeGraph.load(spark, at))
+    broken = CodeGraph.load(spark, at)
+    broken.edges = broken.edges.selectExpr("raise_error('stop') AS kind", "source", "target", "file_path")
+    with pytest.raises(Exception):
+        broken.save(at)
+    assert own(CodeGraph.load(spark, at)) == held
+    # a snapshot that can't be read is none
+    snapshot.save_snapshot(take(None), f"{at}-files")
+    number = snapshot.current_generation(spark, f"{at}-files")
+    for part in (tmp_path / "store-files" / f"generation-{number}" / "files").glob("*.parquet"):
+        part.write_text("not parquet")
+    assert snapshot.load_snapshot(spark, f"{at}-files") is None
