@@ -134,7 +134,10 @@ def _crowded_links(tables: DataFrame, lookups: DataFrame) -> DataFrame:
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (fp, other) that connect what is RADIUS or fewer bits apart; fps has distinct
     fingerprints in column fp. Outside crowded entries these are all such pairs."""
-    tables = common.durable(_tables(fps))
+    # a fingerprint becomes about 34 lookups: dealt to as many tasks as a shuffle has, however few
+    # partitions its rows fit in before
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = common.durable(_tables(fps.repartition(parts, "fp")))
     lookups = _lookups(tables)
     crowded = common.durable(tables.groupBy("half", "entry").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("half", "entry"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS

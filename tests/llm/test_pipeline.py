@@ -57,7 +57,11 @@ def test_stages(spark, tables):
     assert not [r for r in rows[1] if r.doc_id is not None and r.doc_id < 300 and r.doc_id % 6 == 0]
 
     found = test_simhash.component_of([(r.doc_id, simhash.fingerprint(r.text)) for r in rows[1]])
-    assert sorted(str(r.doc_id) for r in rows[2]) == sorted(set(map(str, found))) and set(own(rows[2])) <= set(own(rows[1]))
+    # a row of each component, also of those in which no row has a key
+    keyless = {simhash.fingerprint(r.text) for r, least in zip(rows[1], found) if least is None}
+    assert len(keyless) == 2
+    assert sorted(str(r.doc_id) for r in rows[2]) == sorted([*map(str, {x for x in found if x is not None}), *["None"] * len(keyless)])
+    assert set(own(rows[2])) <= set(own(rows[1]))
 
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
     hit = {}
@@ -72,18 +76,22 @@ def test_stages(spark, tables):
     for r in rows[3]:
         sizes[r.source] = sizes.get(r.source, 0) + size(r)
     want, got = test_mixing.targets(sizes), dict.fromkeys(sizes, 0)
-    before = {str(r.doc_id): r for r in rows[3]}
+    before = {}
+    for r in rows[3]:
+        before.setdefault(str(r.doc_id), []).append(r.text or "")
     for r in rows[4]:
         got[r.source] += size(r)
-        assert (before[str(r.doc_id)].text or "").startswith(r.text) and r.n_chars == len(r.text)
+        assert any(t.startswith(r.text) for t in before[str(r.doc_id)]) and r.n_chars == len(r.text)
     assert all(abs(got[s] - want[s]) <= 0.5 for s in sizes)
 
     tokenizer = Tokenizer.from_file(public.path("word_bpe_49k.json"))
     start, expected = 0, []
-    for known, doc, text in sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in rows[4]):
-        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
-        expected.append((doc if known else None, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for r in rows[4]:  # in the order of training
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1]
+        expected.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
+    # copies of a document are apart
+    assert not [a for a, b in zip(rows[4], rows[4][1:]) if a.doc_id == b.doc_id is not None and a.text == b.text]
     last = corpus_pipeline.STAGES[-1][1](spark, frames[-1], tables)
     assert sorted((tuple(r) for r in last.collect()), key=lambda r: r[1]) == expected
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, tables).collect()), key=lambda r: r[1]) == expected
