@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import ascii_lower, in_test_path, path_of_symbol, test_stem
@@ -38,17 +38,37 @@ def line_hits(lines: DataFrame, words: tuple[str, ...] = SECURITY_WORDS) -> Data
     return lines.groupBy("file_path").agg(F.sum(hits).alias("security_hits")).filter("security_hits > 0")
 
 
-def linked_tests(nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """(file_path, linked): for a file's first 100 functions by name, how many nodes in test paths
-    have each one's name in theirs.
+def _grams(text: str) -> Column:
+    """The different stretches of 1 to 3 characters of a text."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    return F.filter(F.array_distinct(F.concat(of(1), of(2), of(3))), lambda g: g != "")
+
+
+def containing(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(file_path, hits) of parts (file_path, _part): how many nodes (_name, _qname) have a part in their
+    name or qualified name, added up over a file's parts; files without a hit are absent.
 
-    Names meet by containment, which no equi-join can express. Only names of changed files meet
-    only nodes in test paths.
+    A part meets the nodes that share the one of its longest stretches, of 3 characters at most, that
+    fewest nodes have, and only those are compared: an equi-join, whatever the number of nodes.
     """
+    wanted = parts.groupBy("file_path", "_part").agg(F.count("*").alias("_times"))
+    held = nodes.withColumn("_gram", F.explode(F.array_union(_grams("_name"), _grams("_qname"))))
+    own = wanted.select("_part").distinct().filter("_part <> ''").withColumn("_gram", F.explode(F.filter(_grams("_part"), lambda g: F.length(g) == F.least(F.length("_part"), F.lit(3)))))
+    rare = own.join(held.groupBy("_gram").agg(F.count("*").alias("_n")), "_gram").groupBy("_part").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    has = F.col("_name").contains(F.col("_part")) | F.col("_qname").contains(F.col("_part"))
+    found = rare.join(held, "_gram").filter(has).groupBy("_part").agg(F.count("*").alias("_n"))
+    # whatever has no characters is in every name
+    found = found.unionByName(nodes.agg(F.lit("").alias("_part"), F.count("*").alias("_n")))
+    return wanted.join(found, "_part").groupBy("file_path").agg(F.sum(F.col("_n") * F.col("_times")).alias("hits")).filter("hits > 0")
+
+
+def linked_tests(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """(file_path, linked): for a file's first 100 functions by name, how many nodes in test paths
+    have each one's name in theirs."""
     place = Window.partitionBy("file_path").orderBy("qualified_name")
     names = nodes.filter("kind = 'function'").join(changed.select("file_path"), "file_path", "left_semi").withColumn("_at", F.row_number().over(place)).filter("_at <= 100").select("file_path", ascii_lower("name").alias("_part"))
     tests = nodes.filter(in_test_path("file_path")).select(ascii_lower("name").alias("_name"), ascii_lower("qualified_name").alias("_qname"))
-    return names.join(tests, F.col("_name").contains(F.col("_part")) | F.col("_qname").contains(F.col("_part"))).groupBy("file_path").agg(F.count("*").alias("linked"))
+    return containing(names, tests).withColumnRenamed("hits", "linked")
 
 
 def change_risk(nodes: DataFrame, edges: DataFrame, changes: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -60,9 +80,9 @@ def change_risk(nodes: DataFrame, edges: DataFrame, changes: DataFrame, hits: Da
     changed = changes.select("file_path", (F.col("added") + F.col("deleted")).alias("changed_lines"))
     callers = edges.filter("kind = 'calls'").groupBy(path_of_symbol("target").alias("file_path")).agg(F.count("*").alias("callers"))
     functions = nodes.filter("kind = 'function'").groupBy("file_path").agg(F.count("*").alias("functions"))
-    stems = changed.select("file_path", ascii_lower(test_stem("file_path")).alias("_stem"))
+    stems = changed.select("file_path", ascii_lower(test_stem("file_path")).alias("_part"))
     tests = nodes.filter((F.col("kind") == "function") & in_test_path("file_path")).select(ascii_lower("name").alias("_name"), ascii_lower("qualified_name").alias("_qname"))
-    test_hits = stems.join(tests, F.col("_name").contains(F.col("_stem")) | F.col("_qname").contains(F.col("_stem"))).groupBy("file_path").agg(F.count("*").alias("test_hits"))
+    test_hits = containing(stems, tests).withColumnRenamed("hits", "test_hits")
     impacted = impact_radius(edges, changed, 2)
     total = impacted.agg(F.count("*").alias("_all"))
     rows = changed.join(total).join(impacted.withColumn("_in", F.lit(1)), "file_path", "left")

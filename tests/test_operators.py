@@ -240,3 +240,16 @@ def test_streams(spark, tmp_path):
     running = stream.writeStream.outputMode("append").format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     running.awaitTermination(60)
     assert {r.changes for r in spark.sql("SELECT * FROM bursts").collect()} <= {1, 3}
+
+
+def test_containing_against_brute_force(spark):
+    """Parts of any length, none included, in names and qualified names; repeated parts and nodes."""
+    names = ["", "a", "ab", "abc", "abcd", "xabcx", "bcd", "é_%", "éa", "aaa", "aaaa", "test_abc"]
+    nodes = [(n, f"{q}::{n}") for n in names for q in ("p/abc.ts", "q")] + [("abc", "q::abc")]
+    parts = [(f"f{i % 4}", p) for i, p in enumerate([*names, "zzz", "::", ":", "%", "abc", "abc"])]
+    got = risk.containing(spark.createDataFrame(parts, "file_path string, _part string"), spark.createDataFrame(nodes, "_name string, _qname string"))
+    want = {}
+    for f, p in parts:
+        want[f] = want.get(f, 0) + sum(p in n or p in q for n, q in nodes)
+    assert dict(map(tuple, got.collect())) == {f: n for f, n in want.items() if n}
+    assert risk.containing(spark.createDataFrame([], "file_path string, _part string"), spark.createDataFrame(nodes, "_name string, _qname string")).count() == 0
