@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import xxhash
+
 from lodestone.llm.sharding import HashTree, assign_shards, number_slots
 
 
@@ -54,3 +57,40 @@ def test_query(spark, odd, tmp_path):
     want = sorted((str(r.doc_id), len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in odd.collect())
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == want
     assert all(0 <= r.shard < 24 and (r.grown_shard == r.shard or r.grown_shard == 24) for r in rows)
+
+
+def hashed(*parts):
+    """A chain of XXH64: strings by their bytes, numbers of 4 or 8 bytes; nulls are passed over."""
+    h = 42
+    for p in parts:
+        if p is not None:
+            h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p, h)
+    return h
+
+
+def descended(tree, doc):
+    """The shard of a key, by draws in plain loops."""
+    number = lambda i: i.to_bytes(4, "little")
+    key = None if doc is None else doc.to_bytes(8, "little", signed=True)
+
+    def least(level, path, weights):
+        draws = [-math.log(((hashed(level, *map(number, path), number(i), key) >> 12) + 1) / 2**52) / w if w else math.inf for i, w in enumerate(weights)]
+        return draws.index(min(draws))
+
+    total = lambda node: node[1] if isinstance(node[0], int) else sum(map(total, node))
+    region = least("region", [], [total(r) for r in tree.regions])
+    rack = least("rack", [region], [total(r) for r in tree.regions[region]])
+    return tree.regions[region][rack][least("shard", [region, rack], [w for _, w in tree.regions[region][rack]])][0]
+
+
+def test_query_against_brute_force(spark, odd, tmp_path):
+    from lodestone.llm.sharding import op5_hash_tree_shards
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    tree, uneven = HashTree.regular(24), HashTree.regular(24).reweighted(3, 5.0).reweighted(20, 0.0)
+    rows = op5_hash_tree_shards(spark, str(tmp_path)).collect()
+    assert all((r.shard, r.grown_shard) == (descended(tree, r.doc_id), descended(tree.grown(), r.doc_id)) for r in rows)
+    assert all(r.shard == descended(uneven, r.doc_id) for r in assign_shards(odd, "doc_id", uneven).select("doc_id", "shard").collect())
+    place = lambda r: (hashed("slot", None if r.doc_id is None else r.doc_id.to_bytes(8, "little", signed=True)) >> 52, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size, r.slot)  # noqa: E731  rows alike in all may change places
+    for shard in {r.shard for r in rows}:
+        assert [r.slot for r in sorted((r for r in rows if r.shard == shard), key=place)] == list(range(sum(r.shard == shard for r in rows)))

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -75,3 +77,14 @@ def test_logistic():
     w, bias = x.fit_logistic(hits, 6, target, l2=1e-3, rounds=3000)
     got = np.array([1 / (1 + np.exp(-(bias + w[h].sum() + w[-1] * np.log1p(len(h))))) for h in hits])
     assert np.abs(got - target).max() < 0.03
+
+
+def test_scores_against_brute_force(spark, odd):
+    """Scores from the model's terms and weights alone, each term looked for in all words."""
+    docs, labels = corpus(spark, 300)
+    model = x.fit(docs, labels)
+    for r in x.score(docs.select("text").union(odd.select("text")), model, into="score").collect():
+        words = set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        found = [i for i, t in enumerate(model.terms) if t in words or t.endswith("*") and any(w.startswith(t[:-1]) and len(w) >= len(t) for w in words)]
+        logit = model.bias + sum(model.weights[i] for i in found) + model.weights[-1] * math.log1p(len(found))
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-9
