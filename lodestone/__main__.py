@@ -22,7 +22,7 @@ from lodestone.operators import repos as registries
 from lodestone.schemas import REPOS
 from lodestone.sources import documents, git, stores
 from lodestone.sources.config import MARKERS, SnapshotConfig, detect_preset
-from lodestone.sources.snapshot import list_files, load_snapshot, refresh, save_snapshot
+from lodestone.sources.snapshot import list_files, load_snapshot, load_tables, refresh, save_generation, save_snapshot
 from lodestone.streaming.watch import watch
 
 
@@ -62,7 +62,19 @@ class Session:
         """Takes a new snapshot and parses what changed since the stored graph, if there is one."""
         old, files = self.stored_graph(), self.refresh()
         (CodeGraph.build(files) if old is None else old.updated(files)).save(f"{self.at()}/graph")
-        return self.stored_graph()
+        graph = self.stored_graph()
+        graph.postprocess(f"{self.at()}/derived")
+        return graph
+
+    def flows(self) -> tuple[DataFrame, DataFrame]:
+        """Stored flows and their files."""
+        graph = self.graph()
+        return load_tables(self.spark, f"{self.at()}/derived", "flows", "flow_memberships") or graph.flows()
+
+    def embeddings(self) -> DataFrame | None:
+        """Stored vectors of all models."""
+        found = load_tables(self.spark, f"{self.at()}/embeddings", "vectors")
+        return None if found is None else found[0]
 
     def graph(self) -> CodeGraph:
         return self.stored_graph() or self.build()
@@ -113,6 +125,21 @@ def _init(s: Session) -> str:
     return preset
 
 
+def _embed(s: Session) -> DataFrame:
+    """Vectors of one model, stored in place of those of before; other models' stay."""
+    new, old = s.graph().embeddings(s.options.model), s.embeddings()
+    both = new if old is None else stores.merged(old, new, ["qualified_name", "model"])
+    save_generation(s.spark, f"{s.at()}/embeddings", lambda to: both.write.parquet(f"{to}/vectors"))
+    return s.embeddings().groupBy("model").count()
+
+
+def _search(s: Session) -> DataFrame:
+    """By stored vectors of the model and names; by names alone if there are none."""
+    found = s.embeddings()
+    none = s.spark.createDataFrame([], "qualified_name string, model string, vector array<double>")
+    return s.graph().search(s.options.name or "", s.options.kind, s.options.limit, s.options.model, none if found is None else found)
+
+
 def _readme(s: Session) -> DataFrame:
     return s.spark.createDataFrame([("README.md", (s.root / "README.md").read_text())], "path string, content string")
 
@@ -142,17 +169,18 @@ COMMANDS = {
     "reverse-imports": ("files that import the changed ones", lambda s: s.graph().reverse_import_impact(_paths(s), s.options.depth)),
     "detect-changes": ("risk of changed files", lambda s: s.graph().change_risk(*s.changes())),
     "minimal-context": ("the gist of the changes", lambda s: risk.minimal_context(s.graph().change_risk(*s.changes()))),
-    "list-flows": ("execution flows", lambda s: flows.list_flows(s.graph().flows()[0], s.options.limit)),
-    "get-flow": ("one flow in detail", lambda s: flows.flow_detail(s.graph().flows()[0], s.graph().edges, s.options.name)),
-    "affected-flows": ("flows through changed files", lambda s: s.graph().affected_flows(_paths(s).withColumn("ord", F.col("file_path")), s.options.limit)),
+    "graph-postprocess": ("work out flows and communities anew", lambda s: s.graph().postprocess(f"{s.at()}/derived")),
+    "list-flows": ("execution flows", lambda s: flows.list_flows(s.flows()[0], s.options.limit)),
+    "get-flow": ("one flow in detail", lambda s: flows.flow_detail(s.flows()[0], s.graph().edges, s.options.name)),
+    "affected-flows": ("flows through changed files", lambda s: flows.affected_flows(*s.flows(), _paths(s).withColumn("ord", F.col("file_path")), s.options.limit)),
     "list-communities": ("communities", lambda s: s.graph().communities(s.options.limit)),
     "get-community": ("one community in detail", lambda s: s.graph().community(s.options.name or "")),
     "architecture-overview": ("warnings about communities", lambda s: s.graph().architecture_warnings()),
     "review-context": ("changed and near files with their first lines", lambda s: s.graph().review_context(_paths(s), s.options.depth)),
     "find-large-functions": ("long symbols", lambda s: s.graph().large_symbols(s.options.min_lines, s.options.kind, s.options.name, s.options.limit)),
     "docs-section": ("a section of the README", lambda s: documents.docs_section(_readme(s), s.options.name or "usage").first()["section"]),
-    "embed-graph": ("vectors of symbols", lambda s: s.graph().embeddings(s.options.model).groupBy("model").count()),
-    "semantic-search": ("symbols near a text", lambda s: s.graph().search(s.options.name or "", s.options.kind, s.options.limit, s.options.model)),
+    "embed-graph": ("vectors of symbols", _embed),
+    "semantic-search": ("symbols near a text", _search),
     "query-symbol": ("definitions and references of a name", lambda s: text.symbol_totals(s.files(), s.options.name or "")),
     "refactor-preview": ("lines that a renaming would change", lambda s: s.graph().refactor_preview(s.options.name or "", s.options.limit)),
     "refactor-apply": ("rename in the working tree", lambda s: str(stores.write_refactored(s.graph().refactored(s.options.name, s.options.new_name, s.options.limit), str(s.root)))),

@@ -11,7 +11,7 @@ from lodestone.operators import build, communities, flows, query, risk, search,
 from lodestone.operators.parse import snapshot_imports
 from lodestone.operators.resolve import SNAPSHOT_ENDINGS, resolve_imports
 from lodestone.sources import embedding
-from lodestone.sources.snapshot import current_generation, load_snapshot, save_generation
+from lodestone.sources.snapshot import current_generation, load_snapshot, load_tables, save_generation
 
 
 @dataclass
@@ -97,8 +97,24 @@ class CodeGraph:
     def embeddings(self, model: str = search.DEFAULT_MODEL) -> DataFrame:
         return search.embed_nodes(self.nodes, model, embedding.client(model))
 
-    def search(self, text: str, kind: str | None = None, limit: int = 20, model: str = search.DEFAULT_MODEL) -> DataFrame:
-        return search.semantic_search(self.nodes, self.embeddings(model), text, kind, limit, model)
+    def search(self, text: str, kind: str | None = None, limit: int = 20, model: str = search.DEFAULT_MODEL, embeddings: DataFrame | None = None) -> DataFrame:
+        """`embeddings` are stored ones; without any, vectors are made for this search."""
+        return search.semantic_search(self.nodes, self.embeddings(model) if embeddings is None else embeddings, text, kind, limit, model)
+
+    def postprocess(self, at: str) -> DataFrame:
+        """Stores flows, their files and communities as a new generation; one row with the numbers."""
+        listed, members = self.flows()
+        found = communities.communities(self.nodes, self.edges)
+
+        def write(to: str) -> None:
+            listed.write.parquet(f"{to}/flows")
+            members.write.parquet(f"{to}/flow_memberships")
+            found.write.parquet(f"{to}/communities")
+
+        spark = self.nodes.sparkSession
+        save_generation(spark, at, write)
+        stored = load_tables(spark, at, "flows", "communities")
+        return stored[0].agg(F.count("*").alias("flows")).join(stored[1].agg(F.count("*").alias("communities")))
 
     def prompt(self, repo: str, updated_at: str, max_bytes: int = 64_000) -> DataFrame:
         return text.format_prompt(self.files, repo, updated_at, max_bytes)

@@ -152,6 +152,12 @@ def save_generation(spark: SparkSession, at: str, write: Callable[[str], None],
             fs.delete(status.getPath(), True)
 
 
+def load_tables(spark: SparkSession, at: str, *names: str) -> tuple[DataFrame, ...] | None:
+    """Tables of a store's newest generation; None if there is no store."""
+    number = current_generation(spark, at)
+    return None if number is None else tuple(spark.read.parquet(f"{at}/generation-{number}/{n}") for n in names)
+
+
 def save_snapshot(snapshot: DataFrame, at: str) -> None:
     """Stores a snapshot; a reader sees the old or the new one."""
     save_generation(snapshot.sparkSession, at, lambda to: snapshot.write.parquet(f"{to}/files"))

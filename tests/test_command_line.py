@@ -40,7 +40,12 @@ def test_commands(spark, capsys, repo):
     assert {r["name"] for r in do("list-communities")} == {"src", "README.md", "pyproject.toml"} and do("get-community", "src")[0]["node_count"] == 4
     assert do("architecture-overview")[0]["warning"].startswith("No major") and len(do("review-context")) == 2
     assert do("docs-section") == "## Usage\nrun it" and do("prompt").startswith("[snapshot]") and "debug_issue" in do("prompts")
-    assert do("semantic-search", "main", "--limit", "1")[0]["qualified_name"] == "src/a.ts::main" and do("embed-graph")[0]["count"] == 2
+    assert do("graph-postprocess")[0] == {"flows": 1, "communities": 3}
+    lexical = do("semantic-search", "main", "--limit", "5")
+    assert [(r["qualified_name"], r["score"]) for r in lexical] == [("src/a.ts::main", 1.0)]  # no vectors yet
+    assert do("embed-graph")[0]["count"] == 2 and do("embed-graph")[0]["count"] == 2
+    hybrid = do("semantic-search", "main", "--limit", "5")
+    assert hybrid[0]["qualified_name"] == "src/a.ts::main" and len(hybrid) == 2 and hybrid[0]["score"] < 0.1
     assert do("query-symbol", "main")[0]["definitions"] == 1 and do("refactor-preview", "main")[0]["line"] == 2
     assert do("generate-wiki") == "3" and do("get-wiki-page", "src").startswith("# src")
     assert do("registry-add", "one")[0]["alias"] == "one" and do("registry-list")[0]["node_count"] == 6
