@@ -279,6 +279,32 @@ FROM (SELECT path, unnest(string_split(content, chr(10))) AS line FROM docs) GRO
     ),
 )
 
+
+def _diff(s: SparkSession, d: str) -> DataFrame:
+    """A unified diff of all documents, in turn added, removed and unchanged lines; some files are deleted."""
+    each = docs(s, d)
+    sign = F.get(F.array(*map(F.lit, "+- ")), (F.col("_at") % 3).cast("int"))
+    heads = each.select(F.struct("path", F.lit(-1).alias("at")).alias("ord"), F.when(F.col("path").endswith("7.py"), "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/"), "path")).alias("line"))
+    lines = each.select("path", F.posexplode(lines_of("content")).alias("_at", "_line"))
+    return heads.union(lines.select(F.struct("path", F.col("_at").alias("at")).alias("ord"), F.concat(sign, "_line").alias("line")))
+
+
+_register(
+    "diff_security_hits",
+    lambda s, d: risk.security_hits(_diff(s, d), _WORDS),
+    docs_oracle(
+        f""", body AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS a FROM docs
+), diff AS (
+  SELECT path, -1 AS a, CASE WHEN path LIKE '%7.py' THEN '+++ /dev/null' ELSE '+++ b/' || path END AS line FROM docs
+  UNION ALL SELECT path, a, CASE a % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END || line FROM body
+), told AS (
+  SELECT line, last_value(CASE WHEN starts_with(line, '+++ b/') THEN trim(substr(line, 7)) END IGNORE NULLS) OVER (ORDER BY path, a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file_path FROM diff
+)
+SELECT file_path, sum({" + ".join(f"contains(lower(line), '{w}')::INT" for w in _WORDS)})::BIGINT AS security_hits
+FROM told WHERE file_path IS NOT NULL AND regexp_matches(line, '^[+-]') AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---') GROUP BY 1 HAVING sum({" + ".join(f"contains(lower(line), '{w}')::INT" for w in _WORDS)}) > 0"""
+    ),
+)
+
 # Search --------------------------------------------------------------------------------------
 
 _VECTOR = """, counts AS (
@@ -312,6 +338,11 @@ _LEXICAL = """, lexical AS (
   FROM (SELECT * FROM nodes WHERE lower(name) LIKE '%hot_gear_4%' OR lower(qualified_name) LIKE '%hot_gear_4%' ORDER BY kind, qualified_name LIMIT {limit})
 )"""
 _register("lexical_search", lambda s, d: search.lexical_search(nodes(s, d), "Hot_Gear_4", None, 30), graph_oracle(_LEXICAL.format(limit=30) + "SELECT * FROM lexical"))
+_register(
+    "search_without_vectors",
+    lambda s, d: search.semantic_search(nodes(s, d), search.embed_nodes(nodes(s, d)).withColumn("model", F.lit("other")), "Hot_Gear_4", None, 30),
+    graph_oracle(_LEXICAL.format(limit=30) + "SELECT * FROM lexical"),
+)
 _register(
     "hybrid_search",
     lambda s, d: search.semantic_search(nodes(s, d), search.embed_nodes(nodes(s, d)), "Hot_Gear_4", None, 20),
@@ -399,6 +430,11 @@ _register(
         f""", lines AS ({_LINES}) SELECT path AS file_path, nr::BIGINT AS line, trim(line) AS text, true AS external, false AS probable_test FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])')"""
     ),
 )
+_register(
+    "symbol_totals",
+    lambda s, d: text.symbol_totals(docs(s, d), "thon"),
+    docs_oracle(f""", lines AS ({_LINES}) SELECT 0::BIGINT AS definitions, count(*) AS n_references, count(*) AS external_references, 0::BIGINT AS probable_tests FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])')"""),
+)
 _register(
     "path_functions",
     lambda s, d: docs(s, d).select("path", extension("path").alias("ext"), language_of("path").alias("symbol_language"), language_of("path", FILE_LANGUAGES, "unknown").alias("file_language"), page_name("path").alias("page"), without_quotes(F.concat(F.lit("'"), "path", F.lit('"'))).alias("bare")),
