@@ -36,6 +36,9 @@ HINTS = {
 COPIED_OWNERS, COPIED_REPOSITORIES = 3, 5
 #: Distinct characters from which on a value looks live.
 LIVE_CHARACTERS = 10
+#: Parts in which the candidates with one value meet its counts, so that a value that was copied into
+#: a third of all rows isn't one task's.
+SALTS = 64
 #: Base kinds, whose spans always stay.
 BASE = ("assign", "access", "hex")
 
@@ -86,7 +89,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     end = F.sum(F.col("gap") + F.col("width")).over(so_far)
     placed = each.withColumn("end", end.cast("long")).withColumn("start", (F.col("end") - F.col("width")).cast("long")).filter("ok")
     values = ownership(each.filter("ok"), "_owner", "_repository")
-    judged = placed.join(values, "hash")
+    # the counts, a short row for each value, are repeated; the candidates, which may be many, are dealt
+    repeated = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = placed.withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(repeated, ["hash", "_salt"]).drop("_salt")
     judged = judged.filter(F.col("kind").isin(*BASE) | (F.col("live") & ~F.col("copied")))
     span = F.struct("start", "rank", "end", "kind", "copied", "live", "owners")
     spans = judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("spans"))

@@ -65,3 +65,15 @@ def test_query_digest(spark, tmp_path):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[3] == k for s in base) for k in ("assign", "access", "hex")]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in base).encode()).hexdigest()
         assert [x for x in r.spans.split(",") if x and not x.startswith("owned")] == [f"{s[3]}:{s[0]}:{s[2]}" for s in base]
+
+
+def test_a_value_in_most_rows(spark):
+    """A copied example in nine of ten rows, and values of single owners among them: every row has its
+    span, with the counts of the whole corpus."""
+    example, own = "AKIA" + "EXAMPLE0" * 2, lambda i: f"x9Kq7Lm2Zp4Rt8{i:08d}Wv"
+    rows = [(i, f"key {example if i % 10 else own(i)} end", "en", f"s{i % 7}") for i in range(2000)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()
+    assert len(got) == 2000
+    for r in got:
+        (span,) = r.spans
+        assert (span.kind, span.start, span.owners, span.copied) == (("access", 4, 7, True) if r.doc_id % 10 else ("owned", 4, 1, False))
