@@ -45,11 +45,15 @@ def _uniform(of: Column, at: int) -> Column:
 
 
 def sample(term: Column, log_weight: Column, number: int) -> Column:
-    """ln a of a term for one sample, from two hashes. Null terms give null."""
+    """ln a of a term for one sample, from two hashes. Null terms give null.
+
+    A weight of 1 has the logarithm 0 and therefore t = 0 whatever r is, which saves most terms of
+    most texts a second draw of r.
+    """
     first, second = (F.xxhash64(term.bitwiseXOR(F.xxhash64(F.lit(2 * number + k)))) for k in (0, 1))
-    r, c, b = -F.ln(_uniform(first, 0) * _uniform(first, 21)), -F.ln(_uniform(second, 0) * _uniform(second, 21)), _uniform(first, 42)
-    t = F.floor(log_weight / r + b)
-    return F.when(term.isNotNull(), F.ln(c) - r * (t - b + 1))
+    minus_r, c, b = F.ln(_uniform(first, 0) * _uniform(first, 21)), -F.ln(_uniform(second, 0) * _uniform(second, 21)), _uniform(first, 42)
+    t = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(b - log_weight / minus_r).cast("double"))
+    return F.when(term.isNotNull(), F.ln(c) + minus_r * (t - b + 1))
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, term: str = "_term", weight: str = "_weight") -> DataFrame:
