@@ -3,8 +3,8 @@
 1. Terms: words, and beginnings of longer words, that go with toxic labels in a bounded sample of
    labelled texts. Counting is distributed; the driver gets the MOST_TERMS strongest.
 2. Voters: the strongest words (lexicon) and beginnings (patterns) each vote toxic where they occur
-   and else abstain; counting voters vote by how many terms occur; the given label is one more
-   voter, which may err like any other.
+   and else abstain, one voter for terms that occur in nearly the same texts; counting voters vote by
+   how many terms occur; the given label is one more voter, which the others can outvote.
 3. Label model: a generative model with a hidden class, in which each voter has a rate of each vote
    for each class, fitted by expectation maximisation. Voters that still go together within a class
    say the same thing twice: a voter's evidence is divided by one plus its correlations with others.
@@ -40,8 +40,12 @@ LEAST_TEXTS, LEAST_RATIO = 5, 12.0
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: Numbers of different terms at which the counting voters vote toxic.
 COUNTS = (1, 2, 4, 8)
+#: Terms whose texts overlap by as much (Jaccard) are one voter, that of the strongest.
+ALIKE = 0.8
 #: The most that labels err, of clean and of toxic texts, and the most log odds of all other voters.
-LABEL_ERRORS, MOST_EVIDENCE = (0.01, 0.05), 2.5
+LABEL_ERRORS, MOST_EVIDENCE = (0.01, 0.05), 9.0
+#: Rounds of the label model.
+ROUNDS = 2
 #: Terms and words that a task holds before it passes counts on, or forgets.
 HELD = 100_000
 THRESHOLD = 0.3
@@ -132,11 +136,26 @@ class TermFinder:
         return found
 
 
+def voters(hits: list[list[int]], terms: list[str]) -> list[int]:
+    """The terms that vote, strongest first. Of terms that occur in nearly the same texts, such as a
+    word and its beginnings, the strongest votes for all."""
+    texts: dict[int, set[int]] = {i: set() for i in range(len(terms))}
+    for row, own in enumerate(hits):
+        for i in own:
+            texts[i].add(row)
+    chosen: list[int] = []
+    room = {False: LEXICON_VOTERS, True: PATTERN_VOTERS}
+    for i, term in enumerate(terms):
+        pattern = term.endswith("*")
+        if room[pattern] and not any(len(texts[i] & texts[j]) >= ALIKE * len(texts[i] | texts[j]) for j in chosen):
+            chosen.append(i)
+            room[pattern] -= 1
+    return chosen
+
+
 def votes_of(hits: list[list[int]], terms: list[str], given: np.ndarray) -> np.ndarray:
     """A row for each text and a column for each voter: 1 toxic, -1 clean, 0 abstains."""
-    lexicon = [i for i, t in enumerate(terms) if not t.endswith("*")][:LEXICON_VOTERS]
-    patterns = [i for i, t in enumerate(terms) if t.endswith("*")][:PATTERN_VOTERS]
-    voter = {i: v for v, i in enumerate(lexicon + patterns)}
+    voter = {i: v for v, i in enumerate(voters(hits, terms))}
     votes = np.zeros((len(hits), len(voter) + len(COUNTS) + 1), np.int8)
     for row, own in enumerate(hits):
         for i in own:
@@ -148,14 +167,15 @@ def votes_of(hits: list[list[int]], terms: list[str], given: np.ndarray) -> np.n
     return votes
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> np.ndarray:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The posterior probability that each text is toxic; the last column votes by the given labels.
 
     Starts from the given labels, softened; rates are smoothed by one vote of each kind. Each round
     estimates the prior, all voters' rates and the within-class correlations of those that aren't
-    given labels from the posterior, and then the posterior. To keep the hidden class from drifting
-    to some other contrast among the texts, such as a group of copies, labels err in LABEL_ERRORS of
-    a class at most, and the other voters' evidence together counts for MOST_EVIDENCE at most.
+    given labels from the posterior, and then the posterior. Labels err in LABEL_ERRORS of a class at
+    most, and the other voters' evidence together counts for MOST_EVIDENCE at most, which is enough
+    to outvote any label. More rounds let the hidden class drift to some other contrast among the
+    texts, such as a language or a group of copies.
     """
     posterior = np.where(given == 1, 0.9, 0.05)
     for _ in range(rounds):

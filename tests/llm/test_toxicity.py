@@ -70,6 +70,26 @@ def test_label_model():
     assert np.abs(posterior - truth).mean() < np.abs(given - truth).mean()
 
 
+def test_voters_outvote_wrong_labels():
+    """Texts labelled clean in which independent toxic terms meet become toxic, and only those."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.15
+    hits = [sorted(np.flatnonzero(rng.random(6) < (0.6 if t else 0.005)).tolist()) for t in truth]
+    given = np.where(rng.random(4000) < 0.02, ~truth, truth).astype(int)
+    posterior = x.label_model(x.votes_of(hits, [f"t{i}" for i in range(6)], given), given) > 0.5
+    wrong = given != truth
+    clear = wrong & truth & (np.array([len(h) for h in hits]) >= 4)
+    assert clear.sum() >= 3 and posterior[clear].all()
+    assert (posterior != truth).sum() < wrong.sum() and not (posterior != truth)[~wrong].any()
+
+
+def test_voters():
+    """A word and its beginnings are one voter; a beginning of several words is its own."""
+    terms = ["trash", "tra*", "tras*", "scum", "scu*"]
+    hits = [[0, 1, 2]] * 9 + [[1, 2], [3, 4], [3, 4], [4], [4], []]
+    assert [terms[i] for i in x.voters(hits, terms)] == ["trash", "scum", "scu*"]
+
+
 def test_logistic():
     rng = np.random.default_rng(1)
     hits = [sorted(np.flatnonzero(rng.random(6) < 0.3).tolist()) for _ in range(2000)]
