@@ -12,9 +12,12 @@ executors hold is bounded however large the benchmark is, and is matched against
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,9 @@ PART_WORDS = 2_000_000
 #: The least share of a document's words that are hit for it to be contaminated: 1 in so many.
 SHARE = 20
 
+#: Windows are hashed as polynomials of their word ids by this factor, modulo 2^64.
+_FACTOR, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
 #: A-Z to a-z; whatever isn't in a word to a space. Words are runs of 0-9, a-z and non-ASCII.
 _FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -39,60 +45,99 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length; each has a set of names."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.patterns = patterns
-        self.length = len(next(iter(patterns)))
-        self.block = min(BLOCK, self.length)
-        self.default = self.length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str]]] = defaultdict(dict)
-        for p, names in patterns.items():
-            for end in range(self.block, self.length + 1):
-                block = p[end - self.block : end]
-                self.shift[block] = min(self.shift.get(block, self.default), self.length - end)
-            self.buckets[p[-self.block :]][p] = names
-
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(start, names) of all occurrences, by start."""
-        m, b, shift, default, buckets = self.length, self.block, self.shift.get, self.default, self.buckets
-        end, n = m, len(words)
+    """Windows of one length over word ids, in flat arrays: some 60 bytes for each window.
+
+    A block is a number made of its word ids. `blocks` are the known ones in order, `shifts` says
+    how far each lets the window move. Windows stand by the block they end with, so that those of
+    block k are the bucket from `buckets[k]` to `buckets[k + 1]`, by hash within it.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], length: int, n_words: int):
+        self.length, self.block, self.base = length, min(BLOCK, length), n_words + 1
+        self.default = length - self.block + 1
+        ids = np.concatenate([w for _, w in items])
+        sizes = np.array([len(w) for _, w in items])
+        # the place of each word in its item, and the words that end a block or a window there
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        code = ids.astype(np.uint64)
+        for k in range(1, self.block):
+            code[k:] += ids[:-k].astype(np.uint64) * np.uint64(self.base**k)
+        ends = place >= self.block - 1
+        # the latest that a window can end on a block: the item's first windows are at its front
+        known, at = np.unique(code[ends], return_inverse=True)
+        shifts = np.full(len(known), self.default)
+        np.minimum.at(shifts, at, np.maximum(length - 1 - place[ends], 0))
+        hashes = np.zeros(len(ids), np.uint64)
+        for k in range(length - 1, -1, -1):
+            hashes = hashes * np.uint64(_FACTOR) + np.concatenate([np.zeros(k, np.uint64), ids[: len(ids) - k].astype(np.uint64)])
+        last = np.flatnonzero(place >= length - 1)
+        bucket = np.searchsorted(known, code[last])
+        order = np.lexsort((hashes[last], bucket))
+        owner = np.repeat(np.array([n for n, _ in items]), sizes)[last][order]
+        self.blocks, self.shifts = array("Q", known.tobytes()), array("i", shifts.astype(np.int32).tobytes())
+        self.buckets = array("q", np.searchsorted(bucket[order], np.arange(len(known) + 1)).astype(np.int64).tobytes())
+        self.hashes, self.owners = array("Q", hashes[last][order].tobytes()), array("q", owner.astype(np.int64).tobytes())
+        self.starts, self.ids = array("q", (last[order] - length + 1).astype(np.int64).tobytes()), array("i", ids.astype(np.int32).tobytes())
+
+    def occurrences(self, ids: list[int]) -> Iterator[tuple[int, set[int]]]:
+        """(start, numbers of the items) of all occurrences in a text's word ids, 0 being a word of
+        no item, by start."""
+        m, b, base, blocks = self.length, self.block, self.base, self.blocks
+        end, n = m, len(ids)
         while end <= n:
-            block = tuple(words[end - b : end])
-            move = shift(block, default)
+            code = 0
+            for w in ids[end - b : end]:
+                code = code * base + w
+            at = bisect_left(blocks, code)
+            move = self.shifts[at] if at < len(blocks) and blocks[at] == code else self.default
             if move:
                 end += move
                 continue
-            names = buckets[block].get(tuple(words[end - m : end]))
-            if names is not None:
-                yield end - m, names
+            window = array("i", ids[end - m : end])
+            digest = 0
+            for w in window:
+                digest = (digest * _FACTOR + w) & _ALL
+            last = self.buckets[at + 1]
+            first = bisect_left(self.hashes, digest, self.buckets[at], last)
+            found = set()
+            while first < last and self.hashes[first] == digest:
+                if self.ids[self.starts[first] : self.starts[first] + m] == window:
+                    found.add(self.owners[first])
+                first += 1
+            if found:
+                yield end - m, found
             end += 1
 
 
 class Matcher:
-    """The windows of a part of the benchmark, by length."""
+    """The windows of a part of the benchmark, by length. Made once on the driver and sent as flat
+    arrays; a worker keeps what it was sent."""
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
-        by_length: dict[int, dict] = defaultdict(lambda: defaultdict(set))
+        self.words: dict[bytes, int] = {}
+        self.names: list[str] = []
+        by_length: dict[int, list] = defaultdict(list)
         for name, words in items:
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length[size][tuple(words[i : i + size])].add(name)
-        self.matchers = [WuManber(dict(patterns)) for _, patterns in sorted(by_length.items())]
+            if words:
+                ids = np.fromiter((self.words.setdefault(w, len(self.words) + 1) for w in words), np.int64, len(words))
+                by_length[min(window, len(words))].append((len(self.names), ids))
+                self.names.append(name)
+        self.matchers = [WuManber(own, size, len(self.words)) for size, own in sorted(by_length.items())]
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The hit stretches (start, end) and the names of the items that occur."""
-        stretches, names = [], set()
+        stretches, numbers = [], set()
+        known = self.words.get
+        ids = [known(w, 0) for w in words]
         for matcher in self.matchers:
-            for start, found in matcher.occurrences(words):
+            for start, found in matcher.occurrences(ids):
                 end = start + matcher.length
                 if stretches and stretches[-1][0] <= start <= stretches[-1][1]:
                     stretches[-1] = (stretches[-1][0], max(end, stretches[-1][1]))
                 else:
                     stretches.append((start, end))
-                names |= found
-        return stretches, names
+                numbers |= found
+        return stretches, {self.names[i] for i in numbers}
 
 
 def merged(stretches: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,10 +191,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 def _matched(spark: SparkSession, out: DataFrame, part: list, text: str, window: int) -> DataFrame:
     """out with what the part adds to stretches and items, and with n_words."""
     common.ship(spark)
-    sent = spark.sparkContext.broadcast(part)
+    # of PART_WORDS words and an item at most
+    sent = spark.sparkContext.broadcast(Matcher(part, window))
 
     def match(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(sent.value, window)
+        matcher = sent.value
         for texts, stretches, items in batches:
             rows = []
             for t, before, names in zip(texts, stretches, items):

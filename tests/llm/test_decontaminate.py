@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -55,10 +56,36 @@ def test_against_brute_force(spark):
 def test_shifts():
     rng = random.Random(9)
     item = [f"w{rng.randrange(5)}".encode() for _ in range(30)]
-    matcher = d.WuManber({tuple(item[i : i + 13]): {"x"} for i in range(18)})
+    whole = d.Matcher([("x", item)], 13)
+    (matcher,) = whole.matchers
+    patterns = {tuple(item[i : i + 13]) for i in range(18)}
     text = [f"w{rng.randrange(5)}".encode() for _ in range(3000)] + item + [b"z"] * 12
-    assert [s for s, _ in matcher.occurrences(text)] == [i for i in range(len(text) - 12) if tuple(text[i : i + 13]) in matcher.patterns]
-    assert matcher.shift.get((b"q", b"q"), matcher.default) == 12
+    ids = [whole.words.get(w, 0) for w in text]
+    assert [s for s, _ in matcher.occurrences(ids)] == [i for i in range(len(text) - 12) if tuple(text[i : i + 13]) in patterns]
+    # a block of no window lets it move by all but a word; the item's first blocks by less and less
+    assert matcher.default == 12 and sorted(matcher.shifts)[-1] <= 11 and 0 in matcher.shifts
+
+
+def test_matcher_against_brute_force():
+    """Short and repeated items, few different words, after a round trip as the broadcast makes it."""
+    rng = random.Random(1)
+    for _ in range(150):
+        alphabet, window = rng.choice([2, 3, 6, 30]), rng.choice([1, 2, 3, 13])
+        draw = lambda n: [b"w%d" % rng.randrange(alphabet) for _ in range(n)]
+        items = [(str(rng.randrange(8)), draw(rng.randrange(30))) for _ in range(rng.randrange(6))]
+        doc = draw(rng.randrange(80))
+        if items and rng.random() < 0.5:
+            doc += rng.choice(items)[1] + draw(3)
+        hit, names = set(), set()
+        for name, w in items:
+            m = min(window, len(w))
+            for i in range(len(w) - m + 1 if m else 0):
+                for k in range(len(doc) - m + 1):
+                    if doc[k : k + m] == w[i : i + m]:
+                        hit |= set(range(k, k + m))
+                        names.add(name)
+        stretches, found = pickle.loads(pickle.dumps(d.Matcher(items, window))).match(doc)
+        assert {k for a, b in stretches for k in range(a, b)} == hit and found == names
 
 
 def test_odd_rows(spark, odd):
