@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, pii, secrets, sharding, simhash, tokens, toxicity, weighted_sampling
+from . import decontaminate, elkan, exact_dedup, licenses, mixing, pii, secrets, sharding, simhash, spelling, tokens, toxicity, weighted_sampling
 
 QUERIES = [
     weighted_sampling.op1_weighted_fingerprints,
@@ -19,12 +19,18 @@ QUERIES = [
     licenses.op8_license_scan,
     mixing.op9_curriculum_mix,
     toxicity.op10_toxicity,
+    exact_dedup.op11_exact_dedup,
+    spelling.op12_spelling_variants,
+    elkan.op13_centroid_clusters,
 ]
 ORACLES = {
     "op2_decontamination": decontaminate.OP2_SQL,
     "op3_secret_scan": secrets.OP3_SQL,
     "op8_license_scan": licenses.OP8_SQL,
     "op9_curriculum_mix": mixing.OP9_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_centroid_clusters": elkan.OP13_SQL,
 }
 
 
