@@ -42,9 +42,7 @@ class Session:
 
     def refresh(self) -> DataFrame:
         """Reads the working tree again, keeping what didn't change."""
-        ignore = self.root / ".gitignore"
-        listing = list_files(self.spark, str(self.root), self.config(), ignore.read_text() if ignore.exists() else "")
-        new = refresh(listing, self.snapshot(), self.config()).drop("changed")
+        new = refresh(list_files(self.spark, str(self.root), self.config()), self.snapshot(), self.config(), str(self.root)).drop("changed")
         save_snapshot(new, f"{self.at()}/snapshot")
         return self.snapshot()
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.cluster import fresh_dir
 from lodestone.functions.columns import FILE_LANGUAGES, SYMBOL_LANGUAGES, extension, file_of, language_of, lines_of, page_name, top_segment, without_quotes
 from lodestone.operators import build, parity, parse, repos, resolve, risk, search, text, traverse
 from lodestone.operators import communities as com
@@ -14,7 +15,9 @@ from lodestone.operators import flows as flo
 from lodestone.operators import query as qry
 from lodestone.plans import derived
 from lodestone.plans.derived import docs, docs_oracle, edges, graph_oracle, nodes
-from lodestone.sources.snapshot import compare_listing
+from lodestone.sources.config import SnapshotConfig
+from lodestone.sources.listing import listing
+from lodestone.sources.snapshot import compare_listing, list_files, load_snapshot, refresh, save_snapshot
 from lodestone.streaming.watch import debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +522,44 @@ _register(
 FROM docs WHERE NOT (doc_id % 7 = 0 AND doc_id % 11 = 0)"""
     ),
 )
+#: Documents that the rules in the tree of documents leave in it.
+_LISTED = """, listed AS (
+  SELECT * FROM docs WHERE NOT (source = 'src1' AND lang = 'de') AND CASE WHEN path LIKE '%21.md' THEN true WHEN path LIKE '%1.md' THEN false
+    ELSE NOT (source = 'src0' AND path LIKE '%5.txt') AND NOT (source = 'src1' AND regexp_matches(path, '/doc_.7[.]py$')) END
+)"""
+_register(
+    "repository_listing",
+    lambda s, d: listing(s, derived.tree(s, d), ["**/*"], ["**/.git/**", "src2/**/*9.txt", "src3/fr/**"]).filter("path LIKE 'src%' AND extension IN ('.md', '.txt') AND size > 100").select("path", "extension", "size"),
+    docs_oracle(_LISTED + "SELECT path, regexp_extract(path, '[.][a-z]+$') AS extension, strlen(content) AS size FROM listed WHERE NOT path LIKE '%.py' AND strlen(content) > 100 AND NOT (source = 'src2' AND path LIKE '%9.txt') AND NOT (source = 'src3' AND lang = 'fr')"),
+)
+
+
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """A snapshot of the tree of documents refreshed after some files are new, touched or changed."""
+    root, config, at = derived.tree(s, d), SnapshotConfig(max_file_chars=300), fresh_dir(s, "snapshot")
+    save_snapshot(refresh(list_files(s, root, config), None, config, root).drop("changed"), at)
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("long")
+    old = load_snapshot(s, at).filter(number % 11 != 0).withColumns({"mtime_ms": F.col("mtime_ms") - F.when(number % 5 <= 1, 1).otherwise(0), "hash": F.when(number % 5 == 0, "other").otherwise(F.col("hash")), "summary": F.lit("kept")})
+    return refresh(list_files(s, root, config), old, config, root).select("path", "hash", F.md5("content").alias("content_md5"), F.md5("summary").alias("summary_md5"), "changed")
+
+
+_register(
+    "snapshot_refresh",
+    _refreshed,
+    docs_oracle(
+        _LISTED
+        + """, lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS nr FROM listed
+), normed AS (
+  SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS norm, starts_with(line, '```') AS fence, sum(starts_with(line, '```')::INT) OVER (PARTITION BY path ORDER BY nr) % 2 AS inside FROM lines
+), told AS (
+  SELECT path, string_agg(norm || chr(10), '' ORDER BY nr) AS whole FROM normed WHERE CASE WHEN path LIKE '%.txt' THEN norm <> '' AND nr <= 200
+    WHEN path LIKE '%.md' THEN NOT fence AND inside = 0 AND regexp_matches(norm, '^(#|- |\\* |1\\.)|Rule|Violation|MUST|must') ELSE regexp_matches(norm, '^(def |class |import |from |#)') END GROUP BY path
+), cut AS (
+  SELECT path, (SELECT max_by(p, len(p)) FROM (SELECT substr(whole, 1, k) AS p FROM range(0, 301) AS r(k)) WHERE strlen(p) <= 300) AS summary FROM told
+)
+SELECT path, sha256(content) AS hash, md5(content) AS content_md5, md5(CASE WHEN doc_id % 11 = 0 OR doc_id % 5 = 0 THEN coalesce(summary, '') ELSE 'kept' END) AS summary_md5, doc_id % 11 = 0 OR doc_id % 5 = 0 AS changed FROM listed LEFT JOIN cut USING (path)"""
+    ),
+)
 _register(
     "debounce_sessions",
     lambda s, d: debounced(s.read.parquet(f"{d}/events.parquet"), "ts", "700 milliseconds", "event_type"),

@@ -6,8 +6,14 @@ that hold two parts for calls and imports. The SQL is plain enough for Spark and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.functions.cluster import fresh_dir, ship
+from lodestone.sources.listing import open_store
+
 GRAPH = """
 pairs AS (
   SELECT DISTINCT a.l_orderkey AS ok, a.l_partkey AS ap, b.l_partkey AS bp
@@ -77,6 +83,41 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {DOCS} SELECT * FROM docs", documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Files of rules in the tree of documents, and what makes it the tree of a git repository.
+TREE_RULES = {
+    ".git/config": "",
+    ".ignore": "*1.md\n!doc_*21.md\n",
+    "src0/.gitignore": "# all but a few\n/en/\n!en\ndoc_*5.txt\n",
+    "src1/.gitignore": "de/\n/*/doc_?7.py\n",
+}
+
+_TREES: dict[tuple[str, str], str] = {}
+
+
+def tree(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a folder in the shared one that holds every document as a file, written by tasks
+    once for a session; and a few files of rules."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _TREES:
+        root = fresh_dir(spark, "tree")
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = open_store(root)
+            for batch in batches:
+                for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                    store.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                    with store.open_output_stream(f"{base}/{path}") as to:
+                        to.write((content or "").encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+        ship(spark)
+        files = docs(spark, sf_dir).select("path", "content")
+        rules = spark.createDataFrame(list(TREE_RULES.items()), "path string, content string")
+        files.unionByName(rules).mapInArrow(write, "n long").agg({"n": "sum"}).collect()
+        _TREES[at] = root
+    return _TREES[at]
+
+
 def graph_oracle(select: str) -> str:
     """SQL over nodes, edges and changes for an engine that has the tables by name."""
     return f"WITH RECURSIVE {GRAPH.format(lineitem='lineitem', part='part', materialized='MATERIALIZED')}{select}"

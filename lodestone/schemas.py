@@ -13,7 +13,7 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split(":") for x in text.split())])
 
 
-FILES = _schema("path:string hash:string mtime_ms:long size:long mode:string content:string summary:string")
+FILES = _schema("path:string hash:string mtime_ms:long size:long mode:string content:string summary:string config_hash:string")
 NODES = _schema("kind:string name:string qualified_name:string file_path:string line_start:long line_end:long language:string")
 EDGES = _schema("kind:string source:string target:string file_path:string")
 FLOWS = _schema("id:long name:string entry:string file_count:long node_count:long criticality:double")

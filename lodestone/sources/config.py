@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -31,6 +32,10 @@ class SnapshotConfig:
     max_files: int = 0
     max_file_chars: int = 4000
 
+    def row_hash(self) -> str:
+        """Of what a snapshot's rows are made with; which files there are is told by the listing."""
+        return hashlib.sha256(json.dumps([self.mode, self.max_file_chars]).encode()).hexdigest()
+
     @classmethod
     def for_preset(cls, preset: str) -> SnapshotConfig:
         return cls(preset=preset, exclude=list(PRESET_EXCLUDE.get(preset, PRESET_EXCLUDE["generic"])))

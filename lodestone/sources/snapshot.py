@@ -8,92 +8,50 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestone.functions.columns import extension, matches_any_glob, posix
 from lodestone.operators.text import summarize
 from lodestone.schemas import FILES, conform
 
 from .config import SnapshotConfig
+from .listing import listing, with_contents
 
-LISTED = T.StructType([T.StructField("path", T.StringType()), T.StructField("mtime_ms", T.LongType()), T.StructField("size", T.LongType()), T.StructField("raw", T.BinaryType())])
-
-
-def ignore_rules(text: str) -> list[tuple[str, bool]]:
-    """(regex, whether it takes files back in) for each line of a .gitignore file."""
-    rules = []
-    for line in text.splitlines():
-        line = line.rstrip()
-        if not line or line.startswith("#"):
-            continue
-        back, line = line.startswith("!"), line.removeprefix("!")
-        rooted = "/" in line.rstrip("/")
-        body = line.strip("/")
-        out, i = "", 0
-        while i < len(body):
-            if body.startswith("**/", i):
-                out, i = out + "(?:.*/)?", i + 3
-            elif body.startswith("**", i):
-                out, i = out + ".*", i + 2
-            else:
-                out += {"*": "[^/]*", "?": "[^/]"}.get(body[i]) or "\\Q" + body[i] + "\\E"
-                i += 1
-        rules.append((f"^{'' if rooted else '(?:.*/)?'}{out}{'/.*' if line.endswith('/') else '(?:/.*)?'}$", back))
-    return rules
-
-
-def is_ignored(path: str | Column, rules: list[tuple[str, bool]]) -> Column:
-    """The last rule that matches decides."""
-    column = F.col(path) if isinstance(path, str) else path
-    out = F.lit(False)
-    for regex, back in rules:
-        out = F.when(column.rlike(regex), F.lit(not back)).otherwise(out)
-    return out
-
-
-def _empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime in ms, length, content) of files without content, which the reader of
-    binary files leaves out."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    found, each = [], folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
-    while each.hasNext():
-        status = each.next()
-        if status.getLen() == 0:
-            found.append((status.getPath().toString(), status.getModificationTime(), 0, bytearray()))
-    return spark.createDataFrame(found, "path string, mtime_ms long, size long, raw binary")
-
-
-def list_files(spark: SparkSession, root: str, config: SnapshotConfig, gitignore: str = "") -> DataFrame:
-    """(path, mtime_ms, size, raw): the repository's text files that are included and not excluded
-    or ignored, by path; the first max_files if that is above 0."""
-    root = root.rstrip("/")
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    read = read.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), F.col("content").alias("raw")).unionByName(_empty_files(spark, root))
-    relative = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-    path = F.substring(relative, F.length(F.lit(root.split(":", 1)[-1])) + 2, 2**31 - 1)
-    found = read.select(posix(path).alias("path"), "mtime_ms", "size", "raw")
-    found = found.filter(extension("path").isin(*config.text_extensions) & matches_any_glob("path", config.include) & ~matches_any_glob("path", config.exclude) & ~is_ignored("path", ignore_rules(gitignore)))
+
+def list_files(spark: SparkSession, root: str, config: SnapshotConfig, rules: str = "") -> DataFrame:
+    """(path, mtime_ms, size): the repository's text files that are included and not excluded or
+    ignored; the first max_files by path if that is above 0. No file is opened.
+
+    `rules` are lines as of a .gitignore at the root; files of rules in the tree count as well, those
+    named .gitignore if the root is that of a git repository.
+    """
+    found = listing(spark, root, config.include, config.exclude, rules).filter(F.col("extension").isin(*config.text_extensions)).select("path", "mtime_ms", "size")
     return found.orderBy("path").limit(config.max_files) if config.max_files > 0 else found
 
 
-def refresh(listing: DataFrame, previous: DataFrame | None, config: SnapshotConfig) -> DataFrame:
-    """The new snapshot with a column changed.
+def _state(same: Column, equal: Column) -> Column:
+    """What became of a file: same (by what the listing tells), touched (its content is what it was) or
+    changed, which files that are new are too. Nulls don't hold."""
+    return F.when(same, "same").when(equal, "touched").otherwise("changed")
+
+
+def refresh(files: DataFrame, previous: DataFrame | None, config: SnapshotConfig, root: str) -> DataFrame:
+    """The new snapshot of listed files with a column changed.
 
-    A file with the size, time and mode of before is kept as it was. One with other times but the
-    same content keeps its summary. All others are read and summarised anew and count as changed.
-    Files that are gone are absent.
+    A file with the size, time, mode and configuration of before is kept as it was, unread. One with
+    other times but the same content keeps its summary. All others are read and summarised anew and
+    count as changed. Files that are gone, or can't be read, are absent.
     """
-    old = conform(previous, FILES) if previous is not None else listing.sparkSession.createDataFrame([], FILES)
+    old = conform(previous, FILES) if previous is not None else files.sparkSession.createDataFrame([], FILES)
     old = old.select(*(F.col(c).alias(f"_{c}") for c in old.columns))
-    both = listing.join(old, F.col("path") == F.col("_path"), "left")
+    both = files.select("path", "mtime_ms", "size").join(old, F.col("path") == F.col("_path"), "left").drop("_path")
+    # what a row is made of besides the file; old snapshots don't tell and are made anew
+    made_alike = F.coalesce((F.col("_mode") == config.mode) & (F.col("_config_hash") == config.row_hash()), F.lit(False))
+    same = F.coalesce(made_alike & (F.col("mtime_ms") == F.col("_mtime_ms")) & (F.col("size") == F.col("_size")), F.lit(False))
+    both = both.withColumn("_alike", made_alike).withColumn("_same", same)
+    read = with_contents(both, root, ~F.col("_same")).filter("_same OR raw IS NOT NULL")
     digest = F.sha2("raw", 256)
     content = F.make_valid_utf8(F.col("raw").cast("string"))
-    same = (F.col("mtime_ms") == F.col("_mtime_ms")) & (F.col("size") == F.col("_size")) & (F.col("_mode") == config.mode)
-    equal = digest == F.col("_hash")
     kept = content if config.mode == "full" else F.lit(None).cast("string")
-    state = F.when(same, "same").when(equal, "touched").otherwise("changed")
-    staged = both.withColumn("_state", F.coalesce(state, F.lit("changed")))
+    staged = read.withColumn("_state", _state(F.col("_same"), F.col("_alike") & (digest == F.col("_hash"))))
     return staged.select(
         "path",
         F.when(F.col("_state") == "same", F.col("_hash")).otherwise(digest).alias("hash"),
@@ -102,6 +60,7 @@ def refresh(listing: DataFrame, previous: DataFrame | None, config: SnapshotConf
         F.lit(config.mode).alias("mode"),
         F.when(F.col("_state") == "same", F.col("_content")).otherwise(kept).alias("content"),
         F.when(F.col("_state") == "changed", summarize(content, "path", config.max_file_chars)).otherwise(F.col("_summary")).alias("summary"),
+        F.lit(config.row_hash()).alias("config_hash"),
         (F.col("_state") == "changed").alias("changed"),
     )
 
@@ -112,7 +71,7 @@ def compare_listing(new: DataFrame, old: DataFrame) -> DataFrame:
     before = old.select(*(F.col(c).alias(f"_{c}") for c in old.columns))
     both = new.join(before, F.col("path") == F.col("_path"), "full_outer")
     same = (F.col("mtime_ms") == F.col("_mtime_ms")) & (F.col("size") == F.col("_size")) & (F.col("mode") == F.col("_mode"))
-    state = F.when(F.col("path").isNull(), "removed").when(same, "same").when(F.col("hash") == F.col("_hash"), "touched").otherwise("changed")
+    state = F.when(F.col("path").isNull(), "removed").otherwise(_state(same, F.col("hash") == F.col("_hash")))
     return both.select(F.coalesce("path", "_path").alias("path"), state.alias("state"))
 
 

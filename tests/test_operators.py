@@ -183,14 +183,14 @@ def test_snapshot(spark, tmp_path):
         (root / name).write_text(body)
     config = SnapshotConfig()
     listed = list_files(spark, str(root), config, "skip/\n*.bin\n")
-    first = refresh(listed, None, config)
+    first = refresh(listed, None, config, str(root))
     assert {(r.path, r.changed) for r in first.collect()} == {("a.ts", True), ("b.ts", True), ("sub/e.md", True), ("sub/none.py", True)}
     at = str(tmp_path / "store")
     assert load_snapshot(spark, at) is None
     save_snapshot(first.drop("changed"), at)
     (root / "b.ts").write_text("function b2() {}\n")
     os.utime(root / "a.ts", (1, 1))
-    second = refresh(list_files(spark, str(root), config, "skip/"), load_snapshot(spark, at), config)
+    second = refresh(list_files(spark, str(root), config, "skip/"), load_snapshot(spark, at), config, str(root))
     got = {r.path: r for r in second.collect()}
     assert {p: r.changed for p, r in got.items()} == {"a.ts": False, "b.ts": True, "sub/e.md": False, "sub/none.py": False}
     assert got["b.ts"].content == "function b2() {}\n" and got["a.ts"].summary == "import './b'\n" and got["a.ts"].mtime_ms == 1000

@@ -82,7 +82,7 @@ def test_incremental_saves(spark, tmp_path):
     (root / "a.py").write_text("from b import g\n\ndef f():\n    g()\n")
     (root / "b.py").write_text("def g():\n    pass\n")
     (root / "c.py").write_text("def gone():\n    pass\n")
-    take = lambda old: snapshot.refresh(snapshot.list_files(spark, str(root), config), old, config).drop("changed")
+    take = lambda old: snapshot.refresh(snapshot.list_files(spark, str(root), config), old, config, str(root)).drop("changed")
     own = lambda g: (sorted(map(str, g.nodes.select("kind", "qualified_name", "line_start", "line_end").collect())), sorted(map(str, g.edges.select("kind", "source", "target").collect())))
     CodeGraph.build(take(None)).save(at)
     before = own(CodeGraph.load(spark, at))
