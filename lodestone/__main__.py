@@ -58,8 +58,7 @@ class Session:
 
     def build(self) -> CodeGraph:
         """Takes a new snapshot and parses what changed since the stored graph, if there is one."""
-        old, files = self.stored_graph(), self.refresh()
-        (CodeGraph.build(files) if old is None else old.updated(files)).save(f"{self.at()}/graph")
+        CodeGraph.refresh(self.refresh(), f"{self.at()}/graph")
         graph = self.stored_graph()
         graph.postprocess(f"{self.at()}/derived")
         return graph
@@ -160,8 +159,8 @@ COMMANDS = {
     "store-path": ("where snapshot and graph are", lambda s: s.at()),
     "prompt": ("the snapshot as one text", lambda s: text.format_prompt(s.files(), str(s.root), datetime.now(UTC).isoformat(), s.options.max_bytes).first()["prompt"]),
     "prompts": ("fixed prompts", lambda s: documents.prompt(s.options.name) if s.options.name else "\n".join(documents.PROMPTS)),
-    "graph-build": ("build the graph", lambda s: s.build().status()),
-    "graph-status": ("count nodes and edges", lambda s: s.graph().status()),
+    "graph-build": ("build the graph", lambda s: s.build() and CodeGraph.stored_status(s.spark, f"{s.at()}/graph")),
+    "graph-status": ("count nodes and edges", lambda s: CodeGraph.stored_status(s.spark, f"{s.at()}/graph")),
     "query-graph": (f"edges by pattern: {', '.join([*patterns.PATTERNS, 'tests_for'])}", lambda s: s.graph().query(s.options.pattern, s.options.name or "", s.options.limit)),
     "impact-radius": ("files near the changed ones", lambda s: s.graph().impact_radius(_paths(s), s.options.depth)),
     "reverse-imports": ("files that import the changed ones", lambda s: s.graph().reverse_import_impact(_paths(s), s.options.depth)),

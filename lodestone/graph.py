@@ -11,7 +11,8 @@ from lodestone.operators import build, communities, flows, query, risk, search,
 from lodestone.operators.parse import snapshot_imports
 from lodestone.operators.resolve import SNAPSHOT_ENDINGS, resolve_imports
 from lodestone.sources import embedding
-from lodestone.sources.snapshot import current_generation, load_snapshot, load_tables, save_generation
+from lodestone.sources.buckets import BucketStore
+from lodestone.sources.snapshot import load_tables, save_generation
 
 
 @dataclass
@@ -29,30 +30,38 @@ class CodeGraph:
         return cls(nodes, edges, files, facts)
 
     def updated(self, files: DataFrame) -> CodeGraph:
-        """With a newer snapshot, of which only what changed is parsed."""
-        nodes, edges, facts = build.update(files, self.facts, build.file_index(self.files))
-        return CodeGraph(nodes, edges, files, facts)
+        """With a newer snapshot, of which only what changed is parsed, and what that touches resolved."""
+        new = build.update(files, build.stored_tables(self.files, self.nodes, self.edges, self.facts))
+        return CodeGraph(new["nodes"], new["edges"], new["files"], new["facts"])
 
     def save(self, at: str) -> None:
         """Writes all tables as a new generation of the store, which readers see once all are there;
         edges by kind, so that a query for one kind reads no other. What the graph is made of may come
         from the same store."""
-
-        def write(to: str) -> None:
-            self.files.write.parquet(f"{to}/files")
-            self.facts.write.parquet(f"{to}/facts")
-            self.nodes.write.partitionBy("kind").parquet(f"{to}/nodes")
-            self.edges.write.partitionBy("kind").parquet(f"{to}/edges")
-
-        save_generation(self.files.sparkSession, at, write)
+        BucketStore(self.files.sparkSession, at, build.TABLES).replace(build.stored_tables(self.files, self.nodes, self.edges, self.facts))
 
     @classmethod
     def load(cls, spark: SparkSession, at: str) -> CodeGraph | None:
-        files = load_snapshot(spark, at)
-        if files is None:
-            return None
-        read = lambda t: spark.read.parquet(f"{at}/generation-{current_generation(spark, at)}/{t}")
-        return cls(read("nodes"), read("edges"), files, read("facts"))
+        store = BucketStore(spark, at, build.TABLES)
+        return cls(*map(store.read, ("nodes", "edges", "files", "facts"))) if store.exists else None
+
+    @classmethod
+    def refresh(cls, files: DataFrame, at: str) -> dict[str, int]:
+        """Brings the stored graph up to a newer snapshot, rewriting only buckets that change; builds it
+        if there is none. How many buckets of each table were written, none of all for a whole build."""
+        store = BucketStore(files.sparkSession, at, build.TABLES)
+        if store.exists:
+            return store.apply(build.changes_of(files, store))
+        cls.build(files).save(at)
+        return {}
+
+    @staticmethod
+    def stored_status(spark: SparkSession, at: str) -> DataFrame:
+        """One row on the stored graph, or on there being none."""
+        store = BucketStore(spark, at, build.TABLES)
+        if not store.exists:
+            return query.graph_status(None, None, at, spark=spark)
+        return query.graph_status(store.read("nodes"), store.read("edges"), at, store.updated_at)
 
     def status(self) -> DataFrame:
         return query.graph_status(self.nodes, self.edges)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import in_test_path, like, lines_of
@@ -62,9 +62,15 @@ def large_symbols(nodes: DataFrame, min_lines: int = 50, kind: str | None = None
     return found.select("kind", "qualified_name", "file_path", "line_start", "line_end", "line_count").orderBy(F.desc("line_count"), "qualified_name").limit(clamp(limit, 1, 500))
 
 
-def graph_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: exists, node_count, edge_count."""
-    return nodes.agg(F.count("*").alias("node_count")).join(edges.agg(F.count("*").alias("edge_count"))).select((F.col("node_count") >= 0).alias("exists"), "node_count", "edge_count")
+def graph_status(nodes: DataFrame | None, edges: DataFrame | None, path: str | None = None, updated_at: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """One row: exists, node_count, edge_count, and with a path graph_path and updated_at. Without
+    tables (then spark is needed) there is no graph."""
+    if nodes is None or edges is None:
+        counts = spark.createDataFrame([(False, 0, 0)], "exists boolean, node_count long, edge_count long")
+    else:
+        counts = nodes.agg(F.lit(True).alias("exists"), F.count("*").alias("node_count")).join(edges.agg(F.count("*").alias("edge_count")))
+    told = [] if path is None else [F.lit(path).alias("graph_path"), F.lit(updated_at).cast("string").alias("updated_at")]
+    return counts.select("exists", "node_count", "edge_count", *told)
 
 
 def review_context(edges: DataFrame, files: DataFrame, changed: DataFrame, max_depth: int = 2, include_source: bool = True, max_lines: int = 80, most: int = 30) -> DataFrame:

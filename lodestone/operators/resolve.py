@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import FILE_LANGUAGES, language_of, posix
@@ -56,8 +56,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, relative: tuple[str, .
 
 def first_symbols(symbols: DataFrame) -> DataFrame:
     """(name, qualified_name): for each name the first symbol by path and place in its file."""
-    first = F.row_number().over(Window.partitionBy("name").orderBy("file_path", "ord", "qualified_name"))
-    return symbols.withColumn("_r", first).filter("_r = 1").select("name", "qualified_name")
+    first = F.min(F.struct("file_path", "ord", "qualified_name")).alias("_first")
+    return symbols.groupBy("name").agg(first).select("name", "_first.qualified_name")
 
 
 def resolve_names(references: DataFrame, symbols: DataFrame) -> DataFrame:

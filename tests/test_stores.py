@@ -94,6 +94,7 @@ def test_incremental_saves(spark, tmp_path):
         full = CodeGraph.build(take(None))
         assert own(CodeGraph.load(spark, at)) == own(full) != before
     held = own(CodeGraph.load(spark, at))
+    assert spark.read.parquet(f"{at}/edges").count() and CodeGraph.load(spark, at).status().first()["exists"]
     broken = CodeGraph.load(spark, at)
     broken.edges = broken.edges.selectExpr("raise_error('stop') AS kind", "source", "target", "file_path")
     with pytest.raises(Exception):
