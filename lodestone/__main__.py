@@ -188,7 +188,7 @@ COMMANDS = {
     "registry-remove": ("unregister a name", _unregister),
     "cross-repo-search": ("search registered repositories", lambda s: search.cross_repo_search(s.all_graphs()[0], s.options.name or "", s.options.limit)),
     "cross-repo-impact": ("impact in registered repositories", _impact_of_repositories),
-    "watch": ("refresh whenever files change", lambda s: watch(s.spark, str(s.root), lambda df, i: s.refresh() and None, f"{s.at()}/watch").awaitTermination()),
+    "watch": ("refresh whenever files change", lambda s: watch(s.spark, str(s.root), lambda df, i: s.refresh() and None, f"{s.at()}/watch", config=s.config()).awaitTermination()),
 }
 
 

@@ -20,7 +20,7 @@ from lodestone.schemas import FILES, conform
 from lodestone.sources.config import SnapshotConfig
 from lodestone.sources.listing import listing
 from lodestone.sources.snapshot import compare_listing, list_files, load_snapshot, refresh, save_snapshot
-from lodestone.streaming.watch import debounced
+from lodestone.streaming.watch import bursts, debounced, open_bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -578,14 +578,27 @@ _register(
 SELECT path, sha256(content) AS hash, md5(content) AS content_md5, md5(CASE WHEN doc_id % 11 = 0 OR doc_id % 5 = 0 THEN coalesce(summary, '') ELSE 'kept' END) AS summary_md5, doc_id % 11 = 0 OR doc_id % 5 = 0 AS changed FROM listed LEFT JOIN cut USING (path)"""
     ),
 )
-_register(
-    "debounce_sessions",
-    lambda s, d: debounced(s.read.parquet(f"{d}/events.parquet"), "ts", "700 milliseconds", "event_type"),
-    """WITH marked AS (
+_SESSIONS = """WITH marked AS (
   SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 700 MILLISECONDS THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)
 ), numbered AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked)
-SELECT event_type, min(ts) AS first_at, max(ts) + INTERVAL 700 MILLISECONDS AS fires_at, count(*) AS changes FROM numbered GROUP BY event_type, k""",
-)
+SELECT event_type, min(ts) AS first_at, max(ts) + INTERVAL 700 MILLISECONDS AS fires_at, count(*) AS changes FROM numbered GROUP BY event_type, k"""
+_register("debounce_sessions", lambda s, d: debounced(s.read.parquet(f"{d}/events.parquet"), "ts", "700 milliseconds", "event_type"), _SESSIONS)
+
+
+def _streamed_bursts(s: SparkSession, d: str) -> DataFrame:
+    """Bursts of the events as a stream: those that fired, and those that were open when it ended."""
+    at = fresh_dir(s, "watch")
+    # streams read folders
+    s.read.parquet(f"{d}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("at")).write.parquet(f"{at}/events")
+    # all files are one batch, so that none is late
+    events = s.readStream.schema("event_type string, at timestamp").option("maxFilesPerTrigger", 1_000_000_000).parquet(f"{at}/events")
+    fired = bursts(events, "event_type")
+    fired.writeStream.option("path", f"{at}/fired").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    both = s.read.schema(fired.schema).parquet(f"{at}/fired").unionByName(open_bursts(s, f"{at}/state"))
+    return both.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_at", "fires_at")})
+
+
+_register("watch_bursts", _streamed_bursts, _SESSIONS)
 _COMMANDS = ("refresh", "graph-build", "graph-status", "query-graph", "impact-radius", "detect-changes", "minimal-context", "list-flows", "get-flow", "affected-flows", "list-communities", "get-community", "semantic-search", "generate-wiki", "get-wiki-page", "registry-list", "cross-repo-search", "watch")
 _TOOLS = ("get_minimal_context", "build_or_update_graph", "list_graph_stats", "query_graph", "get_impact_radius", "detect_changes", "list_flows", "get_flow", "get_affected_flows", "list_communities", "get_community", "semantic_search_nodes", "generate_wiki_tool", "get_wiki_page_tool", "registry_list", "cross_repo_search")
 

@@ -133,7 +133,7 @@ _TESTS: dict[type, Callable] = {
 }
 
 
-class _Walk(DataSourceReader):
+class Walk(DataSourceReader):
     def __init__(self, options: dict[str, str], columns: list[str]):
         self.root, self.columns = options["path"].rstrip("/") or "/", columns
         listed = lambda name, default: json.loads(options.get(name, default))
@@ -141,6 +141,8 @@ class _Walk(DataSourceReader):
         self.rules, self.ignore_files, self.parts = options.get("rules", ""), options.get("ignorefiles", "git"), int(options.get("parts", "64"))
         #: (column, kind, value) of pushed filters
         self.tests: list[tuple[str, type, object]] = []
+        if "extensions" in options:
+            self.tests.append(("extension", In, tuple(json.loads(options["extensions"]))))
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -218,8 +220,8 @@ class _Walk(DataSourceReader):
 
 class RepositoryFiles(DataSource):
     """Options: include and exclude (JSON lists of globs), rules (text as of a .gitignore at the root),
-    ignorefiles (git: .ignore files, and .gitignore files if the root holds .git; all; none), and
-    parts, how many folders the driver deals out at least if there are as many."""
+    ignorefiles (git: .ignore files, and .gitignore files if the root holds .git; all; none),
+    extensions (a JSON list; like a filter), and parts, how many folders the driver deals out at least if there are as many."""
 
     @classmethod
     def name(cls) -> str:
@@ -229,7 +231,7 @@ class RepositoryFiles(DataSource):
         return LISTING
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Walk(dict(self.options), schema.names)
+        return Walk(dict(self.options), schema.names)
 
 
 def content_of(at: tuple[pafs.FileSystem, str], path: str) -> bytes | None:
@@ -241,13 +243,18 @@ def content_of(at: tuple[pafs.FileSystem, str], path: str) -> bytes | None:
         return None
 
 
+def options_of(include: list[str], exclude: list[str], rules: str = "", ignore_files: str = "git", extensions: list[str] | None = None) -> dict[str, str]:
+    own = {} if extensions is None else {"extensions": json.dumps(extensions)}
+    return {"include": json.dumps(include), "exclude": json.dumps(exclude), "rules": rules, "ignorefiles": ignore_files, **own}
+
+
 def listing(spark: SparkSession, root: str, include: list[str], exclude: list[str], rules: str = "", ignore_files: str = "git") -> DataFrame:
     """(path, extension, mtime_ms, size) of the files under a root; nothing is read yet."""
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RepositoryFiles)
-    options = {"include": json.dumps(include), "exclude": json.dumps(exclude), "rules": rules, "ignorefiles": ignore_files, "parts": str(4 * spark.sparkContext.defaultParallelism)}
-    return spark.read.format("repository").options(**options).load(root)
+    parts = str(4 * spark.sparkContext.defaultParallelism)
+    return spark.read.format("repository").options(**options_of(include, exclude, rules, ignore_files), parts=parts).load(root)
 
 
 def with_contents(files: DataFrame, root: str, when: Column | None = None) -> DataFrame:
