@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import ascii_lower, in_test_path, path_of_symbol, test_stem
+from lodestone.functions.scan import carried, in_ranges, within_range
 
 from .traverse import impact_radius
 
@@ -22,13 +23,19 @@ def security_hits(diff_lines: DataFrame, words: tuple[str, ...] = SECURITY_WORDS
 
     A file begins with its "+++ b/" line. By default lines of a deleted file count for the file
     before, and changed lines that begin with two more signs are skipped; `strict` mends the former.
+    Lines are dealt into ranges of ord, over which the last file's name is carried on.
     """
     begins = F.when(F.col("line").startswith("+++ b/"), F.trim(F.substring("line", 7, 2**31 - 1)))
     if strict:
         begins = F.coalesce(begins, F.when(F.col("line").startswith("+++ "), F.lit("")))
-    file = F.last(begins, ignorenulls=True).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
     changed = F.col("line").rlike("^[+-]") & ~F.col("line").startswith("+++") & ~F.col("line").startswith("---")
-    return line_hits(diff_lines.withColumn("file_path", file).filter(changed & F.col("file_path").isNotNull() & (F.col("file_path") != "")), words)
+    # lines of context say nothing
+    told = diff_lines.select("ord", "line", begins.alias("_begins")).filter(changed | F.col("_begins").isNotNull())
+    ranged = in_ranges(told, "ord")
+    last = F.max_by("_begins", F.when(F.col("_begins").isNotNull(), F.col("ord")))
+    before, _ = carried(ranged, last, None, lambda now, own: now if own is None else own, "string")
+    file = F.coalesce(F.last("_begins", ignorenulls=True).over(within_range("ord").rowsBetween(Window.unboundedPreceding, 0)), before)
+    return line_hits(ranged.withColumn("file_path", file).filter(changed & F.col("file_path").isNotNull() & (F.col("file_path") != "")), words)
 
 
 def line_hits(lines: DataFrame, words: tuple[str, ...] = SECURITY_WORDS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import collapsed, extension, lines_of, word_pattern
+from lodestone.functions.scan import RANGE, carried, in_ranges, within_range
 
 from .query import clamp
 
@@ -78,20 +79,23 @@ def prompt_blocks(files: DataFrame, header: str, max_bytes: int) -> DataFrame:
     """(path, block, start): blocks that begin within the budget, in path order, the last one cut
     and marked if it doesn't fit. start: bytes before it.
 
-    The running total is made in two steps, per range of paths and within each, so that no task
-    sorts all files.
+    Only sizes are sorted, in ranges of paths over which the total is carried on; a block's text is
+    taken for those that are shown. Paths are unique.
     """
     body = F.when(F.col("mode") == "full", F.coalesce("content", F.lit(""))).otherwise(F.coalesce("summary", F.lit("")))
     blocks = files.select("path", F.concat(F.lit("### "), "path", F.lit("\n"), body, F.lit("\n\n")).alias("block")).withColumn("_bytes", F.octet_length("block").cast("long"))
-    # a block takes a byte at least, so those that can begin within the budget are few
-    first = blocks.orderBy("path").limit(max(max_bytes, 1))
-    so_far = F.coalesce(F.sum("_bytes").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = first.withColumn("start", so_far + len(header.encode()))
+    first = len(header.encode())
+    ranged = in_ranges(blocks.select("path", "_bytes"), "path")
+    before, reaches = carried(ranged, F.sum("_bytes"), first, lambda now, own: now + own, "long")
+    # ranges that begin beyond the budget show nothing
+    near = ranged.filter(F.col(RANGE).isin([r for r, start in reaches.items() if start <= max(max_bytes, first)]))
+    inside = F.coalesce(F.sum("_bytes").over(within_range("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = near.select("path", (before + inside).alias("start")).filter((F.col("start") <= max_bytes) | (F.col("start") == first))
+    placed = blocks.join(shown, "path")
     whole = F.col("start") + F.col("_bytes") <= max_bytes
-    before = F.coalesce(F.lag(whole).over(Window.orderBy("path")), F.lit(True))
     left = F.greatest(F.lit(max_bytes) - F.col("start"), F.lit(0))
     cut = F.when(whole, F.col("block")).otherwise(F.concat(cut_bytes(F.col("block"), left), F.lit(TRUNCATED)))
-    return placed.withColumn("_shown", before).withColumn("block", cut).filter("_shown").select("path", "block", "start")
+    return placed.select("path", cut.alias("block"), "start")
 
 
 def format_prompt(files: DataFrame, repo: str, updated_at: str, max_bytes: int = 64_000, title: str = "snapshot") -> DataFrame:
