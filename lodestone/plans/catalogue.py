@@ -264,6 +264,28 @@ def _risks(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("change_risk", _risks, graph_oracle(_RISK + "SELECT * FROM risks"))
+_RISK_WORDS = ("hot", "gear", "small")
+
+
+def _risks_of_diff(s: SparkSession, d: str) -> DataFrame:
+    """With a diff in which each function of a changed file is an added line."""
+    changed = derived.changes(s, d)
+    heads = changed.select(F.struct("file_path", F.lit("").alias("name")).alias("ord"), F.concat(F.lit("+++ b/"), "file_path").alias("line"))
+    lines = nodes(s, d).filter("kind = 'function'").join(changed.select("file_path"), "file_path", "left_semi").select(F.struct("file_path", "name").alias("ord"), F.concat(F.lit("+def "), "name").alias("line"))
+    return risk.change_risk(nodes(s, d), edges(s, d), changed, risk.security_hits(heads.union(lines), _RISK_WORDS))
+
+
+_register(
+    "change_risk_of_diff",
+    _risks_of_diff,
+    graph_oracle(
+        _RISK.replace("0::BIGINT AS security_hits", "coalesce(words.c, 0) AS security_hits")
+        .replace("LEFT JOIN hit USING", "LEFT JOIN words USING (file_path) LEFT JOIN hit USING")
+        .replace(" + CASE WHEN test_hits", " + 1.3::DOUBLE * security_hits + CASE WHEN test_hits")
+        .replace("counted AS (", f"words AS (SELECT file_path, sum({' + '.join(f'contains(lower(name), {w!r})::INT' for w in _RISK_WORDS)})::BIGINT AS c FROM nodes WHERE kind = 'function' GROUP BY 1),\ncounted AS (", 1)
+        + "SELECT * FROM risks"
+    ),
+)
 _register(
     "minimal_context",
     lambda s, d: risk.minimal_context(_risks(s, d)).withColumns({c: F.array_join(c, "|") for c in ("top_files", "suggested_tools")}),
