@@ -19,6 +19,7 @@ from lodestone.graph import CodeGraph
 from lodestone.operators import communities, flows, risk, search, text
 from lodestone.operators import query as patterns
 from lodestone.operators import repos as registries
+from lodestone.operators.vectors import VectorIndex
 from lodestone.schemas import REPOS
 from lodestone.sources import documents, git, stores
 from lodestone.sources.config import MARKERS, SnapshotConfig, detect_preset
@@ -73,6 +74,10 @@ class Session:
         found = load_tables(self.spark, f"{self.at()}/embeddings", "vectors")
         return None if found is None else found[0]
 
+    def index_at(self) -> str:
+        """Where the index of the model's vectors is."""
+        return f"{self.at()}/index-{hashlib.sha256(self.options.model.encode()).hexdigest()[:16]}"
+
     def graph(self) -> CodeGraph:
         return self.stored_graph() or self.build()
 
@@ -127,6 +132,8 @@ def _embed(s: Session) -> DataFrame:
     new, old = s.graph().embeddings(s.options.model), s.embeddings()
     both = new if old is None else stores.merged(old, new, ["qualified_name", "model"])
     save_generation(s.spark, f"{s.at()}/embeddings", lambda to: both.write.parquet(f"{to}/vectors"))
+    own = s.embeddings().filter(F.col("model") == s.options.model)
+    s.graph().index_vectors(own, s.index_at(), CodeGraph.updated_at(s.spark, f"{s.at()}/graph"))
     return s.embeddings().groupBy("model").count()
 
 
@@ -134,7 +141,10 @@ def _search(s: Session) -> DataFrame:
     """By stored vectors of the model and names; by names alone if there are none."""
     found = s.embeddings()
     none = s.spark.createDataFrame([], "qualified_name string, model string, vector array<double>")
-    return s.graph().search(s.options.name or "", s.options.kind, s.options.limit, s.options.model, none if found is None else found)
+    index = VectorIndex.load(s.spark, s.index_at())
+    if index is not None and index.of != CodeGraph.updated_at(s.spark, f"{s.at()}/graph"):
+        index = None  # of an older graph
+    return s.graph().search(s.options.name or "", s.options.kind, s.options.limit, s.options.model, none if found is None else found, index)
 
 
 def _readme(s: Session) -> DataFrame:

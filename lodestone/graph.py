@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import build, communities, flows, query, risk, search, text, traverse
 from lodestone.operators.parse import snapshot_imports
 from lodestone.operators.resolve import SNAPSHOT_ENDINGS, resolve_imports
+from lodestone.operators.vectors import VectorIndex
 from lodestone.sources import embedding
 from lodestone.sources.buckets import BucketStore
 from lodestone.sources.snapshot import load_tables, save_generation
@@ -55,6 +56,11 @@ class CodeGraph:
         cls.build(files).save(at)
         return {}
 
+    @staticmethod
+    def updated_at(spark: SparkSession, at: str) -> str | None:
+        """When the stored graph was made, which is another time for each generation."""
+        return BucketStore(spark, at, build.TABLES).updated_at
+
     @staticmethod
     def stored_status(spark: SparkSession, at: str) -> DataFrame:
         """One row on the stored graph, or on there being none."""
@@ -106,9 +112,14 @@ class CodeGraph:
     def embeddings(self, model: str = search.DEFAULT_MODEL) -> DataFrame:
         return search.embed_nodes(self.nodes, model, embedding.client(model))
 
-    def search(self, text: str, kind: str | None = None, limit: int = 20, model: str = search.DEFAULT_MODEL, embeddings: DataFrame | None = None) -> DataFrame:
-        """`embeddings` are stored ones; without any, vectors are made for this search."""
-        return search.semantic_search(self.nodes, self.embeddings(model) if embeddings is None else embeddings, text, kind, limit, model)
+    def search(self, text: str, kind: str | None = None, limit: int = 20, model: str = search.DEFAULT_MODEL, embeddings: DataFrame | None = None, index: VectorIndex | None = None) -> DataFrame:
+        """`embeddings` are stored ones; without any, vectors are made for this search. `index` is one
+        of these nodes' vectors."""
+        return search.semantic_search(self.nodes, self.embeddings(model) if embeddings is None else embeddings, text, kind, limit, model, index)
+
+    def index_vectors(self, embeddings: DataFrame, at: str, of: str | None = None) -> VectorIndex:
+        """Stores an index of the nodes' vectors (qualified_name, vector)."""
+        return VectorIndex.build(self.nodes.select("qualified_name", "kind", "file_path").join(embeddings.select("qualified_name", "vector"), "qualified_name"), at, of)
 
     def postprocess(self, at: str) -> DataFrame:
         """Stores flows, their files and communities as a new generation; one row with the numbers."""

@@ -15,6 +15,7 @@ from lodestone.functions.cluster import ship
 from lodestone.functions.columns import like
 
 from .query import clamp
+from .vectors import VectorIndex
 
 DIMS, RRF_K, DEFAULT_MODEL = 64, 60.0, "hash-v1"
 
@@ -99,22 +100,24 @@ def query_vector(spark, text: str) -> list[float]:
     return list(spark.range(1).select(vectorize(F.lit(text)).alias("v")).first()["v"])
 
 
-def hybrid_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """Vector and lexical results fused by reciprocal ranks; ties by name."""
+def hybrid_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str | None = None, limit: int = 20, index: VectorIndex | None = None) -> DataFrame:
+    """Vector and lexical results fused by reciprocal ranks; ties by name. An index of the nodes'
+    vectors saves a scan of them."""
     limit = clamp(limit, 1, 200)
     pool = max(3 * limit, 60)
-    vector = vector_search(nodes, embeddings, query_vector(nodes.sparkSession, query), kind, pool)
+    asked = query_vector(nodes.sparkSession, query)
+    vector = vector_search(nodes, embeddings, asked, kind, pool) if index is None else index.search(asked, kind, pool)
     lexical = lexical_search(nodes, query, kind, pool)
     ranked = vector.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("score"), "qualified_name"))).unionByName(lexical.withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("score"), "kind", "qualified_name"))))
     fused = ranked.groupBy("qualified_name", "kind", "file_path").agg(F.round(F.sum(1 / (RRF_K + F.col("_rank"))), 9).alias("score"))
     return fused.orderBy(F.desc("score"), "qualified_name").limit(limit)
 
 
-def semantic_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str | None = None, limit: int = 20, model: str = DEFAULT_MODEL) -> DataFrame:
+def semantic_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str | None = None, limit: int = 20, model: str = DEFAULT_MODEL, index: VectorIndex | None = None) -> DataFrame:
     """Hybrid if there are vectors of the model, else lexical."""
     own = embeddings.filter(F.col("model") == (model.strip() or DEFAULT_MODEL))
     if own.take(1):
-        return hybrid_search(nodes, own, query, kind, limit)
+        return hybrid_search(nodes, own, query, kind, limit, index)
     return lexical_search(nodes, query, kind, clamp(limit, 1, 200))
 
 

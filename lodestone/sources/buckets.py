@@ -147,8 +147,9 @@ class BucketStore:
             self._fs.delete(self._kind(f"{self.at}/{path}").getParent(), True)
         raise error
 
-    def replace(self, tables: dict[str, DataFrame]) -> None:
-        """Writes all tables whole, as a new generation; they may be read from the one before."""
+    def replace(self, tables: dict[str, DataFrame], meta: dict | None = None) -> None:
+        """Writes all tables whole, as a new generation, with what meta says of it; they may be read
+        from the one before."""
         first = next(iter(tables.values()))
         buckets = min(max(-(-first.count() // ROWS), LEAST), MOST)
         told, made = {}, []
@@ -157,7 +158,7 @@ class BucketStore:
                 found = self._write(name, rows, buckets)
                 made += found.values()
                 told[name] = {"schema": rows.schema.jsonValue(), "buckets": found}
-            self._commit({"buckets": buckets, "tables": told})
+            self._commit({"buckets": buckets, "tables": told, "meta": meta or {}})
         except BaseException as e:  # noqa: BLE001  raised again
             self._dropping(made, e)
 
