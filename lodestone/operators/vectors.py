@@ -77,11 +77,14 @@ class VectorIndex:
         count = own.count()
         centroids: list[list[float]] = []
         if count:
-            units = own.select("qualified_name", array_to_vector(F.transform("vector", lambda x: x / F.col("norm"))).alias("features"))
-            fitted = units.orderBy(F.xxhash64("qualified_name"), "qualified_name").limit(sample)
-            k = max(min(int(math.sqrt(count)), MOST), FEWEST)  # fewer come out of fewer vectors
-            model = KMeans(k=k, seed=1, maxIter=8, featuresCol="features").fit(fitted)
-            centroids = [list(map(float, c)) for c in model.clusterCenters()]
+            units = own.orderBy(F.xxhash64("qualified_name"), "qualified_name").limit(sample).select(F.transform("vector", lambda x: x / F.col("norm")).alias("unit"))
+            different = durable(units.distinct())
+            if different.count() < 2 * FEWEST:
+                centroids = [list(r.unit) for r in different.collect()]
+            else:
+                k = min(max(int(math.sqrt(count)), FEWEST), MOST, different.count() // 2)
+                model = KMeans(k=k, seed=1, maxIter=8, featuresCol="features").fit(different.select(array_to_vector("unit").alias("features")))
+                centroids = [list(map(float, c)) for c in model.clusterCenters()]
         store = BucketStore(rows.sparkSession, at, TABLES)
         placed = _placed(rows, centroids, dims)
         store.replace({"vectors": placed, "lists": _summaries(placed, centroids)}, {"dims": dims, "of": of, "centroids": centroids})
