@@ -14,6 +14,7 @@ from lodestone.operators import build, parity, parse, repos, resolve, risk, sear
 from lodestone.operators import communities as com
 from lodestone.operators import flows as flo
 from lodestone.operators import query as qry
+from lodestone.operators.grams import GramIndex
 from lodestone.operators.vectors import VectorIndex
 from lodestone.plans import derived
 from lodestone.plans.derived import docs, docs_oracle, edges, graph_oracle, nodes
@@ -122,6 +123,19 @@ _register(
         "SELECT qualified_name AS source, '%::Small' AS target, 'tests_for' AS kind, file_path FROM nodes WHERE kind = 'function' AND (file_path LIKE '%test%' OR file_path LIKE '%.spec.%') AND lower(name) LIKE '%small%' ORDER BY 1, 2, 3, 4 LIMIT 50"
     ),
 )
+_GRAMS: dict[tuple[str, str], GramIndex] = {}
+
+
+def _grams(s: SparkSession, d: str) -> GramIndex:
+    """The stored postings of the derived graph, made once for a session."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _GRAMS:
+        _GRAMS[at] = GramIndex.build(nodes(s, d), edges(s, d), fresh_dir(s, "grams"))
+    return _GRAMS[at]
+
+
+_register("callers_of_by_postings", lambda s, d: _grams(s, d).query_graph("callers_of", "Small_R"), _pattern_oracle(f"kind = 'calls' AND {_SMALL.format('target')}"))
+_register("related_by_postings", lambda s, d: _grams(s, d).query_graph("related", "Small_R"), _pattern_oracle(f"{_SMALL.format('source')} OR {_SMALL.format('target')}"))
 _register(
     "large_symbols",
     lambda s, d: qry.large_symbols(nodes(s, d), 60, "function", "Small", 100),
@@ -390,6 +404,7 @@ _LEXICAL = """, lexical AS (
   FROM (SELECT * FROM nodes WHERE lower(name) LIKE '%hot_gear_4%' OR lower(qualified_name) LIKE '%hot_gear_4%' ORDER BY kind, qualified_name LIMIT {limit})
 )"""
 _register("lexical_search", lambda s, d: search.lexical_search(nodes(s, d), "Hot_Gear_4", None, 30), graph_oracle(_LEXICAL.format(limit=30) + "SELECT * FROM lexical"))
+_register("lexical_search_by_postings", lambda s, d: _grams(s, d).lexical_search("Hot_Gear_4", None, 30), graph_oracle(_LEXICAL.format(limit=30) + "SELECT * FROM lexical"))
 _register(
     "search_without_vectors",
     lambda s, d: search.semantic_search(nodes(s, d), search.embed_nodes(nodes(s, d)).withColumn("model", F.lit("other")), "Hot_Gear_4", None, 30),
