@@ -178,18 +178,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cr
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents without near copies: of each component the row with the least key stays, and of
-    each component without any key the row with the least hash of its text.
+    """The documents without near copies: of each component one row with the least key stays, or of a
+    component without any key one row of it.
 
-    Of several rows with one key, the one with the least hash stays, whatever their components. Rows
-    that are alike in all columns but maps are interchangeable; reruns agree.
+    Of a component's rows with that key the one with the least hash of its text stays. Unlike texts
+    with one key are different components, which keep a row each. Rows that are alike in all columns
+    but maps are interchangeable; reruns agree.
     """
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     # rows go by what they hold, so those without a key have names of their own
     name = F.concat(F.md5(common.text_or_empty(text)), F.hex(F.xxhash64(*hashed)), F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
     prints = _prints(docs, text, F.col(key).alias("key"), name.alias("_name"))
     found = prints.join(_groups(prints, "key"), "fp").filter(F.col("key").eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("key", F.when(F.col("key").isNull(), F.col("component"))).agg(F.min("_name").alias("_name")).select("_name")
+    chosen = found.groupBy("component").agg(F.min("_name").alias("_name")).select("_name")
     # both by the same name: the texts go through one shuffle
     return docs.withColumn("_name", name).join(chosen, "_name", "left_semi").dropDuplicates(["_name"]).drop("_name")
 

@@ -16,8 +16,8 @@ def brute(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def component_of(prints):
-    """prints: (key, fingerprint) pairs; the least key reachable."""
+def labels_of(prints):
+    """A number for each (key, fingerprint) pair, the same for those that links connect."""
     label = list(range(len(prints)))
 
     def find(i):
@@ -29,10 +29,15 @@ def component_of(prints):
         for j in range(i):
             if bin((prints[i][1] ^ prints[j][1]) & (2**64 - 1)).count("1") <= 3:
                 label[find(i)] = find(j)
-    least = {}
-    for i, (k, _) in enumerate(prints):
-        least.setdefault(find(i), []).append(k)
-    return [min((k for k in least[find(i)] if k is not None), default=None) for i in range(len(prints))]
+    return [find(i) for i in range(len(prints))]
+
+
+def component_of(prints):
+    """prints: (key, fingerprint) pairs; the least key reachable."""
+    labels, least = labels_of(prints), {}
+    for label, (k, _) in zip(labels, prints):
+        least.setdefault(label, []).append(k)
+    return [min((k for k in least[label] if k is not None), default=None) for label in labels]
 
 
 def test_fingerprints(odd):
@@ -50,10 +55,13 @@ def test_fingerprints(odd):
 def test_near_duplicates(odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
-    want = component_of([(r.doc_id, r.fingerprint) for r in rows])
+    prints = [(r.doc_id, r.fingerprint) for r in rows]
+    want = component_of(prints)
     assert [r.component_id for r in rows] == want
     kept = simhash.keep_one(odd).collect()
-    assert sorted(map(str, (r.doc_id for r in kept))) == sorted(map(str, set(want)))
+    # a row of each component, two of which have the key 7 for unlike texts
+    assert sorted(map(str, (r.doc_id for r in kept))) == sorted(str(k) for _, k in set(zip(labels_of(prints), want)))
+    assert len([r for r in kept if r.doc_id == 7]) == 2
     assert kept[0].asDict().keys() == odd.first().asDict().keys()
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
@@ -90,10 +98,10 @@ def test_components(spark):
 
 
 def test_rows_without_a_key_keep_their_own(spark):
-    """One row of each component without a key stays, none of one that has a key; reruns agree."""
+    """One row of each component stays, of unlike texts with one key or without any one each; reruns agree."""
     unlike = [prose(i, 40) for i in range(12)]
     rows = [(None, t, s) for t in unlike for s in ("a", "b", "b")] + [(5, unlike[0], "a"), (3, unlike[1], "b"), (9, unlike[1], "a"), (7, prose(50, 40), "a"), (7, prose(51, 40), "a")]
     kept = [sorted(map(tuple, simhash.keep_one(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(n)).collect()), key=str) for order, n in ((rows, 3), (rows[::-1], 4))]
     assert kept[0] == kept[1]
     assert sorted(t for k, t, _ in kept[0] if k is None) == sorted(unlike[2:])
-    assert sorted(k for k, *_ in kept[0] if k is not None) == [3, 5, 7]
+    assert sorted(k for k, *_ in kept[0] if k is not None) == [3, 5, 7, 7]
