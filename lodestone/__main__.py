@@ -20,7 +20,7 @@ from lodestone.operators import communities, flows, risk, search, text
 from lodestone.operators import query as patterns
 from lodestone.operators import repos as registries
 from lodestone.operators.vectors import VectorIndex
-from lodestone.schemas import REPOS
+from lodestone.schemas import EMBEDDINGS, REPOS, conform
 from lodestone.sources import documents, git, stores
 from lodestone.sources.config import MARKERS, SnapshotConfig, detect_preset
 from lodestone.sources.snapshot import list_files, load_snapshot, load_tables, refresh, save_generation, save_snapshot
@@ -72,7 +72,7 @@ class Session:
     def embeddings(self) -> DataFrame | None:
         """Stored vectors of all models."""
         found = load_tables(self.spark, f"{self.at()}/embeddings", "vectors")
-        return None if found is None else found[0]
+        return None if found is None else conform(found[0], EMBEDDINGS)
 
     def index_at(self) -> str:
         """Where the index of the model's vectors is."""
@@ -128,12 +128,16 @@ def _init(s: Session) -> str:
 
 
 def _embed(s: Session) -> DataFrame:
-    """Vectors of one model, stored in place of those of before; other models' stay."""
-    new, old = s.graph().embeddings(s.options.model), s.embeddings()
-    both = new if old is None else stores.merged(old, new, ["qualified_name", "model"])
-    save_generation(s.spark, f"{s.at()}/embeddings", lambda to: both.write.parquet(f"{to}/vectors"))
-    own = s.embeddings().filter(F.col("model") == s.options.model)
-    s.graph().index_vectors(own, s.index_at(), CodeGraph.updated_at(s.spark, f"{s.at()}/graph"))
+    """Vectors of one model, stored in place of those of before; of other models' those of symbols that
+    are gone go."""
+    graph, old = s.graph(), s.embeddings()
+    new = conform(graph.embeddings(s.options.model, old), EMBEDDINGS)
+    if old is not None:
+        others = old.filter(F.col("model") != s.options.model).join(graph.nodes.select("qualified_name"), "qualified_name", "left_semi")
+        new = new.unionByName(others.select(new.columns))
+    save_generation(s.spark, f"{s.at()}/embeddings", lambda to: new.write.parquet(f"{to}/vectors"))
+    own = search.own_space(s.embeddings()).filter(F.col("model") == s.options.model)
+    graph.index_vectors(own, s.index_at(), CodeGraph.updated_at(s.spark, f"{s.at()}/graph"))
     return s.embeddings().groupBy("model").count()
 
 

@@ -109,8 +109,9 @@ class CodeGraph:
     def change_risk(self, changes: DataFrame, diff_lines: DataFrame | None = None) -> DataFrame:
         return risk.change_risk(self.nodes, self.edges, changes, None if diff_lines is None else risk.security_hits(diff_lines))
 
-    def embeddings(self, model: str = search.DEFAULT_MODEL) -> DataFrame:
-        return search.embed_nodes(self.nodes, model, embedding.client(model))
+    def embeddings(self, model: str = search.DEFAULT_MODEL, known: DataFrame | None = None) -> DataFrame:
+        """Vectors of all symbols; of a model behind a service those in `known` aren't asked for again."""
+        return search.embed_nodes(self.nodes, model, embedding.client(model), known)
 
     def search(self, text: str, kind: str | None = None, limit: int = 20, model: str = search.DEFAULT_MODEL, embeddings: DataFrame | None = None, index: VectorIndex | None = None) -> DataFrame:
         """`embeddings` are stored ones; without any, vectors are made for this search. `index` is one

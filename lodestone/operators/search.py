@@ -5,19 +5,22 @@ Vectors are plain arrays and stay in the JVM. A text's vector counts its words b
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.cluster import ship
+from lodestone.functions.cluster import durable, ship
 from lodestone.functions.columns import like
 
 from .query import clamp
 from .vectors import VectorIndex
 
 DIMS, RRF_K, DEFAULT_MODEL = 64, 60.0, "hash-v1"
+#: How often a service is asked for a batch.
+ATTEMPTS = 3
 
 
 def bucket(word: Column, dims: int = DIMS) -> Column:
@@ -44,29 +47,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), dot / F.greatest(norm(a) * norm(b), F.lit(1e-9))).otherwise(0.0)
 
 
-def embed_nodes(nodes: DataFrame, model: str = DEFAULT_MODEL, remote: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
-    """(qualified_name, model, vector) of all symbols. A blank model is the default one.
+def embed_nodes(nodes: DataFrame, model: str = DEFAULT_MODEL, remote: Callable[[list[str]], list[list[float]]] | None = None, known: DataFrame | None = None, attempts: int = ATTEMPTS) -> DataFrame:
+    """(qualified_name, model, vector, text_hash, fallback) of all symbols. A blank model is the default one.
 
-    `remote` maps a list of texts to vectors, for models behind a service; it runs in batches on the
-    executors, and a batch for which it fails gets the default vectors.
+    `remote` maps a list of texts to vectors, for models behind a service. It is asked once for each
+    different text, in batches on the executors, and not for texts of which `known` (text_hash, model,
+    vector, fallback) has a vector of this model. A batch is asked for `attempts` times; if it fails
+    still, its symbols get the default vectors with fallback set, which searches leave out, as they
+    are of another space.
     """
+    model = model.strip() or DEFAULT_MODEL
     text = F.concat_ws(" ", "kind", "name", "qualified_name", "file_path")
-    rows = nodes.filter("kind <> 'file'").select("qualified_name", F.lit(model.strip() or DEFAULT_MODEL).alias("model"), text.alias("_text"))
-    local = rows.withColumn("vector", vectorize(F.col("_text")))
+    rows = nodes.filter("kind <> 'file'").select("qualified_name", F.lit(model).alias("model"), text.alias("_text")).withColumn("text_hash", F.sha2("_text", 256))
+    local = vectorize(F.col("_text"))
     if remote is None:
-        return local.drop("_text")
+        return rows.select("qualified_name", "model", local.alias("vector"), "text_hash", F.lit(False).alias("fallback"))
 
     ship(nodes.sparkSession)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                batch["vector"] = [list(map(float, v)) for v in remote(batch["_text"].tolist())]
-            except Exception:  # noqa: BLE001  any failure of a service falls back to the local vectors
-                pass
-            yield batch.drop(columns="_text")
-
-    return local.mapInPandas(call, "qualified_name string, model string, vector array<double>")
+            vectors, texts = [None] * len(batch), batch["_text"].tolist()
+            for attempt in range(attempts):
+                try:
+                    found = [list(map(float, v)) for v in remote(texts)]
+                    if len(found) == len(texts):
+                        vectors = found
+                        break
+                except Exception:  # noqa: BLE001  whatever a service raises, the rows tell of it
+                    time.sleep(min(0.2 * 2**attempt, 5) * (attempt + 1 < attempts))
+            yield pd.DataFrame({"text_hash": batch["text_hash"], "vector": vectors})
+
+    asked = rows.select("text_hash", "_text").dropDuplicates(["text_hash"])
+    held = None if known is None else known.filter((F.col("model") == model) & ~F.coalesce("fallback", F.lit(False)) & F.col("text_hash").isNotNull()).select("text_hash", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["text_hash"])
+    if held is not None:
+        asked = asked.join(held, "text_hash", "left_anti")
+    # kept, so that no plan over it asks again
+    told = durable(asked.mapInPandas(call, "text_hash string, vector array<double>"))
+    told = told if held is None else told.unionByName(held)
+    both = rows.join(told.withColumnRenamed("vector", "_told"), "text_hash", "left")
+    return both.select("qualified_name", "model", F.coalesce("_told", local).alias("vector"), "text_hash", F.col("_told").isNull().alias("fallback"))
+
+
+def own_space(embeddings: DataFrame) -> DataFrame:
+    """Without vectors that stand in for those of a service that failed."""
+    return embeddings.filter("fallback IS NOT TRUE") if "fallback" in embeddings.columns else embeddings
 
 
 def vector_search(nodes: DataFrame, embeddings: DataFrame, query: list[float] | DataFrame, kind: str | None = None, limit: int = 20) -> DataFrame:
@@ -115,7 +140,7 @@ def hybrid_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str
 
 def semantic_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str | None = None, limit: int = 20, model: str = DEFAULT_MODEL, index: VectorIndex | None = None) -> DataFrame:
     """Hybrid if there are vectors of the model, else lexical."""
-    own = embeddings.filter(F.col("model") == (model.strip() or DEFAULT_MODEL))
+    own = own_space(embeddings).filter(F.col("model") == (model.strip() or DEFAULT_MODEL))
     if own.take(1):
         return hybrid_search(nodes, own, query, kind, limit, index)
     return lexical_search(nodes, query, kind, clamp(limit, 1, 200))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "doubles": T.ArrayType(T.DoubleType())}
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "doubles": T.ArrayType(T.DoubleType()), "boolean": T.BooleanType()}
 
 
 def _schema(text: str) -> T.StructType:
@@ -19,7 +19,7 @@ EDGES = _schema("kind:string source:string target:string file_path:string")
 FLOWS = _schema("id:long name:string entry:string file_count:long node_count:long criticality:double")
 FLOW_MEMBERSHIPS = _schema("flow_id:long file_path:string")
 COMMUNITIES = _schema("id:long name:string file_count:long node_count:long coupling:long")
-EMBEDDINGS = _schema("qualified_name:string model:string vector:doubles")
+EMBEDDINGS = _schema("qualified_name:string model:string vector:doubles text_hash:string fallback:boolean")
 FILE_INDEX = _schema("file_path:string content_hash:string")
 REPOS = _schema("alias:string path:string node_count:long edge_count:long registered_at:string")
 CHANGES = _schema("file_path:string added:long deleted:long")
