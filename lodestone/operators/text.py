@@ -112,19 +112,32 @@ def _numbered(files: DataFrame, keep_last: bool) -> DataFrame:
     return files.filter("content IS NOT NULL").select(F.col("path").alias("file_path"), F.posexplode(lines).alias("_at", "_line")).withColumn("line", (F.col("_at") + 1).cast("long")).drop("_at")
 
 
-def refactor_preview(files: DataFrame, symbol: str, limit: int = 100) -> DataFrame:
-    """(file_path, line, text): the first lines, by path, that hold the symbol as a word."""
-    found = _numbered(files, False).filter(F.col("_line").rlike(word_pattern(symbol)))
+def symbol_lines(files: DataFrame, symbol: str) -> DataFrame:
+    """(file_path, line, _line) of the lines that hold the symbol as a word."""
+    return _numbered(files.filter("content <> ''"), True).filter(F.col("_line").rlike(word_pattern(symbol)))
+
+
+def preview_of(found: DataFrame, limit: int = 100) -> DataFrame:
+    """(file_path, line, text): the first of found lines, by path."""
     text = F.substring(F.regexp_replace("_line", r"(?U)^\s+|\s+$", ""), 1, 180)
     return found.select("file_path", "line", text.alias("text")).orderBy("file_path", "line").limit(clamp(limit, 1, 500))
 
 
-def refactor_totals(files: DataFrame, symbol: str, limit: int = 100) -> DataFrame:
+def totals_of(found: DataFrame, limit: int = 100) -> DataFrame:
     """One row: occurrences, limited like the preview, and files touched, which aren't."""
-    found = _numbered(files, False).filter(F.col("_line").rlike(word_pattern(symbol)))
     return found.agg(F.least(F.count("*"), F.lit(clamp(limit, 1, 500))).alias("total_occurrences"), F.countDistinct("file_path").alias("files_touched"))
 
 
+def refactor_preview(files: DataFrame, symbol: str, limit: int = 100) -> DataFrame:
+    """(file_path, line, text): the first lines, by path, that hold the symbol as a word."""
+    return preview_of(_numbered(files, False).filter(F.col("_line").rlike(word_pattern(symbol))), limit)
+
+
+def refactor_totals(files: DataFrame, symbol: str, limit: int = 100) -> DataFrame:
+    """totals_of() lines that hold the symbol as a word."""
+    return totals_of(_numbered(files, False).filter(F.col("_line").rlike(word_pattern(symbol))), limit)
+
+
 def apply_refactor(files: DataFrame, symbol: str, new_name: str, max_files: int = 50) -> DataFrame:
     """(path, new_content) of the first files, by path, that change when the symbol is renamed. The
     new name is taken as it is. Nothing is written to the sources."""
@@ -138,6 +151,11 @@ def query_symbol(files: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
     """(definitions, references): (file_path, line, kind) and (file_path, line, text, external,
     probable_test). External references lie in files without a definition; probable tests are those
     in a test folder or file."""
+    return symbol_of(symbol_lines(files, symbol), symbol)
+
+
+def symbol_of(lines: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
+    """query_symbol() of lines that hold the symbol."""
     name = rf"\Q{symbol}\E($|[^\p{{L}}\p{{N}}_])"
     kinds = {
         "function": rf"(^|[^\p{{L}}\p{{N}}_])function\s+{name}",
@@ -147,7 +165,6 @@ def query_symbol(files: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
         "python-function": rf"^\s*def\s+{name}",
         "python-class": rf"^\s*class\s+{name}",
     }
-    lines = _numbered(files.filter("content <> ''"), True).filter(F.col("_line").rlike(word_pattern(symbol)))
     kind = F.coalesce(*(F.when(F.col("_line").rlike(p), k) for k, p in kinds.items()))
     definitions = lines.select("file_path", "line", kind.alias("kind")).filter("kind IS NOT NULL")
     inside = definitions.select("file_path").distinct().withColumn("_own", F.lit(True))

@@ -16,6 +16,7 @@ from lodestone.operators import flows as flo
 from lodestone.operators import query as qry
 from lodestone.operators.grams import GramIndex
 from lodestone.operators.vectors import VectorIndex
+from lodestone.operators.words import WordIndex
 from lodestone.plans import derived
 from lodestone.plans.derived import docs, docs_oracle, edges, graph_oracle, nodes
 from lodestone.schemas import FILES, conform
@@ -471,6 +472,19 @@ SELECT path, md5(CASE WHEN whole THEN block ELSE (
   SELECT max_by(p, len(p)) FROM (SELECT substr(block, 1, k) AS p FROM range(0, len(block) + 1) AS r(k)) WHERE strlen(p) <= 200000 - start) || '...truncated...' || chr(10) END) AS block_md5, start FROM shown WHERE shown"""
     ),
 )
+_WORDS_AT: dict[tuple[str, str], WordIndex] = {}
+
+
+def _word_index(s: SparkSession, d: str) -> WordIndex:
+    """The stored postings of all documents' words, made once for a session."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _WORDS_AT:
+        _WORDS_AT[at] = WordIndex.build(docs(s, d), fresh_dir(s, "words"))
+    return _WORDS_AT[at]
+
+
+_PREVIEW = docs_oracle(f""", lines AS ({_LINES}) SELECT path AS file_path, nr::BIGINT AS line, substr(trim(line), 1, 180) AS text FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])') ORDER BY 1, 2 LIMIT 100""")
+_register("refactor_preview_by_postings", lambda s, d: _word_index(s, d).refactor_preview("thon", 100), _PREVIEW)
 _register(
     "refactor_preview",
     lambda s, d: text.refactor_preview(docs(s, d), "thon", 100),
@@ -490,6 +504,13 @@ _register(
 SELECT path, md5(new) AS content_md5 FROM renamed WHERE new <> content ORDER BY path LIMIT 20"""
     ),
 )
+_register(
+    "query_symbol_by_postings",
+    lambda s, d: _word_index(s, d).query_symbol("thon")[1],
+    docs_oracle(
+        f""", lines AS ({_LINES}) SELECT path AS file_path, nr::BIGINT AS line, trim(line) AS text, true AS external, false AS probable_test FROM lines WHERE regexp_matches(line, '(^|[^\\p{{L}}\\p{{N}}_])thon($|[^\\p{{L}}\\p{{N}}_])')"""
+    ),
+)
 _register(
     "query_symbol",
     lambda s, d: text.query_symbol(docs(s, d), "thon")[1],
@@ -564,15 +585,22 @@ _register("build_edges", lambda s, d: build.build(_sources(s, d))[1], graph_orac
 _register("build_nodes", lambda s, d: build.build(_sources(s, d))[0].select("kind", "name", "qualified_name", "file_path", "language"), graph_oracle("SELECT kind, name, qualified_name, file_path, language FROM nodes"))
 
 
+_UPDATED: dict[tuple[str, str], str] = {}
+
+
 def _updated(s: SparkSession, d: str) -> CodeGraph:
     """A stored graph of older sources, of which some are absent, some others and some no more, brought
-    up to date by its changes."""
+    up to date by its changes; made once for a session."""
+    made = (s.sparkContext.applicationId, d)
+    if made in _UPDATED:
+        return CodeGraph.load(s, _UPDATED[made])
     now, at = durable(_sources(s, d)), fresh_dir(s, "graph")
     at_random = F.crc32("path") % 12
     old = now.filter(at_random != 0).withColumns({"content": F.when(at_random == 1, F.concat(F.lit("function old() {}\n"), F.split_part("content", F.lit("function"), F.lit(1)))).otherwise(F.col("content")), "hash": F.when(at_random == 1, "old").otherwise(F.col("hash"))})
     gone = now.filter(at_random == 2).withColumn("path", F.concat(F.lit("a/"), "path"))
     CodeGraph.refresh(conform(old.unionByName(gone), FILES), at)
     CodeGraph.refresh(conform(now, FILES), at)
+    _UPDATED[made] = at
     return CodeGraph.load(s, at)
 
 
