@@ -584,7 +584,48 @@ def _sources(s: SparkSession, d: str) -> DataFrame:
 _register("build_edges", lambda s, d: build.build(_sources(s, d))[1], graph_oracle("SELECT kind, source, target, file_path FROM edges"))
 _register("build_nodes", lambda s, d: build.build(_sources(s, d))[0].select("kind", "name", "qualified_name", "file_path", "language"), graph_oracle("SELECT kind, name, qualified_name, file_path, language FROM nodes"))
 
-
+#: Endings, and what declares a class {c} and a function {f}, of languages that symbols are told of.
+_WRITTEN = {
+    "python": (".py", "class {c}:\n    pass\n", "def {f}(x):\n    return x\n"),
+    "rust": (".rs", "pub struct {c} {\n}\n", "fn {f}(x: i32) -> i32 {\n    x\n}\n"),
+    "go": (".go", "type {c} struct {\n}\n", "func {f}(x int) int {\n    return x\n}\n"),
+    "java": (".java", "class {c} {\n}\n", "class In{f} {\n    int {f}(int x) {\n        return x;\n    }\n}\n"),
+    "c": (".c", "struct {c} {\n    int x;\n};\n", "int {f}(int x) {\n    return x;\n}\n"),
+    "cpp": (".cpp", "class {c} {\n};\n", "int {f}(int x) {\n    return x;\n}\n"),
+    "csharp": (".cs", "class {c} {\n}\n", "class In{f} {\n    int {f}(int x) {\n        return x;\n    }\n}\n"),
+    "ruby": (".rb", "class {c}\nend\n", "def {f}(x)\n  x\nend\n"),
+    "javascript": (".js", "export class {c} {\n}\n", "function {f}(x) {\n  return x;\n}\n"),
+    "tsx": (".tsx", "export class {c} {\n}\n", "export const {f} = (x) => {\n  return x;\n};\n"),
+}
+
+
+def _many_languages(s: SparkSession, d: str) -> DataFrame:
+    """The symbols of the derived graph written out as sources (path, content) of ten languages, by
+    the length of a file's path."""
+    n = nodes(s, d).filter("kind <> 'file'").withColumn("_at", F.length("file_path") % len(_WRITTEN))
+    pick = lambda i: F.get(F.array(*(F.lit(w[i]) for w in _WRITTEN.values())), F.col("_at"))
+    body = F.when(F.col("kind") == "class", F.replace(pick(1), F.lit("{c}"), F.col("name"))).otherwise(F.replace(pick(2), F.lit("{f}"), F.col("name")))
+    told = n.select(F.concat(F.regexp_replace("file_path", "[.]ts$", ""), pick(0)).alias("path"), F.struct("kind", "name", body.alias("body")).alias("b"))
+    return told.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["body"]), "\n").alias("content"))
+
+
+def _in_language(i: int) -> str:
+    return f"(ARRAY[{', '.join(repr(w[i]) for w in _WRITTEN.values())}])[length(file_path) % {len(_WRITTEN)} + 1]"
+
+
+_register(
+    "parse_ten_languages",
+    lambda s, d: parse.parse_files(_many_languages(s, d)).filter("rec = 'symbol'").select("file_path", "kind", "name", "qualified_name", "container", "language"),
+    graph_oracle(
+        f""", written AS (
+  SELECT kind, name, regexp_replace(file_path, '[.]ts$', '') || {_in_language(0)} AS path, (ARRAY[{', '.join(repr(w) for w in _WRITTEN)}])[length(file_path) % {len(_WRITTEN)} + 1] AS language FROM nodes WHERE kind <> 'file'
+), told AS (
+  SELECT kind, name, path, language, CASE WHEN kind = 'function' AND language IN ('java', 'csharp') THEN 'In' || name END AS outer_class FROM written
+)
+SELECT path AS file_path, kind, name, path || '::' || coalesce(outer_class || '.', '') || name AS qualified_name, CASE WHEN outer_class IS NULL THEN 'file::' || path ELSE path || '::' || outer_class END AS container, language FROM told
+UNION ALL SELECT path, 'class', outer_class, path || '::' || outer_class, 'file::' || path, language FROM told WHERE outer_class IS NOT NULL"""
+    ),
+)
 _UPDATED: dict[tuple[str, str], str] = {}
 
 
