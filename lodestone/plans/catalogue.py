@@ -730,19 +730,22 @@ def _streamed_bursts(s: SparkSession, d: str) -> DataFrame:
 
 
 _register("watch_bursts", _streamed_bursts, _SESSIONS)
-_COMMANDS = ("refresh", "graph-build", "graph-status", "query-graph", "impact-radius", "detect-changes", "minimal-context", "list-flows", "get-flow", "affected-flows", "list-communities", "get-community", "semantic-search", "generate-wiki", "get-wiki-page", "registry-list", "cross-repo-search", "watch")
-_TOOLS = ("get_minimal_context", "build_or_update_graph", "list_graph_stats", "query_graph", "get_impact_radius", "detect_changes", "list_flows", "get_flow", "get_affected_flows", "list_communities", "get_community", "semantic_search_nodes", "generate_wiki_tool", "get_wiki_page_tool", "registry_list", "cross_repo_search")
 
 
 def _parity(s: SparkSession, d: str) -> DataFrame:
-    return parity.best_matches(s.createDataFrame([(c,) for c in _COMMANDS], "command string"), s.createDataFrame([(t, i) for i, t in enumerate(_TOOLS)], "tool string, ord int"))
+    """Kinds and names of parts as commands, names and brands as tools."""
+    parts = s.read.parquet(f"{d}/part.parquet")
+    commands = parts.select(F.concat(F.lower("p_type"), F.lit("-the-"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("command")).distinct()
+    tools = parts.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_of_"), F.lower(F.replace("p_brand", F.lit("#"))), F.lit("_"), F.lower("p_type")).alias("tool")).distinct()
+    return parity.best_matches(commands, tools.withColumn("ord", F.reverse("tool")))
 
 
 _register(
     "parity_match",
     _parity,
-    f"""WITH c AS (SELECT unnest({list(_COMMANDS)}) AS command), t AS (SELECT unnest({list(_TOOLS)}) AS tool, unnest(range({len(_TOOLS)})) AS ord),
-w AS (SELECT command, list_distinct(string_split(command, '-')) AS cw FROM c), v AS (SELECT tool, ord, list_distinct([x for x in string_split(tool, '_') if x NOT IN ('or','the','and','to','of','a','an')]) AS tw FROM t),
+    """WITH c AS (SELECT DISTINCT lower(p_type) || '-the-' || replace(p_name, ' ', '-') AS command FROM part),
+t AS (SELECT DISTINCT replace(p_name, ' ', '_') || '_of_' || lower(replace(p_brand, '#', '')) || '_' || lower(p_type) AS tool FROM part),
+w AS (SELECT command, list_distinct(string_split(command, '-')) AS cw FROM c), v AS (SELECT tool, reverse(tool) AS ord, list_distinct([x for x in string_split(tool, '_') if x NOT IN ('or','the','and','to','of','a','an')]) AS tw FROM t),
 fit AS (SELECT command, tool, ord, len(list_intersect(cw, tw)) AS n FROM w, v WHERE len(list_intersect(cw, tw)) > 0 AND len(list_intersect(cw, tw)) >= 0.5 * least(len(cw), len(tw)))
 SELECT c.command, b.tool FROM c LEFT JOIN (SELECT command, tool FROM fit QUALIFY row_number() OVER (PARTITION BY command ORDER BY n DESC, ord) = 1) b USING (command)""",
 )

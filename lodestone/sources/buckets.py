@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: Generations that stay readable.
 KEEP = 2
 #: Buckets of a new store: one for each ROWS rows of its first table, within these bounds.
-ROWS, LEAST, MOST = 5_000, 16, 4096
+ROWS, LEAST, MOST = 5_000, 4, 4096
 
 
 class WriterConflict(RuntimeError):
