@@ -5,6 +5,9 @@ Vectors are plain arrays and stay in the JVM. A text's vector counts its words b
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -121,8 +124,13 @@ def lexical_search(nodes: DataFrame, query: str, kind: str | None = None, limit:
 
 
 def query_vector(spark, text: str) -> list[float]:
-    """The vector of one query text."""
-    return list(spark.range(1).select(vectorize(F.lit(text)).alias("v")).first()["v"])
+    """vectorize() of one query text, without a job."""
+    counts = [0.0] * DIMS
+    for word in re.split(r"[^\w-]+", text):
+        if word:
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:2], 16) % DIMS] += 1
+    norm = max(math.sqrt(sum(x * x for x in counts)), 1e-12)
+    return [x / norm for x in counts]
 
 
 def hybrid_search(nodes: DataFrame, embeddings: DataFrame, query: str, kind: str | None = None, limit: int = 20, index: VectorIndex | None = None) -> DataFrame:

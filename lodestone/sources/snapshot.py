@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.text import summarize
 from lodestone.schemas import FILES, conform
 
+from .buckets import WriterConflict
 from .config import SnapshotConfig
 from .listing import listing, with_contents
 
@@ -82,14 +84,30 @@ def _path(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, kind
 
 
+def _marks(spark: SparkSession, at: str) -> list[int]:
+    """The numbers of a store's complete generations, the newest first."""
+    fs, path, _ = _path(spark, at)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted((int(n.removeprefix("complete-")) for n in names if n.startswith("complete-")), reverse=True)
+
+
 def current_generation(spark: SparkSession, at: str) -> int | None:
     """The number of the newest complete generation in a store, from its mark."""
-    fs, path, _ = _path(spark, at)
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(n.removeprefix("complete-")) for n in names if n.startswith("complete-")]
-    return max(done, default=None)
+    return next(iter(_marks(spark, at)), None)
+
+
+def generation_dir(spark: SparkSession, at: str) -> str | None:
+    """Where the newest complete generation of a store is: its mark names the folder. A mark that its
+    writer hasn't ended yet doesn't count."""
+    fs, _, kind = _path(spark, at)
+    for number in _marks(spark, at):
+        mark = fs.open(kind(f"{at}/complete-{number}"))
+        try:
+            if named := bytes(mark.readAllBytes()).decode():
+                return f"{at}/{named}"
+        finally:
+            mark.close()
+    return None
 
 
 def save_generation(spark: SparkSession, at: str, write: Callable[[str], None], keep: int = 2) -> None:
@@ -97,24 +115,36 @@ def save_generation(spark: SparkSession, at: str, write: Callable[[str], None],
     see the generation before until then, and a write that fails leaves it as it was. What is written
     may be read from the generation before. Older ones than the last `keep` are removed.
 
-    One writer at a time.
+    Of two writers that begin at one generation the second to end fails, and its folder goes.
     """
     number = (current_generation(spark, at) or 0) + 1
     fs, _, kind = _path(spark, at)
-    fs.delete(kind(f"{at}/generation-{number}"), True)
-    write(f"{at}/generation-{number}")
-    fs.create(kind(f"{at}/complete-{number}"), True).close()
+    named = f"generation-{number}-{uuid.uuid4().hex}"
+    try:
+        write(f"{at}/{named}")
+        try:
+            mark = fs.create(kind(f"{at}/complete-{number}"), False)
+        except Exception as e:  # noqa: BLE001  the file system's own error for files that exist
+            if fs.exists(kind(f"{at}/complete-{number}")):
+                raise WriterConflict(f"generation {number} of {at} was made by another writer") from e
+            raise
+    except BaseException:
+        fs.delete(kind(f"{at}/{named}"), True)
+        raise
+    mark.write(bytearray(named.encode()))
+    mark.close()
     for status in fs.listStatus(kind(at)):
         name = status.getPath().getName()
-        prefix, _, of = name.rpartition("-")
+        prefix, _, of = name.partition("-")
+        of = of.partition("-")[0]
         if prefix in ("complete", "generation") and of.isdigit() and int(of) <= number - keep:
             fs.delete(status.getPath(), True)
 
 
 def load_tables(spark: SparkSession, at: str, *names: str) -> tuple[DataFrame, ...] | None:
     """Tables of a store's newest generation; None if there is no store."""
-    number = current_generation(spark, at)
-    return None if number is None else tuple(spark.read.parquet(f"{at}/generation-{number}/{n}") for n in names)
+    held = generation_dir(spark, at)
+    return None if held is None else tuple(spark.read.parquet(f"{held}/{n}") for n in names)
 
 
 def save_snapshot(snapshot: DataFrame, at: str) -> None:
@@ -124,11 +154,11 @@ def save_snapshot(snapshot: DataFrame, at: str) -> None:
 
 def load_snapshot(spark: SparkSession, at: str) -> DataFrame | None:
     """A stored snapshot; None if there is none or it can't be read."""
-    number = current_generation(spark, at)
-    if number is None:
+    held = generation_dir(spark, at)
+    if held is None:
         return None
     try:
-        found = spark.read.parquet(f"{at}/generation-{number}/files")
+        found = spark.read.parquet(f"{held}/files")
         found.limit(1).collect()  # what only looks like Parquet fails here
         return conform(found, FILES)
     except (AnalysisException, SparkRuntimeException, Py4JJavaError):

@@ -142,6 +142,8 @@ def test_risk_and_diff(spark):
 def test_search(spark):
     v = lambda t: search.query_vector(spark, t)
     assert abs(sum(x * x for x in v("a b_c d-e a")) - 1) < 1e-9 and sum(v("")) == 0 and v("A") != v("a")
+    for t in ("a b_c d-e a", "", "Straße x², ½ éa\u0301-٣ 漢字_1", "--"):
+        assert all(abs(x - y) < 1e-12 for x, y in zip(v(t), one(spark, search.vectorize(F.lit(t)).alias("v")).v)), t
     assert one(spark, search.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0))).alias("c")).c == 0
     nodes, _ = graph(spark)
     none = search.embed_nodes(nodes).limit(0)

@@ -1,6 +1,8 @@
 import http.server
 import json
+import os
 import threading
+from pathlib import Path
 
 import pytest
 
@@ -8,6 +10,7 @@ from lodestone.graph import CodeGraph
 from lodestone.operators import repos, search
 from lodestone.schemas import REPOS
 from lodestone.sources import embedding, snapshot, stores
+from lodestone.sources.buckets import WriterConflict
 from lodestone.sources.config import SnapshotConfig
 
 
@@ -102,7 +105,24 @@ def test_incremental_saves(spark, tmp_path):
     assert own(CodeGraph.load(spark, at)) == held
     # a snapshot that can't be read is none
     snapshot.save_snapshot(take(None), f"{at}-files")
-    number = snapshot.current_generation(spark, f"{at}-files")
-    for part in (tmp_path / "store-files" / f"generation-{number}" / "files").glob("*.parquet"):
+    for part in Path(snapshot.generation_dir(spark, f"{at}-files"), "files").glob("*.parquet"):
         part.write_text("not parquet")
     assert snapshot.load_snapshot(spark, f"{at}-files") is None
+
+
+def test_two_writers_of_a_generation(spark, tmp_path):
+    at = str(tmp_path / "store")
+    one = lambda n: lambda to: spark.range(n).write.parquet(f"{to}/t")
+    snapshot.save_generation(spark, at, one(1))
+
+    def late(to):
+        snapshot.save_generation(spark, at, one(2))  # another writer is done first
+        one(3)(to)
+
+    with pytest.raises(WriterConflict):
+        snapshot.save_generation(spark, at, late)
+    assert snapshot.load_tables(spark, at, "t")[0].count() == 2
+    assert sorted(n.split("-")[:2] for n in os.listdir(at) if not n.startswith(".")) == [["complete", "1"], ["complete", "2"], ["generation", "1"], ["generation", "2"]]
+    for n in (4, 5):
+        snapshot.save_generation(spark, at, one(n))
+    assert snapshot.load_tables(spark, at, "t")[0].count() == 5 and len([n for n in os.listdir(at) if n.startswith("generation")]) == 2
