@@ -39,21 +39,27 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     return each.withColumn("_term", term).withColumn("_weight", count.cast("double")).drop("_words", "_first", "_n", "_at")
 
 
-def _uniform(of: Column, at: int) -> Column:
-    """A number between 0 and 1 from 21 bits of a hash."""
-    return (F.shiftrightunsigned(of, at).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
+def _uniform(of: Column, at: int, bits: int) -> Column:
+    """A number between 0 and 1 from some bits of a hash."""
+    return (F.shiftrightunsigned(of, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
 
 
-def sample(term: Column, log_weight: Column, number: int) -> Column:
-    """ln a of a term for one sample, from two hashes. Null terms give null.
+def sample(term: Column, weight: Column, log_weight: Column, number: int) -> Column:
+    """1 - exp(-a) of a term for one sample, which rises with a. Null terms give null.
 
-    A weight of 1 has the logarithm 0 and therefore t = 0 whatever r is, which saves most terms of
-    most texts a second draw of r.
+    Of independent p, q and y from Exp(1), c = p + q and p / c are a Gamma(2, 1) and a uniform number,
+    independent of each other; x = -ln(p / c) is Exp(1) again, so r = x + y and b = y / r are one more
+    Gamma(2, 1) and uniform number. With them a = c exp(-r (t - b + 1)) is p exp(-r t): at t = 0 it is p,
+    for which the hash itself stands, without a logarithm. t is 0 for all weights of 1, and
+    for a greater weight w when ln w < x, that is p (w - 1) < q.
     """
     first, second = (F.xxhash64(term.bitwiseXOR(F.xxhash64(F.lit(2 * number + k)))) for k in (0, 1))
-    minus_r, c, b = F.ln(_uniform(first, 0) * _uniform(first, 21)), -F.ln(_uniform(second, 0) * _uniform(second, 21)), _uniform(first, 42)
-    t = F.when(log_weight == 0, F.lit(0.0)).otherwise(F.floor(b - log_weight / minus_r).cast("double"))
-    return F.when(term.isNotNull(), F.ln(c) + minus_r * (t - b + 1))
+    plain = _uniform(first, 12, 52)
+    p, q, y = -F.log1p(-plain), -F.ln(_uniform(second, 32, 32)), -F.ln(_uniform(second, 0, 32))
+    r = F.log1p(q / p) + y
+    t = F.floor((log_weight + y) / r)
+    still = F.when(weight >= 1, p * (weight - 1) < q).otherwise(t == 0)
+    return F.when(term.isNotNull(), F.when(weight == 1, plain).when(still, plain).otherwise(-F.expm1(-p * F.exp(-r * t))))
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, term: str = "_term", weight: str = "_weight") -> DataFrame:
@@ -62,7 +68,7 @@ def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, term:
     A term that recurs in a group counts with its greatest weight's draw or a lesser one; give each
     once. A group with null terms only has an array of nulls. Terms are longs, weights are above 0.
     """
-    least = [F.min(sample(F.col(term), F.col("_log_weight"), s)).alias(f"_s{s}") for s in range(samples)]
+    least = [F.min(sample(F.col(term), F.col(weight), F.col("_log_weight"), s)).alias(f"_s{s}") for s in range(samples)]
     found = terms.withColumn("_log_weight", F.ln(weight)).groupBy(*keys).agg(*least)
     return found.select(*keys, F.array(*(f"_s{s}" for s in range(samples))).alias("_signature"))
 

@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import weighted_sampling as w
@@ -43,6 +46,47 @@ def test_collision_rate(spark):
             assert abs(rate - want) < 0.07, (i, j, rate, want)
 
 
+def hash_of(data):
+    return xxhash.xxh64_intdigest(data, seed=42)
+
+
+def drawn(word, weight, number):
+    """ln a of a word by the textbook's draws of r, c and b, made from the same hashes."""
+    term = hash_of(word.encode())
+    one, two = (hash_of((term ^ hash_of((2 * number + k).to_bytes(4, "little"))).to_bytes(8, "little")) for k in (0, 1))
+    p, q, y = -math.log1p(-((one >> 12) + 0.5) / 2**52), -math.log(((two >> 32) + 0.5) / 2**32), -math.log(((two & 0xFFFFFFFF) + 0.5) / 2**32)
+    c, x = p + q, math.log((p + q) / p)
+    r, b = x + y, y / (x + y)
+    t = math.floor(math.log(weight) / r + b)
+    return math.log(c) - r * (t - b + 1)
+
+
+def test_against_a_plain_sampler(spark):
+    """Every sample of a signature is the least a over the text's words."""
+    texts = ["a b a c a", "one", "x y z " * 9 + "w", "é É é ü"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for r in w.signatures(w.with_terms(df.select("i", F.col("t").alias("_text")), "_text"), ["i"]).collect():
+        for number, found in enumerate(r._signature):
+            least = min(drawn(word, n, number) for word, n in bag(texts[r.i]).items())
+            assert found == pytest.approx(-math.expm1(-math.exp(least)), rel=1e-9)
+
+
+def test_draws_are_gamma_and_uniform():
+    """The derived r, c and b have the moments of Gamma(2, 1), Gamma(2, 1) and [0, 1), and a that of Exp(w)."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(40_000):
+        p, q, y = (rng.expovariate(1) for _ in range(3))
+        x = math.log((p + q) / p)
+        rows.append((x + y, p + q, y / (x + y)))
+    mean = lambda f: sum(map(f, rows)) / len(rows)
+    for got, want in ((mean(lambda v: v[0]), 2), (mean(lambda v: v[1]), 2), (mean(lambda v: v[2]), 0.5), (mean(lambda v: v[0] ** 2), 6), (mean(lambda v: v[1] ** 2), 6), (mean(lambda v: v[0] * v[1]), 4), (mean(lambda v: v[0] * v[2]), 1), (mean(lambda v: v[1] * v[2]), 1)):
+        assert abs(got / want - 1) < 0.05
+    for weight in (1, 2, 5, 0.3):
+        a = [math.exp(drawn(f"w{i}", weight, 7)) for i in range(20_000)]
+        assert abs(sum(a) / len(a) * weight - 1) < 0.04
+
+
 def check(df):
     rows = [r.asDict() for r in w.fingerprints(df).collect()]
     want = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
