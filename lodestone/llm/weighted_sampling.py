@@ -23,6 +23,10 @@ from . import common
 
 #: Samples of a signature. A likeness has the standard error sqrt(J (1 - J) / SAMPLES), 0.0625 at most.
 SAMPLES = 64
+#: Binary digits of a sample; far fewer than a double's, so rounding of logarithms doesn't show.
+DIGITS = 42
+#: Samples that a row of a term with another weight than 1 draws.
+PER_ROW = 4
 #: Documents that are put in order together, and ranges of ids at most. With more documents, ranges grow.
 RANGE_ROWS, MOST_RANGES = 256, 65_536
 
@@ -39,37 +43,54 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
     return each.withColumn("_term", term).withColumn("_weight", count.cast("double")).drop("_words", "_first", "_n", "_at")
 
 
-def _uniform(of: Column, at: int, bits: int) -> Column:
-    """A number between 0 and 1 from some bits of a hash."""
-    return (F.shiftrightunsigned(of, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0**-bits)
+def _hash(key: Column, number: Column, which: int) -> Column:
+    return F.xxhash64(key.bitwiseXOR(F.xxhash64(number * 2 + which)))
 
 
-def sample(term: Column, weight: Column, log_weight: Column, number: int) -> Column:
-    """1 - exp(-a) of a term for one sample, which rises with a. Null terms give null.
+def _exponential(of: Column, at: int) -> Column:
+    """A draw of Exp(1) from 32 bits of a hash."""
+    return -F.ln((F.shiftrightunsigned(of, at).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(0.5)) * F.lit(2.0**-32))
+
+
+def _drawn(terms: DataFrame) -> DataFrame:
+    """The columns _draw0, _draw1, ...: 1 - exp(-a) of the samples PER_ROW * _part + 0, 1, ..., as whole
+    numbers of 2 ** -DIGITS, null where _part is.
 
     Of independent p, q and y from Exp(1), c = p + q and p / c are a Gamma(2, 1) and a uniform number,
     independent of each other; x = -ln(p / c) is Exp(1) again, so r = x + y and b = y / r are one more
-    Gamma(2, 1) and uniform number. With them a = c exp(-r (t - b + 1)) is p exp(-r t): at t = 0 it is p,
-    for which the hash itself stands, without a logarithm. t is 0 for all weights of 1, and
-    for a greater weight w when ln w < x, that is p (w - 1) < q.
+    Gamma(2, 1) and uniform number. With them a = c exp(-r (t - b + 1)) is p exp(-r t). Steps are
+    projections, so what is used twice is worked out once.
     """
-    first, second = (F.xxhash64(term.bitwiseXOR(F.xxhash64(F.lit(2 * number + k)))) for k in (0, 1))
-    plain = _uniform(first, 12, 52)
-    p, q, y = -F.log1p(-plain), -F.ln(_uniform(second, 32, 32)), -F.ln(_uniform(second, 0, 32))
-    r = F.log1p(q / p) + y
-    t = F.floor((log_weight + y) / r)
-    still = F.when(weight >= 1, p * (weight - 1) < q).otherwise(t == 0)
-    return F.when(term.isNotNull(), F.when(weight == 1, plain).when(still, plain).otherwise(-F.expm1(-p * F.exp(-r * t))))
+    each, number = range(PER_ROW), lambda j: F.col("_part") * PER_ROW + j
+    drawn = terms.select("*", *(_bits(F.col("_key"), number(j)).alias(f"_bits{j}") for j in each), *(_hash(F.col("_key"), number(j), 1).alias(f"_more{j}") for j in each))
+    p = lambda j: F.when(F.col("_part").isNotNull(), -F.log1p((F.col(f"_bits{j}") + F.lit(0.5)) * F.lit(-(2.0**-DIGITS))))
+    y = lambda j: F.when(F.col("_part").isNotNull(), _exponential(F.col(f"_more{j}"), 0))
+    drawn = drawn.select("*", *(p(j).alias(f"_p{j}") for j in each), *(y(j).alias(f"_y{j}") for j in each))
+    r = lambda j: F.when(F.col("_part").isNotNull(), F.log1p(_exponential(F.col(f"_more{j}"), 32) / F.col(f"_p{j}")) + F.col(f"_y{j}"))
+    drawn = drawn.select("*", *(r(j).alias(f"_r{j}") for j in each))
+    a = lambda j: F.col(f"_p{j}") * F.exp(-F.col(f"_r{j}") * F.floor((F.col("_log_weight") + F.col(f"_y{j}")) / F.col(f"_r{j}")))
+    return drawn.select("*", *(F.when(F.col("_part").isNotNull(), -F.expm1(-a(j)) * F.lit(2.0**DIGITS)).cast("long").alias(f"_draw{j}") for j in each))
+
+
+def _bits(key: Column, number: Column) -> Column:
+    return F.shiftrightunsigned(_hash(key, number, 0), 64 - DIGITS)
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, term: str = "_term", weight: str = "_weight") -> DataFrame:
-    """The keys with _signature, an array of the samples of each group of weighted terms.
+    """The keys with _signature, an array of the samples of each group of weighted terms: of each the
+    least 1 - exp(-a), which rises with a.
 
     A term that recurs in a group counts with its greatest weight's draw or a lesser one; give each
     once. A group with null terms only has an array of nulls. Terms are longs, weights are above 0.
+
+    Weights of 1 have t = 0 and a = p, for which the bits of the hash stand as they are, without a
+    logarithm. A term of another weight becomes a row for each PER_ROW samples.
     """
-    least = [F.min(sample(F.col(term), F.col(weight), F.col("_log_weight"), s)).alias(f"_s{s}") for s in range(samples)]
-    found = terms.withColumn("_log_weight", F.ln(weight)).groupBy(*keys).agg(*least)
+    plain = F.col(weight) == 1
+    parts = F.when(F.col(term).isNotNull() & ~plain, F.sequence(F.lit(0), F.lit((samples - 1) // PER_ROW))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = terms.select(*keys, F.coalesce(term, F.lit(0)).alias("_key"), (F.col(term).isNotNull() & plain).alias("_plain"), F.ln(weight).alias("_log_weight"), F.explode(parts).alias("_part"))
+    least = [F.min(F.when(F.col("_plain"), _bits(F.col("_key"), F.lit(s))).when(F.col("_part") == s // PER_ROW, F.col(f"_draw{s % PER_ROW}"))).alias(f"_s{s}") for s in range(samples)]
+    found = _drawn(rows).groupBy(*keys).agg(*least)
     return found.select(*keys, F.array(*(f"_s{s}" for s in range(samples))).alias("_signature"))
 
 

@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -54,7 +53,7 @@ def drawn(word, weight, number):
     """ln a of a word by the textbook's draws of r, c and b, made from the same hashes."""
     term = hash_of(word.encode())
     one, two = (hash_of((term ^ hash_of((2 * number + k).to_bytes(4, "little"))).to_bytes(8, "little")) for k in (0, 1))
-    p, q, y = -math.log1p(-((one >> 12) + 0.5) / 2**52), -math.log(((two >> 32) + 0.5) / 2**32), -math.log(((two & 0xFFFFFFFF) + 0.5) / 2**32)
+    p, q, y = -math.log1p(-((one >> 64 - w.DIGITS) + 0.5) / 2**w.DIGITS), -math.log(((two >> 32) + 0.5) / 2**32), -math.log(((two & 0xFFFFFFFF) + 0.5) / 2**32)
     c, x = p + q, math.log((p + q) / p)
     r, b = x + y, y / (x + y)
     t = math.floor(math.log(weight) / r + b)
@@ -68,7 +67,7 @@ def test_against_a_plain_sampler(spark):
     for r in w.signatures(w.with_terms(df.select("i", F.col("t").alias("_text")), "_text"), ["i"]).collect():
         for number, found in enumerate(r._signature):
             least = min(drawn(word, n, number) for word, n in bag(texts[r.i]).items())
-            assert found == pytest.approx(-math.expm1(-math.exp(least)), rel=1e-9)
+            assert found == int(-math.expm1(-math.exp(least)) * 2**w.DIGITS)
 
 
 def test_draws_are_gamma_and_uniform():
