@@ -142,34 +142,61 @@ def _windows(text: Column, templates: list[tuple[str, str]], threshold: float) -
         need, reach = math.ceil(len(own) * threshold / (2 - threshold) - 1e-9), math.floor((len(words_of(t)) - 1) * (2 - threshold) / threshold + 1e-9)
         entries.append(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, own)).alias("bigrams"), F.lit(need).alias("need"), F.lit(reach).alias("reach")))
     bank = F.array(*entries)
+    no_windows = F.array().cast("array<struct<order:double,first:int,last:int,license:string>>")
+
+    def of_template(t: Column, pairs: Column) -> Column:
+        """The windows of a template that reach the threshold and are closer than all shorter ones of
+        the same start, as bigrams at places from first to last. Others change nothing: whatever
+        overlaps the shorter one and is closer overlaps and beats them too.
+
+        A bigram is new to a window if it occurs last before its start, so one pass over the reach of
+        a start counts the distinct bigrams of all its windows.
+        """
+        flagged = F.transform(pairs, lambda x: F.struct(x["at"].alias("at"), x["before"].alias("before"), F.array_contains(t["bigrams"], x["bigram"]).cast("int").alias("hit")))
+
+        def from_start(places: Column, first: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                new = (x["before"] < first).cast("int")
+                m, s = acc["m"] + new, acc["s"] + new * x["hit"]
+                dice = 2.0 * s / (m + F.size(t["bigrams"]))
+                closer = (x["hit"] == 1) & (dice >= threshold) & (dice > acc["dice"])
+                window = F.struct((-dice).alias("order"), first.alias("first"), x["at"].alias("last"), t["license"].alias("license"))
+                return F.struct(m.alias("m"), s.alias("s"), F.when(closer, dice).otherwise(acc["dice"]).alias("dice"), F.when(closer, F.concat(acc["found"], F.array(window))).otherwise(acc["found"]).alias("found"))
+
+            begin = F.struct(F.lit(0).alias("m"), F.lit(0).alias("s"), F.lit(0.0).alias("dice"), no_windows.alias("found"))
+            return F.aggregate(F.slice(places, first + 1, t["reach"]), begin, step, lambda acc: acc["found"])
+
+        def among(places: Column, hits: Column) -> Column:
+            n, need, reach = F.size(hits), t["need"], t["reach"]
+            starts = F.filter(F.sequence(F.lit(0), n - need), lambda k: F.get(hits, k + need - 1) - F.get(hits, k) < reach)
+            return F.flatten(F.transform(starts, lambda k: from_start(places, F.get(hits, k))))
 
-    def of_template(t: Column, words: Column) -> Column:
-        """All windows of a template that reach the threshold, as bigrams at places from first to last."""
+        return _let(flagged, lambda places: _let(F.transform(F.filter(places, lambda x: x["hit"] == 1), lambda x: x["at"]), lambda hits: among(places, hits)))
 
-        def scored(first: Column, last: Column) -> Column:
-            own = F.array_distinct(F.slice(words, first + 1, last - first + 1))
-            dice = _let(own, lambda b: 2.0 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + F.size(t["bigrams"])))
-            return F.struct((-dice).alias("order"), first.alias("first"), last.alias("last"), t["license"].alias("license"))
+    def placed(pairs: Column) -> Column:
+        """Bigrams with their place and the place before where the same one occurs, -1 if none does."""
 
-        def among(hits: Column) -> Column:
-            n, need, reach = F.size(hits), t["need"], t["reach"]
-            starts = F.filter(F.sequence(F.lit(0), n - need), lambda k: F.get(hits, k + need - 1) - F.get(hits, k) < reach)
-            ends = lambda k: F.filter(F.slice(hits, k + need, F.least(n, k + reach) - k - need + 1), lambda e: e - F.get(hits, k) < reach)
-            return F.flatten(F.transform(starts, lambda k: F.filter(F.transform(ends(k), lambda e: scored(F.get(hits, k), e)), lambda x: -x["order"] >= threshold)))
+        def told(ordered: Column) -> Column:
+            before = lambda x, k: F.when((k > 0) & (F.get(ordered, k - 1)["bigram"] == x["bigram"]), F.get(ordered, k - 1)["at"]).otherwise(F.lit(-1))
+            return F.array_sort(F.transform(ordered, lambda x, k: F.struct(x["at"].alias("at"), before(x, k).alias("before"), x["bigram"].alias("bigram"))))
 
-        return _let(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t["bigrams"], F.get(words, i))), among)
+        return _let(F.array_sort(F.transform(pairs, lambda b, i: F.struct(b.alias("bigram"), i.alias("at")))), told)
 
     def closest(found: Column) -> Column:
+        """Of a text with windows of one licence only the closest matters, as none overlaps another licence."""
         over = lambda x, k: (k["first"] <= x["last"]) & (x["first"] <= k["last"]) & ((k["order"] < x["order"]) | (k["license"] == x["license"]))
-        kept = F.array().cast("array<struct<order:double,first:int,last:int,license:string>>")
-        return F.aggregate(F.array_sort(found), kept, lambda kept, x: F.when(F.exists(kept, lambda k: over(x, k)), kept).otherwise(F.concat(kept, F.array(x))))
+        kept = F.aggregate(F.array_sort(found), no_windows, lambda kept, x: F.when(F.exists(kept, lambda k: over(x, k)), kept).otherwise(F.concat(kept, F.array(x))))
+        one = F.forall(found, lambda x: x["license"] == F.get(found, F.lit(0))["license"])
+        return F.when(F.size(found) == 0, no_windows).when(one, F.array(F.array_min(found))).otherwise(kept)
 
     def in_words(words: Column) -> Column:
         pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
 
         def in_pairs(pairs: Column) -> Column:
             near = _let(F.array_distinct(pairs), lambda b: F.filter(bank, lambda t: F.size(F.array_intersect(t["bigrams"], b)) >= t["need"]))
-            found = closest(F.flatten(F.transform(near, lambda t: of_template(t, pairs))))
+            each = lambda near: F.when(F.size(near) > 0, _let(placed(pairs), lambda known: F.flatten(F.transform(near, lambda t: of_template(t, known)))))
+            windows = _let(near, each)
+            found = _let(F.coalesce(windows, no_windows), closest)
             passage = lambda x: F.array_join(F.slice(words, x["first"] + 1, x["last"] - x["first"] + 2), " ")
             return F.transform(found, lambda x: F.struct(x["license"].alias("license"), (-x["order"]).alias("dice"), passage(x).alias("passage")))
 

@@ -1,5 +1,6 @@
 import re
 import textwrap
+import time
 
 import pytest
 
@@ -103,3 +104,12 @@ def test_windows_against_brute_force(spark):
                 m = set(bigrams_of(" ".join(text[i:j])))
                 best = max(best, 2 * len(m & own) / (len(m) + len(own)))
         assert [x.dice for x in r.licenses] == ([best] if best >= 0.8 else []), r.text
+
+
+def test_dense_text(spark):
+    """A text that repeats a notice over and over takes time by its length, not by its windows' sizes."""
+    scan = lambda n: licenses.scan_licenses(spark.createDataFrame([(1, "\n".join(textwrap.wrap(f"{MIT} " * n, 70)))], "doc_id long, text string")).collect()
+    scan(1)
+    began = time.perf_counter()
+    (row,) = scan(80)
+    assert [(x.license, x.dice) for x in row.licenses] == [("MIT", 1.0)] and time.perf_counter() - began < 8
