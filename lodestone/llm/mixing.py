@@ -4,8 +4,8 @@ Each source gets a target number of tokens and a schedule: how strongly it is wa
 0 (start of training) to 1 (end). Its schedule's integral, scaled to the target, is its cumulative
 demand. A source's documents stand in hashed order, pass after pass; a copy that begins after c
 tokens of its source belongs at the time at which the demand reaches c, found by inverting the
-integral in closed form. Sorting by that time interleaves the sources as their schedules ask. The
-demand ends at the target, also inside a document, of which the mix then takes the first words.
+integral in closed form. A range sort by that time interleaves the sources as their schedules ask,
+and a copy's place in it is its training rank. The demand ends at the target, also inside a document, of which the mix then takes the first words.
 
 Everything is DataFrame functions. Running sums go over (source, piece) groups, the pieces being
 cut by a hash, so a source that holds most rows spreads over thousands of tasks.
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import scan
+
 from . import common
 
 #: Pieces of a source for its running sums: 3 hexadecimal digits of a hash.
@@ -150,14 +152,35 @@ def training_order(planned: DataFrame, text: str = "text", key: str = "doc_id",
     return out.orderBy("position", "pass", key)
 
 
+def training_ranks(planned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A row per copy with pass, tokens, position and rank: its place, from 0, in the order of training.
+
+    The range sort of training_order, ties going by the other columns: ranges of the order are kept in
+    the shared folder, and each counts on from the copies in those before it. A row that the mix leaves
+    out has one row, with nulls. All columns are moved and stored, so hand in rows without texts.
+    Columns pass, tokens, position and rank are replaced if there are such.
+    """
+    others = [c for c in planned.columns if c not in ("copies", "pass", "tokens", "position", "rank")]
+    copies = planned.select(*others, F.explode_outer("copies").alias("_copy")).select(*others, "_copy.pass", "_copy.tokens", "_copy.position")
+    order = ["position", "pass", key, *(c for c in others if c != key)]
+    ranged = scan.in_ranges(copies, *order)
+    before, _ = scan.carried(ranged, F.count("position"), 0, lambda n, more: n + more, "long")
+    inside = F.count("position").over(scan.within_range(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.withColumn("rank", F.when(F.col("position").isNotNull(), before + inside)).drop(scan.RANGE)
+
+
 def op9_curriculum_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: what it takes of each, and when.
 
-    Sizes are counted once over whole texts and kept in the shared folder without the texts.
+    Read off the copies in the order of training; documents stand where their first copy does, those
+    left out come last. Sizes are counted once over whole texts and kept in the shared folder without
+    the texts. Rows are told apart by a number, as keys may be null or repeated.
     """
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.token_count("text").alias("size"))
-    planned = plan_mix(common.durable(docs), "doc_id")
-    return planned.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("copies", F.lit(0))["position"], 9).alias("first_position"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", common.token_count("text").alias("size"), F.monotonically_increasing_id().alias("_row"))
+    ranked = training_ranks(plan_mix(common.durable(docs), "doc_id"))
+    first = F.round(F.min_by("position", "rank"), 9).alias("first_position")
+    mixed = ranked.groupBy("_row", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("taken"), first, F.min("rank").alias("_rank"))
+    return mixed.orderBy(F.col("_rank").asc_nulls_last(), "doc_id", "size", "_row").select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 #: op9_curriculum_mix in DuckDB SQL.

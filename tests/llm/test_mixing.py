@@ -92,7 +92,39 @@ def test_training_order(odd):
     assert mean("src1") < mean("src2")
 
 
+def test_training_ranks(odd):
+    planned = mixing.plan_mix(sized(odd), "doc_id").select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+    least = lambda x: (x is not None, x)
+    copies = [(c.position, c["pass"], least(r.doc_id), least(r.source), r.size, c.tokens) for r in planned.collect() for c in r.copies]
+    rows = mixing.training_ranks(planned).collect()
+    got = sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(len(copies)))
+    assert [(r.position, r["pass"], least(r.doc_id), least(r.source), r.size, r.tokens) for r in got] == sorted(copies)
+    assert len(rows) - len(got) == sum(r.copies == [] for r in planned.collect()) > 0
+    assert all(r.position is None and r.tokens is None for r in rows if r["rank"] is None)
+
+
+def test_query_goes_through_the_sort(spark, odd, tmp_path):
+    """A row for each document, keys null and repeated too, where its first copy stands in training."""
+    odd.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mixing.op9_curriculum_mix(spark, str(tmp_path)).collect()
+    planned = mixing.plan_mix(sized(odd), "doc_id").collect()
+    want = [(r.doc_id, r.size, r.source_size, r.target, r.taken, round(r.copies[0].position, 9) if r.copies else None) for r in planned]
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+    taken = [r for r in rows if r.taken]
+    assert rows[: len(taken)] == taken and len(taken) < len(rows)
+    key = lambda r: (r.first_position, r.doc_id is not None, r.doc_id)
+    assert taken == sorted(taken, key=key)
+
+
 def test_empty(spark, docs):
     assert mixing.plan_mix(sized(docs.limit(0)), "doc_id").count() == 0
     blank = sized(docs.filter("text IS NULL OR trim(text) = ''"))
     assert all(r.taken == 0 and r.copies == [] for r in mixing.plan_mix(blank, "doc_id").collect())
+
+
+def test_empty_query(spark, docs, tmp_path):
+    for name, rows in (("none", docs.limit(0)), ("blank", docs.filter("text IS NULL OR trim(text) = ''"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = mixing.op9_curriculum_mix(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == rows.count() and all(r.taken == 0 and r.first_position is None for r in got)
