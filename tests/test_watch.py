@@ -3,6 +3,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from lodestone.plans import catalogue
 from lodestone.sources.config import SnapshotConfig
 from lodestone.streaming import watch as w
 
@@ -82,3 +83,19 @@ def test_bursts_fire_and_stay_open(spark, tmp_path):
         assert fired + held == sorted(own(w.debounced(events, "at", "700 milliseconds", "key")), key=lambda r: (r in held, r))
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def exactly_apart(spark):
+    """Events 700 ms apart to the microsecond, a microsecond less, one more, and at one time."""
+    base = 1_700_000_000_000_000
+    micros = {"x": [0, 700_000, 1_399_999, 2_100_000, 2_100_000], "y": [0, 0, 700_001, 1_400_001, 2_100_001]}
+    rows = spark.createDataFrame([(k, base + m) for k, v in micros.items() for m in v], "event_type string, micros long")
+    told = sorted([("x", 1, 0, 700_000), ("x", 2, 700_000, 2_099_999), ("x", 2, 2_100_000, 2_800_000), ("y", 2, 0, 700_000), ("y", 1, 700_001, 1_400_001), ("y", 1, 1_400_001, 2_100_001), ("y", 1, 2_100_001, 2_800_001)])
+    own = lambda df: sorted((r.event_type, r.changes, r.a, r.b) for r in df.select("event_type", "changes", *((F.unix_micros(F.col(c).cast("timestamp")) - base).alias(n) for c, n in (("first_at", "a"), ("fires_at", "b")))).collect())
+    return rows.select("event_type", F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts")), told, own
+
+
+def test_sessions_of_events_exactly_a_gap_apart(spark, tmp_path):
+    events, told, own = exactly_apart(spark)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert own(catalogue.queries()["debounce_sessions"](spark, str(tmp_path))) == told
