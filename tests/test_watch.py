@@ -99,3 +99,10 @@ def test_sessions_of_events_exactly_a_gap_apart(spark, tmp_path):
     events, told, own = exactly_apart(spark)
     events.write.parquet(str(tmp_path / "events.parquet"))
     assert own(catalogue.queries()["debounce_sessions"](spark, str(tmp_path))) == told
+
+
+def test_streamed_bursts_of_events_exactly_a_gap_apart(spark, tmp_path):
+    assert w.joined_bursts([(0, 10, 1), (10, 20, 1), (19, 29, 1)], touching=False) == [(0, 10, 1), (10, 29, 2)]
+    events, told, own = exactly_apart(spark)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert own(catalogue.queries()["watch_bursts"](spark, str(tmp_path))) == told
