@@ -1,10 +1,10 @@
-"""Plans over the derived graph: parts are not broadcast, and nothing is derived twice."""
+"""Plans over the derived graph: what is large is not broadcast, and nothing is derived twice."""
 
 import os
 
 import pytest
 
-from lodestone.plans import derived
+from lodestone.plans import catalogue, derived
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -25,3 +25,9 @@ def test_derived_tables_are_read_back(spark):
     nodes, edges = derived.nodes(spark, SF), derived.edges(spark, SF)
     for df in (edges.union(edges), nodes.join(edges, "file_path"), nodes.join(derived.changes(spark, SF), "file_path")):
         assert not lines_of_plan(df, "FileScan parquet")
+
+
+@pytest.mark.parametrize("name", ["change_risk"])
+def test_stretches_are_not_broadcast(spark, name):
+    df = catalogue.queries()[name](spark, SF)
+    assert lines_of_plan(df, "SortMergeJoin", "[_gram#") and not lines_of_plan(df, "Broadcast", "[_gram#") and not lines_of_plan(df, "Broadcast", "[_part#")
