@@ -27,7 +27,7 @@ def test_derived_tables_are_read_back(spark):
         assert not lines_of_plan(df, "FileScan parquet")
 
 
-@pytest.mark.parametrize("name", ["change_risk", "change_risk_of_diff"])
+@pytest.mark.parametrize("name", ["change_risk", "change_risk_of_diff", "minimal_context"])
 def test_stretches_are_not_broadcast(spark, name):
     df = catalogue.queries()[name](spark, SF)
     assert lines_of_plan(df, "SortMergeJoin", "[_gram#") and not lines_of_plan(df, "Broadcast", "[_gram#") and not lines_of_plan(df, "Broadcast", "[_part#")
