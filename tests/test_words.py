@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from lodestone.operators import text
 from lodestone.operators.words import WordIndex, words_of
@@ -45,3 +46,17 @@ def test_equal_to_scans(spark, tmp_path):
 def test_empty(spark, tmp_path):
     index = WordIndex.build(spark.createDataFrame([("a", None)], "path string, content string"), str(tmp_path / "at"))
     assert index.refactor_preview("foo").count() == 0 and WordIndex.load(spark, str(tmp_path / "none")) is None
+
+
+def test_postings_name_buckets(spark, tmp_path):
+    """However many files hold a word, its postings are as many as buckets at most; lines are kept once."""
+    rows = [(f"src/f{i}.ts", f"alpha beta\nalpha gamma\nonly{i}") for i in range(300)]
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(shared.rglob("rdd-*"))
+    index = WordIndex.build(spark.createDataFrame(rows, "path string, content string"), str(tmp_path / "at"))
+    assert set(shared.rglob("rdd-*")) == before
+    counts = {r.word: r["count"] for r in index.store.read("places").groupBy("word").count().collect()}
+    assert len(counts) == 303 and {counts[f"only{i}"] for i in range(300)} == {1}
+    assert max(counts.values()) <= index.store.manifest["buckets"]
+    assert own(index.refactor_preview("only7")) == [("src/f7.ts", 3, "only7")] and index.refactor_preview("beta", 1000).count() == 300
+    assert len(index.symbol_lines("only7").inputFiles()) < len(index.store.read("lines").inputFiles())
