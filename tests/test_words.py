@@ -60,3 +60,12 @@ def test_postings_name_buckets(spark, tmp_path):
     assert max(counts.values()) <= index.store.manifest["buckets"]
     assert own(index.refactor_preview("only7")) == [("src/f7.ts", 3, "only7")] and index.refactor_preview("beta", 1000).count() == 300
     assert len(index.symbol_lines("only7").inputFiles()) < len(index.store.read("lines").inputFiles())
+
+
+def test_symbols_by_buckets(spark, tmp_path):
+    """A symbol of words in several buckets is found in whole, and only buckets that hold all its words are read."""
+    rows = [(f"src/f{i}.ts", f"a.b\na\nb{i}.x{i}") for i in range(60)]
+    index = WordIndex.build(spark.createDataFrame(rows, "path string, content string"), str(tmp_path / "at"))
+    assert index.store.read("places").columns == ["word", "place"]
+    assert sorted(own(index.query_symbol("a.b")[1])) == sorted(own(text.query_symbol(spark.createDataFrame(rows, "path string, content string"), "a.b")[1]))
+    assert [r[:2] for r in own(index.query_symbol("b7.x7")[1])] == [("src/f7.ts", 3)] and len(index.symbol_lines("b7.x7").inputFiles()) == 1
