@@ -14,7 +14,9 @@ through a shuffle.
 
 from __future__ import annotations
 
+import json
 import math
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,12 @@ DIGITS = 42
 PER_ROW = 4
 #: Documents that are put in order together, and ranges of ids at most. With more documents, ranges grow.
 RANGE_ROWS, MOST_RANGES = 256, 65_536
+#: Ranges of a task at most.
+TASK_RANGES = 64
+#: Where ranges begin: (no key, ~key, beginning of the text).
+PLACE = "struct<none:boolean,down:bigint,beginning:string>"
+#: Code points of a beginning; rows looked at for a cut among texts of one key, and for all such cuts.
+BEGINNING, PER_CUT, MOST_SAMPLED = 64, 32, 100_000
 
 
 def with_terms(df: DataFrame, text: str) -> DataFrame:
@@ -106,34 +114,68 @@ def digits(signature: Column, samples: int = SAMPLES) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(F.xxhash64(F.get(signature, F.lit(s))), 32)), 8, "0") for s in range(samples))))
 
 
+def _cuts(rows: DataFrame, key: str, n: int, nulls: int, total: int) -> tuple[Column, list[tuple[bool, int | None, str]]]:
+    """(the place of a row, where about n ranges begin). A place is (no key, ~key, beginning), which is
+    in order as documents are; the beginning is that of the text for keys that fill several ranges,
+    and empty for all others.
+
+    Of keys that fill several ranges the driver gets MOST_SAMPLED beginnings at about.
+    """
+    keyed = max(1, round(n * (total - nulls) / total)) if total else 1
+    found = Counter(rows.stat.approxQuantile(key, [i / keyed for i in range(1, keyed)], 1 / (4 * keyed)) if keyed > 1 else [])
+    down = lambda b: ~max(-(2**63), min(2**63 - 1, int(b)))
+    bounds = {(False, down(b), "") for b in found}
+    # quantiles are doubles, several long keys may be one of them
+    shares = {b: times for b, times in found.items() if times > 1}
+    if n > keyed:
+        shares[None] = n - keyed
+    if nulls:
+        bounds.add((True, None, ""))
+    several = F.coalesce(F.col(key).cast("double").isin([b for b in shares if b is not None]), F.lit(False)) | (F.col(key).isNull() & F.lit(None in shares))
+    place = F.struct(F.col(key).isNull().alias("none"), F.bitwise_not(key).alias("down"), F.when(several, F.substring("_text", 1, BEGINNING)).otherwise("").alias("beginning"))
+    if shares:
+        share = min(1.0, MOST_SAMPLED / (sum(shares.values()) * total / n), PER_CUT * n / total)
+        sampled = defaultdict(list)
+        for r in rows.filter(several).sample(share, seed=1).select(F.col(key).cast("double").alias("of"), place.alias("place")).collect():
+            sampled[r["of"]].append(tuple(r["place"]))
+        for b, places in sampled.items():
+            places.sort(key=_ordered)
+            bounds |= {places[len(places) * i // shares[b]] for i in range(1, shares[b])}
+        # what follows such a key begins a range of its own
+        bounds |= {(False, down(b) + 1, "") for b in shares if b is not None and down(b) < 2**63 - 1}
+    return place, sorted(bounds, key=_ordered)
+
+
+def _ordered(place: tuple[bool, int | None, str]) -> tuple[bool, int, str]:
+    return place[0], place[1] or 0, place[2]
+
+
 def _in_ranges(docs: DataFrame, key: str) -> DataFrame:
     """The rows with _range, which orders the documents roughly, and _ghost: the first documents of
     each range are also put, as ghosts, in the range before, and those of the first in the last, so
-    that every document meets the next one in its range.
+    that every document meets the next one in its range. Tasks get as many ranges each.
 
-    The driver gets the ranges' bounds and greatest keys, MOST_RANGES at most.
+    The driver gets the ranges' bounds and first places, about MOST_RANGES at most.
     """
-    ids = docs.select(key)
-    n = min(MOST_RANGES, math.ceil(ids.count() / RANGE_ROWS))
-    bounds = sorted(set(ids.stat.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    counts = docs.agg(F.count("*").alias("n"), F.count_if(F.col(key).isNull()).alias("nulls")).first()
+    n = max(1, min(MOST_RANGES, math.ceil(counts["n"] / RANGE_ROWS)))
+    tasks = min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_RANGES)))
+    place, bounds = _cuts(docs, key, math.ceil(n / tasks) * tasks, counts["nulls"], counts["n"])
     step = max(1, math.isqrt(len(bounds)))
-    at = F.lit(0)
-    if bounds:
-        grid = F.array(*(F.array(*(F.lit(int(b)) for b in bounds[i : i + step])) for i in range(0, len(bounds), step)))
-        coarse = F.array(*(F.lit(int(bounds[i])) for i in range(0, len(bounds), step)))
-        at = F.size(F.filter(coarse, lambda b: b < F.col(key)))
-        row = F.get(grid, at - 1)
-        at = F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + F.size(F.filter(row, lambda b: b < F.col(key))))
-    # no key: below all others
-    ranged = docs.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at))
-    tops = sorted((r["_range"], r["top"]) for r in ranged.groupBy("_range").agg(F.max(key).alias("top")).collect())
-    above = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    ghosts = docs.sparkSession.createDataFrame(above or [(None, 0)], "top long, into int")
-    # one row for each range: MOST_RANGES + 1 at most
-    met = ranged.join(F.broadcast(ghosts), F.col(key).eqNullSafe(F.col("top")), "left").drop("top")
-    places = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("g")))
-    places = F.when(F.col("into").isNull(), places).otherwise(F.concat(places, F.array(F.struct(F.col("into").alias("r"), F.lit(True).alias("g")))))
-    return met.withColumn("_place", F.explode(places)).withColumn("_range", F.col("_place.r")).withColumn("_ghost", F.col("_place.g")).drop("_place", "into")
+    grid = [[dict(zip(("none", "down", "beginning"), b)) for b in bounds[i : i + step]] for i in range(0, len(bounds), step)]
+    told = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  one literal, however many bounds
+    reached = lambda some: F.size(F.filter(some, lambda b: b <= F.col("_place")))
+    row = F.get(told(grid, f"array<array<{PLACE}>>"), F.col("_row") - 1)
+    at = F.when(F.col("_row") > 0, (F.col("_row") - 1) * step + reached(row))
+    ranged = docs.withColumn("_place", place).withColumn("_row", reached(told([r[0] for r in grid], f"array<{PLACE}>"))).withColumn("_range", F.coalesce(at, F.lit(0))).drop("_row")
+    firsts = sorted(ranged.groupBy("_range").agg(F.min("_place").alias("first")).collect())
+    # one row for each range
+    table = docs.sparkSession.createDataFrame([(i, first, firsts[k - 1][0]) for k, (i, first) in enumerate(firsts)], f"_range int, first {PLACE}, before int")
+    met = ranged.join(F.broadcast(table), "_range")
+    own = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("g")))
+    places = F.when(F.col("_place") != F.col("first"), own).otherwise(F.concat(own, F.array(F.struct(F.col("before").alias("r"), F.lit(True).alias("g")))))
+    dealt = met.withColumn("_at", F.explode(places)).select(*docs.columns, F.col("_at.r").alias("_range"), F.col("_at.g").alias("_ghost"))
+    return dealt.repartitionById(tasks, "_range")
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

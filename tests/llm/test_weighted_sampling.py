@@ -124,6 +124,37 @@ def test_ranges(spark, monkeypatch):
     check(spark.createDataFrame([(None, "no id"), (None, "none either")], "doc_id long, text string"))
 
 
+def dealt(rows, key="doc_id"):
+    """Own rows by range, and ranges by task."""
+    frame = w._in_ranges(rows.select(F.col(key), F.coalesce("text", F.lit("")).alias("_text")), key).withColumn("task", F.spark_partition_id())
+    own = Counter(r._range for r in frame.collect() if not r._ghost)
+    return own, Counter(r.task for r in frame.select("task", "_range").distinct().collect())
+
+
+def test_tasks_get_as_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(w, "RANGE_ROWS", 4)
+    own, tasks = dealt(spark.createDataFrame([(i * 7, f"w{i}") for i in range(160)], "doc_id long, text string").repartition(3))
+    assert len(own) == 40 and sorted(tasks.values()) == [10] * 4
+
+
+def test_keys_that_fill_several_ranges(spark, monkeypatch):
+    """A key of a third of the rows, no key, and long keys that are one as doubles."""
+    monkeypatch.setattr(w, "RANGE_ROWS", 8)
+    big = 2**62
+    for keys in ([7] * 3 + [None] * 2 + ["own"] * 3, [None], [7], [big, big + 1, big + 1, "own"], [-(2**63), "own"], [2**63 - 1, 2**63 - 1, "own", None]):
+        rows = [(i * 11 if (k := keys[i % len(keys)]) == "own" else k, f"{chr(0x61 + i * 37 % 26)}{i * i % 83} ü漢😀 {i} same" if i % 31 else None) for i in range(200)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        check(df)
+        own, _ = dealt(df)
+        assert sum(own.values()) == 200 and max(own.values()) <= 20, (keys, own)
+
+
+def test_copies_of_one_key(spark, monkeypatch):
+    monkeypatch.setattr(w, "RANGE_ROWS", 5)
+    rows = [(3, "a copy of a text")] * 40 + [(None, None)] * 30 + [(i, f"t{i} u") for i in range(30)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
 def test_error_of_likeness(spark):
     """As many samples as keep likenesses near exact generalised Jaccard."""
     rng = random.Random(5)
