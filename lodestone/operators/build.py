build_update_nodes works an import's path out once and looks a path up once

Symptom: CPU and shuffle of build_update_nodes rise most with the number of imports: resolving them and indexing their candidate paths took nearly half of the CPU seconds on a 16-fold copy.
Evidence: The joined path of a specifier stood in the plan once for each of 20 endings and was worked out as often, in three places; every import shuffled 20 candidates to find its file, however many imports meant the same path; what changed of an index was told by two exceptAll, each making the index anew. Own runs after deriving the tables, lineitem and part of sf0.1 once, 4 and 16 times with keys shifted by the largest, 6 cores: 22.3, 76.8, 238.0 JVM CPU seconds; 102.1, 362.2, 1214.1 MB shuffled; power from 4 to 16 times 0.82 and 0.87. A power above 1 was not seen.
Fix: import_base() tells what all candidates of an import have in common, worked out before they are listed; files are looked up once for each base; one count of rows by side tells what differs.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 2847 -> 1760 s, shuffle 4.30 -> 2.84 GB, spill 0.00 -> 0.00 GB, read 2.11 -> 2.11 GB, longest task 82 -> 15 s, most memory of a task 369 -> 369 MB; at 6 GB of input CPU 7010 -> 4555 s, shuffle 17.62 -> 12.95 GB, spill 0.00 -> 0.00 GB, read 13.22 -> 13.22 GB, longest task 357 -> 53 s, most memory of a task 537 -> 537 MB.

@@ -18,7 +18,7 @@ from lodestone.schemas import EDGES, FILES, NODES, conform
 from lodestone.sources.buckets import BucketStore, Change, HeldTables, Table
 
 from .parse import parse_files
-from .resolve import import_candidates, resolve_imports, resolve_names
+from .resolve import import_base, import_candidates, resolve_imports, resolve_names
 
 #: What a graph is stored as.
 TABLES = {
@@ -51,8 +51,8 @@ def referrer_index(facts: DataFrame) -> DataFrame:
 
 def importer_index(facts: DataFrame) -> DataFrame:
     """(candidate, file_path): which files' imports may mean a path."""
-    imports = facts.filter("rec = 'import'").select("file_path", F.explode(import_candidates(posix("file_path"), F.col("target_name"))).alias("candidate"))
-    return imports.select("candidate", "file_path").distinct()
+    based = facts.filter("rec = 'import'").select("file_path", import_base(posix("file_path"), F.col("target_name")).alias("_base"))
+    return based.select(F.explode(import_candidates(F.col("_base"))).alias("candidate"), "file_path").distinct()
 
 
 def nodes_of(files: DataFrame, facts: DataFrame) -> DataFrame:
@@ -102,9 +102,9 @@ def stored_tables(files: DataFrame, nodes: DataFrame, edges: DataFrame, facts: D
 
 
 def _differing(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The keys of rows that are in one of two tables only."""
-    rows = old.select(new.columns)
-    return rows.exceptAll(new).union(new.exceptAll(rows)).select(key).distinct()
+    """The keys of rows that are in one of two tables only, or more often in one; either is read once."""
+    both = old.select(new.columns).withColumn("_n", F.lit(1)).union(new.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*new.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0").select(key).distinct()
 
 
 def changes_of(files: DataFrame, old: BucketStore | HeldTables) -> dict[str, Change]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.graph import CodeGraph
-from lodestone.operators import build
+from lodestone.operators import build, resolve
 from lodestone.schemas import FILES
 from lodestone.sources.buckets import BucketStore, Change, WriterConflict
 
@@ -146,3 +146,32 @@ def test_store(spark, tmp_path):
     for v in range(4):
         store_of(spark, at).apply(change(v))
     assert len([n for n in os.listdir(at) if n.startswith("manifest")]) == 2 and store_of(spark, at).read("t").count() == len(want)
+
+
+def test_import_paths_are_worked_out_once(spark):
+    """A specifier's path stands once in the plan, not once for each ending; files are looked up once for imports that mean the same."""
+    facts = spark.createDataFrame([(f"a/f{i}.ts", "import", "../b/g", "", "") for i in range(40)], "file_path string, rec string, target_name string, kind string, source string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(build.importer_index(facts)).count("aggregate(") <= 2
+    imports = facts.select("file_path", F.col("target_name").alias("specifier"))
+    found = resolve.resolve_imports(imports, spark.createDataFrame([("b/g.ts",), ("b/g.tsx",)], "path string"))
+    assert plan(found).count("aggregate(") <= 8 and "Aggregate [_base" in plan(found).split("Generate")[1]
+    assert {r.target for r in found.collect()} == {"b/g.ts"} and found.count() == 40
+
+
+def test_odd_imports(spark):
+    """Nulls mean nothing, repeated imports stay, the first ending that is a file counts."""
+    cases = [("a/x.ts", "./y", "a/y.ts"), ("a/x.ts", "./y", "a/y.ts"), ("a\\x.ts", "./y/", "a/y.ts"), ("x.ts", "./../../a/./y", "a/y.ts"), ("a/x.ts", "y", None), ("a/x.py", ".y", "a/y.py"), ("a/b/x.py", "..y", "a/y.py"), ("a/x.py", "./y", "a/y.ts"), ("a/x.py", "a.y", "a/y.py"),
+             ("a/x.rs", "crate::m::n", "src/m/n/mod.rs"), ("a/x.java", "j.K", "src/main/java/j/K.java"), ("a/x.go", "g", "g/main.go"), (None, "./y", None), (None, "y", None), ("a/x.ts", None, None), ("a/x.py", None, None), ("a/x.ts", "", None), ("a/x.ts", ".", "a/index.js"), ("", "./q", "q")]
+    files = ["a/y.ts", "a/y.ts", "a/y.py", "src/m/n/mod.rs", "src/main/java/j/K.java", "g/main.go", "g/index.go", "a/index.js", "q", "q.ts", None]
+    found = resolve.resolve_imports(spark.createDataFrame([c[:2] for c in cases], "file_path string, specifier string"), spark.createDataFrame([(f,) for f in files], "path string"))
+    assert found.columns == ["file_path", "specifier", "target"]
+    assert sorted(map(tuple, found.collect())) == sorted(c for c in cases if c[2])
+
+
+def test_differing_rows(spark):
+    frame = lambda r: spark.createDataFrame(r, "k string, o string")
+    old = frame([("a", "1"), ("b", "1"), ("b", "1"), (None, "1"), ("c", None), ("d", "1")])
+    new = frame([("a", "1"), ("b", "1"), ("c", None), (None, "2"), ("e", "1")])
+    assert sorted(map(str, (r.k for r in build._differing(old, new, "k").collect()))) == ["None", "b", "d", "e"]
+    assert build._differing(old, old, "k").count() == 0
