@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import search
+from lodestone.operators import search, vectors
 from lodestone.operators.vectors import VectorIndex
 
 SCHEMA = "qualified_name string, kind string, file_path string, vector array<double>"
@@ -53,3 +54,33 @@ def test_few(spark, tmp_path, data):
     index = VectorIndex.build(spark.createDataFrame(data, SCHEMA), str(tmp_path / "at"), "me")
     assert index.search([1.0, 1.0], None, 3).count() == len(data) and index.of == "me"
     assert VectorIndex.load(spark, str(tmp_path / "none")) is None
+
+
+def test_vectors_are_placed_once(spark, tmp_path, monkeypatch):
+    """Placing goes through one pass in Python and no table of centroids is joined; lists tell of what is stored."""
+    placed, summed = [], []
+    monkeypatch.setattr(vectors, "_placed", lambda *a, f=vectors._placed: placed.append(f(*a)) or placed[-1])
+    monkeypatch.setattr(vectors, "_summaries", lambda *a, f=vectors._summaries: summed.append(a[0]) or f(*a))
+    index = VectorIndex.build(spark.createDataFrame(made_up(300), SCHEMA), str(tmp_path / "at"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(placed[0]).count("ArrowEvalPython") == 1 and "Join" not in plan(placed[0])
+    assert "ArrowEvalPython" not in plan(summed[0]) and "FileScan parquet" in plan(summed[0])
+    assert sum(r.n for r in index.lists.values()) == 300
+
+
+def test_placed_as_worked_out_one_by_one(spark, monkeypatch):
+    """Nearest centroids, the first of equal ones, over steps of few rows; odd vectors have no list."""
+    monkeypatch.setattr(vectors, "PRODUCTS", 8)
+    middles = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.0], [-0.5, 0.5, 0.5]]
+    rng = random.Random(4)
+    data = [(f"n{i:03}", "k", "f", [rng.gauss(0, 1) for _ in range(3)]) for i in range(50)]
+    odd = [("a", "k", "f", None), ("b", "k", "f", []), ("c", "k", "f", [0.0] * 3), ("d", "k", "f", [1.0] * 4), ("e", "k", "f", [1.0, None, 0.0]), ("g", "k", "f", [float("nan"), 1.0, 0.0]), ("h", "k", "f", [float("inf"), 1.0, 0.0]), ("i", "k", "f", [1e-9, 0.0, 0.0]), ("j", "k", "f", [0.0, 3.0, 0.0])]
+    rows = vectors._measured(spark.createDataFrame(data + odd, SCHEMA).repartition(3))
+    got = {r.qualified_name: r for r in vectors._placed(rows, middles, 3).collect()}
+    for name, _, _, v in data:
+        unit = [x / math.hypot(*v) for x in v]
+        away = [math.dist(unit, c) for c in middles]
+        assert got[name].list == away.index(min(away)) and math.isclose(got[name].away, min(away), rel_tol=1e-9)
+    assert [got[x].list for x in "abcdeghi"] == [-1] * 8 and [got[x].away for x in "abcdghi"] == [0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0]
+    assert (got["j"].list, got["j"].away) == (1, 0.0)
+    assert vectors._placed(rows.limit(0), middles, 3).count() == 0
