build_update_nodes sends few keys to all tasks instead of shuffling what they look up

Symptom: An update of a stored graph in build_update_nodes shuffled all rows of the buckets it touched once for each lookup and once more for each table it rewrote, also for a few hundred paths.
Evidence: Plans don't know the size of kept frames, so lookups and replacements were sort-merge joins. Own runs after deriving the tables, lineitem and part of sf0.1 once, 4 and 16 times with keys shifted by the largest: 86.5, 307.2, 1032.7 MB shuffled; of the last, 99.7 MB by looking up the importers of moved paths and 81.0 MB by replacing importers.
Fix: The job that finds the buckets of keys counts their rows as well; up to 10,000 keys are broadcast, by more rows are merged as before. So do replacements, by the number of owners.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 2847 -> 1760 s, shuffle 4.30 -> 2.84 GB, spill 0.00 -> 0.00 GB, read 2.11 -> 2.11 GB, longest task 82 -> 15 s, most memory of a task 369 -> 369 MB; at 6 GB of input CPU 7010 -> 4555 s, shuffle 17.62 -> 12.95 GB, spill 0.00 -> 0.00 GB, read 13.22 -> 13.22 GB, longest task 357 -> 53 s, most memory of a task 537 -> 537 MB.

@@ -26,6 +26,8 @@ KEEP = 2
 Derived = Callable[[dict[str, DataFrame], int], DataFrame]
 #: Buckets of a new store: one for each ROWS rows of its first table, within these bounds.
 ROWS, LEAST, MOST = 5_000, 4, 4096
+#: Keys that go to all tasks at most, so that what is looked up by them needn't be shuffled; by more, rows are merged.
+SENT = 10_000
 
 
 class WriterConflict(RuntimeError):
@@ -51,6 +53,11 @@ class Change:
     keys: DataFrame
 
 
+def _sent(keys: DataFrame, n: int) -> DataFrame:
+    """So many keys, to be sent to all tasks if they are few: plans don't know the size of what is kept."""
+    return F.broadcast(keys) if n <= SENT else keys
+
+
 class BucketStore:
     """The store at a place, as of its newest generation."""
 
@@ -98,9 +105,13 @@ class BucketStore:
     def _bucket(self, key: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
+    def _counts(self, keys: DataFrame) -> dict[int, int]:
+        """How many rows of keys (the only column) each bucket has, of at most as many as there are."""
+        return dict(map(tuple, keys.groupBy(self._bucket(F.col(keys.columns[0]), self.manifest["buckets"])).count().collect()))
+
     def buckets_of(self, keys: DataFrame) -> list[int]:
         """The buckets of keys (the only column): at most as many as there are."""
-        return sorted(r[0] for r in keys.select(self._bucket(F.col(keys.columns[0]), self.manifest["buckets"])).distinct().collect())
+        return sorted(self._counts(keys))
 
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """A table's rows, or those of some buckets, of which alone files are opened."""
@@ -115,7 +126,8 @@ class BucketStore:
 
     def rows(self, table: str, keys: DataFrame) -> DataFrame:
         """The rows of keys (the only column, named as the table's key)."""
-        return self.read(table, self.buckets_of(keys)).join(keys.distinct(), self.tables[table].key, "left_semi")
+        counts = self._counts(keys)
+        return self.read(table, sorted(counts)).join(_sent(keys.distinct(), sum(counts.values())), self.tables[table].key, "left_semi")
 
     def _write(self, table: str, rows: DataFrame, buckets: int) -> dict[int, str]:
         """The new folder of each bucket that has rows."""
@@ -184,7 +196,8 @@ class BucketStore:
                 if not touched:
                     continue
                 new = change.rows.filter(self._bucket(F.col(of.key), manifest["buckets"]).isin(touched))
-                kept = self.read(name, touched).join(change.owners.select(F.col(change.owners.columns[0]).alias(of.owner)), of.owner, "left_anti")
+                owners = change.owners.select(F.col(change.owners.columns[0]).alias(of.owner))
+                kept = self.read(name, touched).join(_sent(owners, owners.count()), of.owner, "left_anti")
                 found = self._write(name, kept.unionByName(new.select(kept.columns)), manifest["buckets"])
                 made += found.values()
                 own = manifest["tables"][name]["buckets"]

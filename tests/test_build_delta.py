@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.graph import CodeGraph
 from lodestone.operators import build, resolve
 from lodestone.schemas import FILES
+from lodestone.sources import buckets
 from lodestone.sources.buckets import BucketStore, Change, WriterConflict
 
 NAMES = [f"n{i}" for i in range(12)]
@@ -175,3 +176,28 @@ def test_differing_rows(spark):
     new = frame([("a", "1"), ("b", "1"), ("c", None), (None, "2"), ("e", "1")])
     assert sorted(map(str, (r.k for r in build._differing(old, new, "k").collect()))) == ["None", "b", "d", "e"]
     assert build._differing(old, old, "k").count() == 0
+
+
+def test_few_keys_are_sent(spark, tmp_path, monkeypatch):
+    """Rows that a few keys look up or replace aren't shuffled for it; by more keys they are merged, with the same rows."""
+    frame = lambda r: spark.createDataFrame(r, "k string, o string, v long")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    data = [(f"k{i}" if i % 9 else None, f"o{i % 7}" if i % 11 else None, i) for i in range(60)]
+    keys = spark.createDataFrame([("k3",), ("k3",), (None,), ("none",)], "k string").checkpoint()
+    owners = spark.createDataFrame([("o3",), ("o3",), (None,), ("o9",)], "o string").checkpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent, join in ((10, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+            monkeypatch.setattr(buckets, "SENT", sent)
+            store, written = store_of(spark, str(tmp_path / str(sent))), []
+            store.replace({"t": frame(data)})
+            found = store.rows("t", keys)
+            assert [r.v for r in found.collect()] == [3] and join in plan(found)
+            monkeypatch.setattr(BucketStore, "_write", lambda self, table, rows, n, f=BucketStore._write: written.append(rows) or f(self, table, rows, n))
+            store.apply({"t": Change(owners, frame([("k3", "o3", 100)]), frame([r for r in data if r[1] == "o3"]).select("k"))})
+            assert join in plan(written[0])
+            want = [r for r in data if r[1] != "o3"] + [("k3", "o3", 100)]
+            assert sorted(store.read("t").collect(), key=str) == sorted(frame(want).collect(), key=str)
+            monkeypatch.undo()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
